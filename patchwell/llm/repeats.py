@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, mix64, release, shuffle_parts, store
+from .common import as_bytes, mix64, shuffle_parts, store
 
 U = np.uint64
 BASE, BASE2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
@@ -281,10 +281,8 @@ def repeated(docs: DataFrame, plan: Plan, finish: Callable[[Chunk, np.ndarray],
         return pa.Table.from_batches([finish(c, np.cumsum(cut[:-1]) > 0)])
 
     heads = store(chunks.mapInArrow(emit, ENTRIES).groupBy("bucket").applyInArrow(lambda t: matched(t, True), MESSAGES), "messages")
-    release(spark)
     tails = store(
         chunks.groupBy("chunk").cogroup(heads.filter(F.col("kind") == REFINE).groupBy("chunk")).applyInArrow(refined, ENTRIES).groupBy("bucket").applyInArrow(lambda t: matched(t, False), MESSAGES),
         "windows",
     )
-    release(spark)
     return chunks.groupBy("chunk").cogroup(heads.unionByName(tails).groupBy("chunk")).applyInArrow(finished, schema)
