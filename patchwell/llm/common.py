@@ -64,3 +64,10 @@ def held_out(doc_id: str = "doc_id"):
 def as_bytes(column: pa.Array) -> list:
     """UTF-8 bytes of a string column, null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where the public vocabulary file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

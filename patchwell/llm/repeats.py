@@ -162,10 +162,11 @@ class Chunk:
         return Runs(*cols, np.searchsorted(self.ends, cols[2], "right"))
 
     def windows(self, runs: Runs, chosen: np.ndarray) -> Runs:
-        """Single windows of the chosen runs."""
+        """Single windows of the chosen runs, each in a bucket of its own name, so that none is crowded."""
         n = runs.n[chosen]
         start = np.repeat(runs.start[chosen], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return Runs(np.repeat(runs.bucket[chosen], n), mix64(self.whole[start]), start, np.ones(len(start), np.int64), np.repeat(runs.doc[chosen], n))
+        name = mix64(self.whole[start])
+        return Runs(mix64(np.repeat(runs.bucket[chosen], n) ^ name), name, start, np.ones(len(start), np.int64), np.repeat(runs.doc[chosen], n))
 
     def first(self, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
         """Order that puts equal runs together, earliest document first, and where each group of them starts."""
