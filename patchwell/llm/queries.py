@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, mixing, sentencepiece_codec, simhash_dedup, substring_dedup, suffix_dedup
+from . import embedding_dedup, exact_dedup, html_extract, language_id, mixing, quality, sentencepiece_codec, simhash_dedup, substring_dedup, suffix_dedup
 from .common import tokenizer_path
 
 
@@ -17,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": lambda spark, d: embedding_dedup.near_duplicates(table(spark, d, "embeddings")),
     "op2_exact_dedup": lambda spark, d: exact_dedup.deduplicate(table(spark, d, "documents")),
+    "op3_language_id": lambda spark, d: language_id.identify(table(spark, d, "documents")),
     "op4_suffix_dedup": lambda spark, d: suffix_dedup.remove_repeats(table(spark, d, "documents")),
+    "op5_quality": lambda spark, d: quality.rate(table(spark, d, "documents"), table(spark, d, "labels")),
     "op6_substring_dedup": lambda spark, d: substring_dedup.remove_repeated_windows(table(spark, d, "documents")),
     "op7_sentencepiece": lambda spark, d: sentencepiece_codec.encode_decode(table(spark, d, "documents"), tokenizer_path(), outputs=False),
     "op8_mixing": lambda spark, d: mixing.mix(table(spark, d, "documents")).select(*mixing.QUERY_COLUMNS),
+    "op9_html_extract": lambda spark, d: html_extract.extract(table(spark, d, "pages")),
     "op10_simhash_dedup": lambda spark, d: simhash_dedup.near_duplicates(table(spark, d, "documents")),
 }
 ORACLE_SQL: dict[str, str] = {
