@@ -10,12 +10,13 @@ the profile length where the language's profile lacks it.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import held_out, store
 
@@ -117,27 +118,40 @@ class Model:
         return self.langs[best], float(1 - far[best] / (self.top * len(own)))
 
 
+def predictor(profiles: DataFrame, top: int = TOP) -> Callable[[Column], Column]:
+    """A function from a text column to struct(lang_pred, score)."""
+    if profiles.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    rows = [(r["lang"], r["gram"], r["rank"]) for r in profiles.collect()]
+    sent = profiles.sparkSession.sparkContext.broadcast(Model(rows, top))
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predicted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            yield pd.DataFrame([sent.value.predict(t) for t in batch], columns=["lang_pred", "score"])
+
+    return predicted
+
+
 def predict(docs: DataFrame, profiles: DataFrame, top: int = TOP) -> DataFrame:
     """doc_id, lang_pred, score for each row of (doc_id, text).
 
     `und` and 0 for null texts, texts without a letter, or without any profile. Ties go to the first
     language by name. Repeated rows are predicted alike; an empty table gives no rows.
     """
-    if profiles.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    rows = [(r["lang"], r["gram"], r["rank"]) for r in profiles.collect()]
-    sent = docs.sparkSession.sparkContext.broadcast(Model(rows, top))
+    return docs.select("doc_id", predictor(profiles, top)(F.col("text")).alias("p")).select("doc_id", "p.lang_pred", "p.score")
+
+
+def profiles_of(docs: DataFrame, top: int = TOP) -> DataFrame:
+    """Stored profiles learned from the rows that are not held out."""
+    return store(learn(docs.filter(~F.coalesce(held_out(), F.lit(False))), top), "profiles")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for batch in batches:
-            found = [model.predict(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+def reject(docs: DataFrame, top: int = TOP) -> DataFrame:
+    """The rows of `docs`, all columns, whose language can be told."""
+    return docs.filter(predictor(profiles_of(docs, top), top)(F.col("text"))["lang_pred"] != UNDETERMINED)
 
 
 def identify(docs: DataFrame, top: int = TOP) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from the rows that are not held out, predicted for all."""
-    profiles = store(learn(docs.filter(~F.coalesce(held_out(), F.lit(False))), top), "profiles")
-    return predict(docs, profiles, top).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return predict(docs, profiles_of(docs, top), top).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
