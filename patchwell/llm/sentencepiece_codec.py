@@ -9,10 +9,11 @@ units at a time, against the sentencepiece library; a difference is an error.
 
 from __future__ import annotations
 
+import gc
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import sentencepiece
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 #: Units a task remembers, twice over.
-REMEMBER = 150_000
+REMEMBER = 250_000
 
 
 class Codec:
@@ -31,60 +32,88 @@ class Codec:
         ids = range(lib.get_piece_size())
         plain = [i for i in ids if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i))]
         self.ids = {lib.id_to_piece(i): i for i in plain}
-        self.score = {lib.id_to_piece(i): lib.get_score(i) for i in plain}
+        self.cost = {lib.id_to_piece(i): -lib.get_score(i) for i in plain}
+        self.beside = {ab for p in self.ids for ab in zip(p, p[1:], strict=False)}
         self.piece = {i: p for p, i in self.ids.items()}
         self.byte = {int(lib.id_to_piece(i)[3:5], 16): i for i in ids if lib.is_byte(i)}
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.end = lib.eos_id()
+        self.text = [str(i) for i in ids]
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces with inner space marks are not supported")
         self.feeds = not any("\n" in p for p in self.ids)
         self.units = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if self.feeds else f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        self.done: dict[str, list[int]] = {}
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
-    def merged(self, unit: str) -> list[str]:
-        """Symbols of a unit after all merges."""
-        symbols, score = list(unit), self.score
-        n = len(symbols)
+    def merged(self, part: str) -> list[str]:
+        """Symbols of a part after all merges. An agenda entry is alive while it is the pair now at its left place."""
+        symbols, cost, n = list(part), self.cost, len(part)
+        pairs = [a + b for a, b in zip(symbols, symbols[1:], strict=False)]
+        agenda = [(cost[p], i, p) for i, p in enumerate(pairs) if p in cost]
+        if not agenda:
+            return symbols
+        heapify(agenda)
+        pairs.append(None)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = []
-        for i in range(n - 1):
-            s = score.get(pair := symbols[i] + symbols[i + 1])
-            if s is not None:
-                agenda.append((-s, i, i + 1, pair))
-        heapq.heapify(agenda)
         while agenda:
-            _, i, j, pair = heapq.heappop(agenda)
-            if symbols[i] is None or symbols[j] is None or right[i] != j or len(symbols[i]) + len(symbols[j]) != len(pair):
+            _, i, pair = heappop(agenda)
+            if pairs[i] is not pair:
                 continue
-            symbols[i], symbols[j] = pair, None
+            j = right[i]
+            symbols[i], symbols[j], pairs[i], pairs[j] = pair, None, None, None
             right[i] = k = right[j]
             if k < n:
                 left[k] = i
-                s = score.get(new := pair + symbols[k])
-                if s is not None:
-                    heapq.heappush(agenda, (-s, i, k, new))
-            if (h := left[i]) >= 0:
-                s = score.get(new := symbols[h] + pair)
-                if s is not None:
-                    heapq.heappush(agenda, (-s, h, i, new))
+                pairs[i] = new = pair + symbols[k]
+                if new in cost:
+                    heappush(agenda, (cost[new], i, new))
+            h = left[i]
+            if h >= 0:
+                pairs[h] = new = symbols[h] + pair
+                if new in cost:
+                    heappush(agenda, (cost[new], h, new))
         return [s for s in symbols if s is not None]
 
+    def parts(self, unit: str) -> list[str]:
+        """The unit cut wherever no piece has the two characters side by side, so that no merge can cross."""
+        out, start = [], 0
+        for i, ab in enumerate(zip(unit, unit[1:], strict=False), 1):
+            if ab not in self.beside:
+                out.append(unit[start:i])
+                start = i
+        out.append(unit[start:])
+        return out
+
+    def part_ids(self, part: str) -> list[int]:
+        found = self.done.get(part)
+        if found is None:
+            found = []
+            for s in self.merged(part):
+                i = self.ids.get(s)
+                if i is not None:
+                    found.append(i)
+                else:
+                    found.extend([self.byte[b] for b in s.encode()])
+            if len(self.done) > REMEMBER:
+                self.done.clear()
+            self.done[part] = found
+        return found
+
     def encoded(self, unit: str) -> list[int]:
         out = []
-        for s in self.merged(unit):
-            i = self.ids.get(s)
-            if i is not None:
-                out.append(i)
-            else:
-                out.extend(self.byte[b] for b in s.encode())
+        for part in self.parts(unit):
+            out += self.part_ids(part)
         return out
 
     def decoded(self, ids: list[int]) -> str:
         """Text of a unit's ids; space marks become spaces."""
-        out = b"".join(self.piece[i].encode() if i in self.piece else bytes([self.of_byte[i]]) for i in ids)
-        return out.decode().replace(MARK, " ")
+        try:
+            return "".join([self.piece[i] for i in ids]).replace(MARK, " ")
+        except KeyError:
+            out = b"".join([self.piece[i].encode() if i in self.piece else bytes([self.of_byte[i]]) for i in ids])
+            return out.decode().replace(MARK, " ")
 
     def learn(self, units: set[str]) -> None:
         """Encode units and compare them with the library."""
@@ -98,13 +127,14 @@ class Codec:
         for u, theirs in zip(inner, self.lib.encode(["\n" + u for u in inner], num_threads=1), strict=True):
             if self.feeds and theirs != start + own[u]:
                 raise ValueError(f"{u!r}: {own[u]}, but the library has {theirs}")
+        text = self.text
         if len(self.young) > REMEMBER:
             self.young, self.old = {}, self.young
         for u, ids in own.items():
-            self.young[u] = (ids, " ".join(map(str, ids)), self.decoded(ids))
+            self.young[u] = (len(ids), " ".join([text[i] for i in ids]), self.decoded(ids))
 
     def known(self, texts: list[str]) -> list[list[tuple]]:
-        """For each text the (ids, ids as text, decoded) of its units."""
+        """For each text the (number of ids, ids as text, decoded) of its units."""
         split = [self.units(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         missing = set()
         for units in split:
@@ -139,6 +169,13 @@ def encode_decode(docs: DataFrame, model_path: str, outputs: bool = True) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = CODECS.get(key) or CODECS.setdefault(key, Codec(sent.value))
+        gc.disable()  # remembered units hold no cycles; looking for some takes a tenth of the time
+        try:
+            yield from encoded(codec, batches)
+        finally:
+            gc.enable()
+
+    def encoded(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = str(codec.end)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -146,13 +183,13 @@ def encode_decode(docs: DataFrame, model_path: str, outputs: bool = True) -> Dat
                 texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
                 n, id_sha, text_sha, all_ids, all_text = [], [], [], [], []
                 for units in codec.known(texts):
-                    ids = " ".join([*(u[1] for u in units), end])
+                    ids = " ".join([*[u[1] for u in units], end])
                     text = "".join([u[2] for u in units])[1:]
-                    n.append(sum(len(u[0]) for u in units) + 1)
+                    n.append(sum([u[0] for u in units]) + 1)
                     id_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                     text_sha.append(hashlib.sha256(text.encode()).hexdigest())
                     if outputs:
-                        all_ids.append([i for u in units for i in u[0]] + [codec.end])
+                        all_ids.append(list(map(int, ids.split())))
                         all_text.append(text)
                 cols = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(id_sha), pa.array(text_sha)]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
