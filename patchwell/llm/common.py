@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_IDS = 1_000_000
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="patchwell-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees. Falls back to a local folder only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        base = tempfile.mkdtemp(prefix="patchwell-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    """The folder every executor sees. A local folder only where the session names none, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", "") or _own_dir()
 
 
 #: Drops a query's shuffle files when it ends; a stored table needs them no longer.
