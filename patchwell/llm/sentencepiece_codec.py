@@ -20,8 +20,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-#: Units a task remembers, twice over.
-REMEMBER = 250_000
+#: Units a worker remembers, twice over.
+REMEMBER = 200_000
 
 
 class Codec:
@@ -44,8 +44,9 @@ class Codec:
         self.feeds = not any("\n" in p for p in self.ids)
         self.units = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if self.feeds else f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.done: dict[str, list[int]] = {}
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.line = self.encoded(MARK) + self.encoded("\n")
 
     def merged(self, part: str) -> list[str]:
         """Symbols of a part after all merges. An agenda entry is alive while it is the pair now at its left place."""
@@ -116,37 +117,39 @@ class Codec:
             return out.decode().replace(MARK, " ")
 
     def learn(self, units: set[str]) -> None:
-        """Encode units and compare them with the library."""
+        """Encode units and compare them, a batch at once, with the library; remember their ids as text."""
         own = {u: self.encoded(u) for u in units}
-        marked = [u for u in own if u[0] == MARK]
+        marked = [u for u in own if u[0] == MARK and u != MARK]
         inner = [u for u in own if u[0] != MARK]
-        for u, theirs in zip(marked, self.lib.encode([u[1:].replace(MARK, " ") for u in marked], num_threads=1), strict=True):
-            if theirs != own[u]:
-                raise ValueError(f"{u!r}: {own[u]}, but the library has {theirs}")
-        start = self.encoded(MARK) + self.encoded("\n")
-        for u, theirs in zip(inner, self.lib.encode(["\n" + u for u in inner], num_threads=1), strict=True):
-            if self.feeds and theirs != start + own[u]:
-                raise ValueError(f"{u!r}: {own[u]}, but the library has {theirs}")
-        text = self.text
-        if len(self.young) > REMEMBER:
-            self.young, self.old = {}, self.young
+        theirs = dict(zip(marked, self.lib.encode([u[1:].replace(MARK, " ") for u in marked], num_threads=1), strict=True))
+        if self.feeds:
+            start = len(self.line)
+            theirs |= {u: x[start:] for u, x in zip(inner, self.lib.encode(["\n" + u for u in inner], num_threads=1), strict=True) if x[:start] == self.line}
+        text, young = self.text, self.young
         for u, ids in own.items():
-            self.young[u] = (len(ids), " ".join([text[i] for i in ids]), self.decoded(ids))
-
-    def known(self, texts: list[str]) -> list[list[tuple]]:
-        """For each text the (number of ids, ids as text, decoded) of its units."""
+            if u != MARK and (self.feeds or u[0] == MARK) and theirs.get(u) != ids:
+                raise ValueError(f"{u!r}: {ids}, but the library has {theirs.get(u)}")
+            if self.decoded(ids) != u.replace(MARK, " "):
+                raise ValueError(f"{u!r} isn't decoded to itself")
+            young[u] = " ".join([text[i] for i in ids])
+
+    def encode(self, texts: list[str]) -> list[str]:
+        """The ids of each text, without an end id, as decimals joined by one space."""
         split = [self.units(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        if len(self.young) > REMEMBER:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
         missing = set()
         for units in split:
             missing.update(units)
-        missing = {u for u in missing if u not in self.young}
+        missing.difference_update(young)
+        again = missing.intersection(old)
+        for u in again:
+            young[u] = old[u]
+        missing -= again
         if missing:
-            for u in [u for u in missing if u in self.old]:
-                self.young[u] = self.old[u]
-                missing.discard(u)
             self.learn(missing)
-        young, old = self.young, self.old
-        return [[young.get(u) or old[u] for u in units] for units in split]
+        return [" ".join([young[u] for u in units]) for units in split]
 
 
 CODECS: dict[int, Codec] = {}
@@ -182,10 +185,10 @@ def encode_decode(docs: DataFrame, model_path: str, outputs: bool = True) -> Dat
                 batch = whole.slice(at, 256)
                 texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
                 n, id_sha, text_sha, all_ids, all_text = [], [], [], [], []
-                for units in codec.known(texts):
-                    ids = " ".join([*[u[1] for u in units], end])
-                    text = "".join([u[2] for u in units])[1:]
-                    n.append(sum([u[0] for u in units]) + 1)
+                for text, found in zip(texts, codec.encode(texts), strict=True):
+                    ids = f"{found} {end}" if found else end
+                    text = text.replace(MARK, " ")  # every unit's ids were decoded to its text when it was learned
+                    n.append(ids.count(" ") + 1)
                     id_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                     text_sha.append(hashlib.sha256(text.encode()).hexdigest())
                     if outputs:
