@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import axes, ledger, publish, triage, verdict
+from ..operators import axes, ledger, publish, review, triage, verdict
 from . import derive
 
 QUERIES: dict = {}
@@ -232,3 +232,41 @@ def model_usage(spark, d):
     calls = derive.table(spark, d, "response")
     rates = calls.select("model").distinct().select("model", F.lit(3.0).alias("input_rate"), F.lit(15.0).alias("output_rate"), F.lit(0.5).alias("read_rate"), F.lit(4.0).alias("creation_rate"))
     return triage.usage(calls, rates)
+
+
+@query(BASE + "SELECT q.id, q.fingerprint, q.draft_category, q.priority, risk.level AS risk, reach.level AS reach, coalesce(size.level, 'normal') AS reviewability FROM q LEFT JOIN risk ON risk.fingerprint = q.fingerprint LEFT JOIN reach ON reach.fingerprint = q.fingerprint LEFT JOIN size ON size.fingerprint = q.fingerprint WHERE reviewed_at IS NULL AND draft_category = 'security' AND coalesce(size.level, 'normal') = 'normal'")
+def review_list(spark, d):
+    rows = review.with_levels(ledger.pending(items(spark, d)), tables(spark, d)[2])
+    return review.filtered(rows, category="security", reviewability="normal").orderBy(*review.live_order(rows)).select("id", "fingerprint", "draft_category", "priority", "risk", "reach", "reviewability")
+
+
+@query(BASE + "SELECT 'residue' AS item, count(*) AS n FROM un UNION ALL SELECT 'pending', count(*) FROM q WHERE reviewed_at IS NULL UNION ALL SELECT 'hot residue', count(*) FROM un WHERE fingerprint IN (SELECT fingerprint FROM risk WHERE level = 'high') UNION ALL SELECT 'verdicts', count(*) FROM cv UNION ALL SELECT 'risk ' || level, count(*) FROM risk GROUP BY 1")
+def ledger_status(spark, d):
+    decision, live, obs, _ = tables(spark, d)
+    return review.status(verdict.current(live), verdict.residue(decision, live), items(spark, d), obs)
+
+
+@query(BASE + "SELECT fingerprint, '{\"category\":\"' || category || CASE WHEN confidence IS NULL THEN '' ELSE '\",\"confidence\":\"' || confidence END || '\",\"kind\":\"' || kind || CASE WHEN reach IS NULL THEN '' ELSE '\",\"reach\":\"' || reach END || '\",\"reason\":\"' || reason || CASE WHEN reviewability IS NULL THEN '' ELSE '\",\"reviewability\":\"' || reviewability END || CASE WHEN risk IS NULL THEN '' ELSE '\",\"risk\":\"' || risk END || '\"}' AS value FROM (" + ORACLE_SQL["verdict_bundle"][len(BASE):] + ") x")
+def verdict_lines(spark, d):
+    return publish.verdict_lines(verdict_bundle(spark, d))
+
+
+@query(BASE + "SELECT 'unsized' AS reason, count(*) AS n FROM cv WHERE fingerprint NOT IN (SELECT fingerprint FROM lo WHERE kind = 'reviewability') UNION ALL SELECT 'unregistered', count(*) FROM (SELECT DISTINCT decided_by, rule_version FROM decision WHERE kind <> 'human') x WHERE NOT (decided_by = 'doc-only' AND rule_version = 1)")
+def record_due(spark, d):
+    decision, live, obs, _ = tables(spark, d)
+    used = decision.filter("kind <> 'human'").select(F.col("decided_by").alias("rule_id"), F.col("rule_version").alias("version")).distinct()
+    return verdict.record_due(verdict.current(live), obs.filter("superseded_at IS NULL"), used, used.filter("rule_id = 'doc-only' AND version = 1"))
+
+
+@query(BASE + "SELECT CASE t WHEN 'd' THEN 'decision' ELSE 'observation' END AS \"table\", id FROM (SELECT 'd' AS t, id FROM ld WHERE decided_by = 'doc-only' AND rule_version = 1 UNION ALL SELECT 'o', id FROM lo WHERE observed_by = 'doc-only') x")
+def superseded_rule(spark, d):
+    _, live, obs, _ = tables(spark, d)
+    return ledger.supersede_rule(live, obs.filter("superseded_at IS NULL"), "doc-only", 1, "2024-05-01").select("table", "id")
+
+
+@query(BASE + ", w AS (SELECT DISTINCT fingerprint, CASE WHEN id % 2 = 0 THEN 'security' ELSE 'bugfix' END AS category FROM decision WHERE id % 97 = 1), h AS (SELECT fingerprint, max(id) AS id, arg_max(category, id) AS category FROM ld WHERE id % 3 <> 0 AND kind = 'llm' GROUP BY 1), k AS (SELECT fingerprint, min(category) AS category FROM w GROUP BY 1) SELECT coalesce(k.fingerprint, h.fingerprint) AS fingerprint, h.id, CASE WHEN h.fingerprint IS NULL THEN 'append' WHEN k.fingerprint IS NULL THEN 'retract' WHEN h.category = k.category AND h.id % 2 = 0 THEN 'skip' ELSE 'replace' END AS action FROM k FULL JOIN h ON k.fingerprint = h.fingerprint")
+def external_lifecycle(spark, d):
+    decision, live, _, _ = tables(spark, d)
+    want = decision.filter("id % 97 = 1").groupBy("fingerprint").agg(F.min(F.when(F.col("id") % 2 == 0, "security").otherwise("bugfix")).alias("category")).withColumn("input_snapshot", F.lit("s1"))
+    have = verdict.latest(live.filter("id % 3 <> 0"), F.col("kind") == "llm", ["fingerprint"]).select("fingerprint", "id", "category", F.lit("s1").alias("input_snapshot"), F.when(F.col("id") % 2 == 0, "2024-06-01").otherwise("2024-04-01").alias("input_fresh_until"))
+    return ledger.external_actions(want, have, "2024-05-01")
