@@ -6,8 +6,9 @@ random offset a source is cut at whole numbers, and a document is taken once for
 that its own share crosses. Because the order is by size, the words taken from a source differ from
 its target by no more than its largest document has.
 
-The prefix sum is a rank times a constant, and the rank is built in three levels (size groups in a
-source, slices of the md5 in a size group, rows in a slice), so no task holds all rows of a source.
+The prefix sum is a rank times a constant, and the rank is built in four levels (size groups in a
+source, 16 slices of the md5 in a size group, 256 in each of those, rows in a slice), so no task
+holds all rows of a source.
 """
 
 from __future__ import annotations
@@ -67,7 +68,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, s
         "sizes",
     )
     slices = store(base.groupBy("source", "size", F.substring("md5", 1, 3).alias("slice")).agg(F.count(F.lit(1)).alias("n")), "slices")
-    groups = store(slices.groupBy("source", "size").agg(F.sum("n").alias("n")), "groups")
+    tops = store(slices.groupBy("source", "size", F.substring("slice", 1, 1).alias("top")).agg(F.sum("n").alias("n")), "tops")
+    groups = store(tops.groupBy("source", "size").agg(F.sum("n").alias("n")), "groups")
     per_source = groups.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     goal = store(targets(per_source, weights, most), "targets")
     before = lambda *order: Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -75,9 +77,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, s
     null_safe = lambda a, b, *keys: [a[k].eqNullSafe(b[k]) for k in keys]
     groups = groups.withColumn("ahead", ahead).drop("n")
     groups = groups.join(goal, null_safe(groups, goal, "source")).drop(goal["source"])
-    own = F.coalesce(F.sum("n").over(before("slice").partitionBy("source", "size")), F.lit(0))
-    slices = slices.withColumn("own", own).drop("n")
-    placed = store(slices.join(groups, null_safe(slices, groups, "source", "size")).drop(groups["source"], groups["size"]), "placed")
+    above = F.coalesce(F.sum("n").over(before("top").partitionBy("source", "size")), F.lit(0))
+    tops = tops.withColumn("above", above).drop("n")
+    tops = store(tops.join(groups, null_safe(tops, groups, "source", "size")).drop(groups["source"], groups["size"]), "tops")
+    own = F.coalesce(F.sum("n").over(before("slice").partitionBy("source", "size", "top")), F.lit(0))
+    slices = slices.withColumn("top", F.substring("slice", 1, 1)).withColumn("own", own).drop("n")
+    placed = slices.join(tops, null_safe(slices, tops, "source", "size", "top")).drop(tops["source"], tops["size"], tops["top"])
+    placed = store(placed.withColumn("own", F.col("own") + F.col("above")).drop("above", "top"), "placed")
     rows = base.withColumn("slice", F.substring("md5", 1, 3))
     rows = rows.join(placed, null_safe(rows, placed, "source", "size", "slice")).drop(placed["source"], placed["size"], placed["slice"])
     nth = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("md5", "doc_id"))
