@@ -33,6 +33,10 @@ BASE, BASE2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 #: Bytes of text in a chunk (a longer document is a chunk of its own), window starts handled at once.
 CHUNK, STEP = 8 << 20, 1 << 18
 
+#: Bytes of a bucket and of a name that are kept: 104 bits together tell runs apart.
+KEY, NAME = 7, 6
+KEY_MASK, NAME_MASK = U((1 << 64) - (1 << 8 * (8 - KEY))), U((1 << 8 * NAME) - 1)
+
 CHUNKS = "chunk bigint, doc_ids binary, ends binary, body binary, n_bytes bigint"
 ENTRIES = "bucket int, chunk bigint, entries binary"
 MESSAGES = "chunk bigint, kind int, entries binary"
@@ -154,7 +158,7 @@ class Chunk:
                 n = np.minimum(w, whole_n - nth * w)
             with np.errstate(over="ignore"):
                 name = mix64(whole[at] * U(3) + mix64(whole[at + n - 1] + n.astype(U)))
-            parts.append((mix64(low[at] + U(1)), name, at + s, n))
+            parts.append((mix64(low[at] + U(1)) & KEY_MASK, name & NAME_MASK, at + s, n))
             if keep_windows:
                 kept.append(whole)
         cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)]
@@ -166,7 +170,7 @@ class Chunk:
         n = runs.n[chosen]
         start = np.repeat(runs.start[chosen], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         name = mix64(self.whole[start])
-        return Runs(mix64(np.repeat(runs.bucket[chosen], n) ^ name), name, start, np.ones(len(start), np.int64), np.repeat(runs.doc[chosen], n))
+        return Runs(mix64(np.repeat(runs.bucket[chosen], n) ^ name) & KEY_MASK, mix64(name) & NAME_MASK, start, np.ones(len(start), np.int64), np.repeat(runs.doc[chosen], n))
 
     def first(self, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
         """Order that puts equal runs together, earliest document first, and where each group of them starts."""
@@ -199,13 +203,26 @@ def among(runs: Runs, bucket: np.ndarray, name: np.ndarray) -> np.ndarray:
     return (bucket[at] == runs.bucket) & (name[at] == runs.name)
 
 
+def packed(key: np.ndarray, name: np.ndarray) -> bytes:
+    """Buckets without their low bytes, names without their high ones (both are 0)."""
+    a, b = (np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8) for x in (key, name))
+    return a[:, 8 - KEY :].tobytes() + b[:, :NAME].tobytes()
+
+
+def unpacked(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.zeros((n, 8), np.uint8), np.zeros((n, 8), np.uint8)
+    raw = np.frombuffer(blob, np.uint8, n * (KEY + NAME))
+    a[:, 8 - KEY :], b[:, :NAME] = raw[: n * KEY].reshape(n, KEY), raw[n * KEY :].reshape(n, NAME)
+    return a.view(U).ravel(), b.view(U).ravel()
+
+
 def dealt(chunk: int, entries: tuple[np.ndarray, np.ndarray, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
     """A chunk's entries, sorted by bucket, as one packed row for each share of the bucket space."""
     key, name, doc = entries
     share = ((key >> U(32)) * U(buckets)) >> U(32)
     cuts = np.searchsorted(share, np.arange(buckets + 1, dtype=U))
     full = np.flatnonzero(np.diff(cuts))
-    blobs = [key[a:b].tobytes() + name[a:b].tobytes() + doc[a:b].tobytes() for a, b in zip(cuts[full], cuts[full + 1], strict=True)]
+    blobs = [packed(key[a:b], name[a:b]) + doc[a:b].tobytes() for a, b in zip(cuts[full], cuts[full + 1], strict=True)]
     if blobs:
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), chunk, np.int64)), pa.array(blobs, pa.binary())], ["bucket", "chunk", "entries"])
 
@@ -213,14 +230,16 @@ def dealt(chunk: int, entries: tuple[np.ndarray, np.ndarray, np.ndarray], bucket
 def matched(table: pa.Table, refine: bool) -> pa.Table:
     """One share of the buckets: tell each chunk which of its runs an earlier document has (mark), and which first holders to refine."""
     chunks = np.array(table.column("chunk").to_pylist(), np.int64)
-    parts = [np.frombuffer(x, U).reshape(3, -1) for x in table.column("entries").to_pylist()]
-    key, name, doc = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    chunk = np.repeat(chunks, [p.shape[1] for p in parts])
+    blobs = table.column("entries").to_pylist()
+    sizes = [len(x) // (KEY + NAME + 8) for x in blobs]
+    key, name = (np.concatenate(x) for x in zip(*map(unpacked, blobs, sizes), strict=True))
+    doc = np.concatenate([np.frombuffer(x, np.int64, n, n * (KEY + NAME)) for x, n in zip(blobs, sizes, strict=True)])
+    chunk = np.repeat(chunks, sizes)
     order = np.argsort(key)
     k = key[order]
     same = k[1:] == k[:-1]
     sub = order[np.r_[False, same] | np.r_[same, False]]
-    key, name, doc, chunk = key[sub], name[sub], doc[sub].astype(np.int64), chunk[sub]
+    key, name, doc, chunk = key[sub], name[sub], doc[sub], chunk[sub]
     order = np.lexsort((doc, name, key))
     key, name, doc, chunk = key[order], name[order], doc[order], chunk[order]
     new_key = np.r_[True, key[1:] != key[:-1]][: len(key)]
@@ -236,11 +255,11 @@ def matched(table: pa.Table, refine: bool) -> pa.Table:
     key, name, chunk, kind = key[keep], name[keep], chunk[keep], kind[keep]
     at = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1])][: len(key)])
     ends = np.r_[at[1:], len(key)][: len(at)]
-    return pa.table({"chunk": pa.array(chunk[at], pa.int64()), "kind": pa.array(kind[at], pa.int32()), "entries": pa.array([key[a:b].tobytes() + name[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())})
+    return pa.table({"chunk": pa.array(chunk[at], pa.int64()), "kind": pa.array(kind[at], pa.int32()), "entries": pa.array([packed(key[a:b], name[a:b]) for a, b in zip(at, ends, strict=True)], pa.binary())})
 
 
 def told(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = [np.frombuffer(e, U).reshape(2, -1) for k, e in zip(table.column("kind").to_pylist(), table.column("entries").to_pylist(), strict=True) if k == kind]
+    rows = [unpacked(e, len(e) // (KEY + NAME)) for k, e in zip(table.column("kind").to_pylist(), table.column("entries").to_pylist(), strict=True) if k == kind]
     return tuple(np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, U) for i in (0, 1))
 
 

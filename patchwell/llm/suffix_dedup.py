@@ -26,7 +26,7 @@ def byte_tokens(body: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return BYTES[np.frombuffer(body, np.uint8)], ends
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, q: int = 22, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, q: int = 20, with_text: bool = False) -> DataFrame:
     """Remove each byte covered by a `length`-byte string that also starts in a document with a smaller doc_id.
 
     One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256,
