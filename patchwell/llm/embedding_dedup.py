@@ -85,9 +85,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile: int = TIL
     at least `threshold`; vectors of different length never do, and null, zero or non-finite ones
     link with nothing and are their own component. n_links counts other rows linked directly;
     component_id is the smallest vec_id reachable; kept is vec_id = component_id. Rows that repeat a
-    vec_id count as rows of their own. An empty table gives no rows.
+    vec_id count as rows of their own; rows without one link with nothing and aren't kept. An empty table
+    gives no rows.
     """
-    v = vectors.select("vec_id", "label", "embedding", (usable(F.col("embedding")) & F.col("label").isNotNull()).alias("ok"))
+    v = vectors.select("vec_id", "label", "embedding", (usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).alias("ok"))
     key = F.xxhash64("label", "embedding")
     classes = v.filter("ok").withColumn("key", key).groupBy("key", "label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     classes = store(classes.withColumn("dim", F.size("embedding")), "classes")
@@ -102,7 +103,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile: int = TIL
     per_class = store(per_class.select("key", "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "per_class")
     mine = store(v.withColumn("key", F.when(F.col("ok"), key)), "vectors")
     return mine.join(per_class, ["key", "label", "embedding"], "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept")
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept")
     )
 
 

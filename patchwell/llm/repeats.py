@@ -31,7 +31,9 @@ from .common import as_bytes, mix64, shuffle_parts, store
 U = np.uint64
 BASE, BASE2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 #: Bytes of text in a chunk (a longer document is a chunk of its own), window starts handled at once.
-CHUNK, STEP = 8 << 20, 1 << 18
+CHUNK, STEP = 4 << 20, 1 << 18
+#: Stands for a missing doc_id inside: after all others.
+NO_ID = (1 << 63) - 1
 
 #: Bytes of a bucket and of a name that are kept: 104 bits together tell runs apart.
 KEY, NAME = 7, 6
@@ -69,7 +71,7 @@ def pack(docs: DataFrame) -> DataFrame:
                 if ids and held + len(text) > CHUNK:
                     yield flush()
                     seq, ids, texts, held = seq + 1, [], [], 0
-                ids.append(i)
+                ids.append(NO_ID if i is None else i)
                 texts.append(text)
                 held += len(text)
         if ids:
@@ -192,6 +194,10 @@ class Chunk:
         return runs.bucket[top], runs.name[top], self.doc_ids[runs.doc[top]]
 
 
+def id_column(ids: tuple[int, ...]) -> pa.Array:
+    return pa.array([None if i == NO_ID else i for i in ids], pa.int64())
+
+
 def among(runs: Runs, bucket: np.ndarray, name: np.ndarray) -> np.ndarray:
     """Which runs are in the given set of (bucket, name)."""
     if not len(bucket) or not len(runs.bucket):

@@ -139,7 +139,8 @@ def near_duplicates(docs: DataFrame, budget: int = 4, width: int = 4) -> DataFra
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links of at most `budget` differing bits.
 
     Null and wordless texts share fingerprint 0. Texts of fewer words than `width` are one shingle.
-    Rows that repeat a doc_id each get a row; an empty table gives none; other columns are ignored.
+    Rows that repeat a doc_id each get a row; a missing doc_id is never a component_id unless its component
+    has no other (then null); an empty table gives none; other columns are ignored.
     """
     prints = store(fingerprints(docs, width), "prints")
     distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct")

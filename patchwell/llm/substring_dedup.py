@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .repeats import Chunk, Plan, repeated
+from .repeats import Chunk, Plan, id_column, repeated
 
 SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
 #: Words whose hashes a task remembers.
@@ -50,7 +50,8 @@ def remove_repeated_windows(docs: DataFrame, length: int = 50, q: int = 8, with_
 
     One row per document: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space),
     and, with `with_text`, kept. Null texts have no words; shorter texts keep everything; rows that
-    repeat a doc_id count as one document and each gets a row; an empty table gives no rows.
+    repeat a doc_id count as one document and each gets a row, rows without one as a document after all
+    others; an empty table gives no rows.
     """
 
     def finish(c: Chunk, covered: np.ndarray) -> pa.RecordBatch:
@@ -62,8 +63,8 @@ def remove_repeated_windows(docs: DataFrame, length: int = 50, q: int = 8, with_
             rows.append((doc, e - s, n, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
             a, s = b, e
         cols = list(zip(*rows, strict=True))
-        types = [pa.int64()] * 3 + [pa.string()] * 2
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+        types = [pa.int64()] * 2 + [pa.string()] * 2
+        return pa.RecordBatch.from_arrays([id_column(cols[0]), *(pa.array(x, t) for x, t in zip(cols[1:], types, strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     out = repeated(docs, Plan(length, min(q, length), word_tokens), finish, SCHEMA)
     return out if with_text else out.drop("kept")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import mix64
-from .repeats import Chunk, Plan, repeated
+from .repeats import Chunk, Plan, id_column, repeated
 
 BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
@@ -32,7 +32,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, q: int = 20, with_text: bo
     One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256,
     and, with `with_text`, kept (the remaining bytes). Null texts count as empty; texts shorter
     than `length` keep everything; rows that repeat a doc_id count as one document and each gets a
-    row; other columns are ignored; an empty table gives no rows. Matches never cross documents.
+    row; rows
+    without a doc_id count as one document after all others; other columns are ignored; an empty table
+    gives no rows. Matches never cross documents.
     """
 
     def finish(c: Chunk, covered: np.ndarray) -> pa.RecordBatch:
@@ -45,8 +47,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, q: int = 20, with_text: bo
             rows.append((doc, b - a, n, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
             a = b
         cols = list(zip(*rows, strict=True))
-        types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        types = [pa.int64()] * 3 + [pa.string(), pa.binary()]
+        return pa.RecordBatch.from_arrays([id_column(cols[0]), *(pa.array(x, t) for x, t in zip(cols[1:], types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     out = repeated(docs, Plan(length, min(q, length), byte_tokens), finish, SCHEMA)
     return out if with_text else out.drop("kept")

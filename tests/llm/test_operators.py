@@ -281,3 +281,19 @@ def test_html_by_site(spark):
     assert all("Same bar" not in got[i]["text"] and "Always" not in got[i]["text"] and got[i]["text"].count(f" {i}") >= 2 for i in range(12))
     assert got[51]["text"] == "Same bar alone" and got[50]["text"] == got[52]["text"] == "" and got[51]["n_chars"] == 14
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_missing_ids(spark):
+    df = spark.createDataFrame([(None, PASSAGE, "a", "en"), (1, PASSAGE, "a", "en"), (None, "x y z", None, None)], "doc_id long, text string, source string, lang string")
+    removed = len(PASSAGE.encode())
+    by = lambda out, c: sorted(((r["doc_id"], r[c]) for r in out.collect()), key=repr)
+    assert by(suffix_dedup.remove_repeats(df), "n_removed") == [(1, 0), (None, 0), (None, removed)]
+    assert by(substring_dedup.remove_repeated_windows(df), "n_removed") == [(1, 0), (None, 0), (None, 80)]
+    assert by(exact_dedup.deduplicate(df), "kept") == [(1, True), (None, False), (None, False)]
+    assert by(simhash_dedup.near_duplicates(df), "component_id") == [(1, 1), (None, 1), (None, None)]
+    assert len(by(mixing.mix(df), "taken")) == len(by(language_id.identify(df), "lang_pred")) == len(by(sentencepiece_codec.encode_decode(df, tokenizer_path()), "n_tokens")) == 3
+    assert len(by(quality.rate(df, df.select("doc_id", F.lit(1).alias("quality"))), "predicted")) == 3
+    v = spark.createDataFrame([(None, [1.0], 1), (3, [1.0], 1), (4, [1.0], 1)], "vec_id long, embedding array<float>, label int")
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(v).collect()), key=repr) == [(3, 1, 3, True), (4, 1, 3, False), (None, 0, None, False)]
+    pages = spark.createDataFrame([(None, None, "<p>a")], "page_id long, url string, html string")
+    assert [tuple(r) for r in html_extract.extract(pages).collect()] == [(None, None, "a", 1)]
