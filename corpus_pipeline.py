@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents. Rows that repeat a
-doc_id stay or go together.
+doc_id stay or go together; rows without one go with exact dedup, which names what stays by doc_id.
 """
 
 from __future__ import annotations
