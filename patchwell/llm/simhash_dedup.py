@@ -25,6 +25,8 @@ U = np.uint64
 BLOCKS, EQUAL = 6, 2
 #: Pairs compared outright below this number; pairs of places held at once.
 SMALL, MANY = 32, 1 << 20
+#: Fingerprints of a subtrie that one task joins.
+MOST = 20_000
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
@@ -105,8 +107,11 @@ def self_join(keys: np.ndarray, pivot: int, budget: int, forest: Forest, place:
     compared(a, b, c, d)
 
 
-def linked(distinct: DataFrame, budget: int) -> DataFrame:
-    """(u, v): links between distinct fingerprints that span the components of the budget graph."""
+def linked(distinct: DataFrame, budget: int, most: int = MOST) -> DataFrame:
+    """(u, v): links between distinct fingerprints that span the components of the budget graph.
+
+    A subtrie of more than `most` fingerprints is cut into slots, and each pair of slots is a task.
+    """
     order = turns()
     pivot = [sum(n for _, n in o[:EQUAL]) for o in order]
     share = 2 * shuffle_parts(distinct.sparkSession)
@@ -115,14 +120,13 @@ def linked(distinct: DataFrame, budget: int) -> DataFrame:
         for batch in batches:
             x = batch.column(0).to_numpy().view(U)
             for t, o in enumerate(order):
-                key = turned(x, o)
-                part = ((key >> U(64 - pivot[t])) * U(0x9E3779B97F4A7C15) >> U(33)) % U(share)
-                yield pa.RecordBatch.from_arrays([pa.array((part * U(len(order)) + U(t)).astype(np.int64)), pa.array(x.view(np.int64))], ["part", "fp"])
+                top = turned(x, o) >> U(64 - pivot[t])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(top.astype(np.int32)), pa.array(x.view(np.int64))], ["t", "top", "fp"])
 
     def join(table: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        t = table.column("part")[0].as_py() % len(order)
+        t = table.column("t")[0].as_py()
         x = table.column("fp").to_numpy().view(U)
         key = turned(x, order[t])
         place = np.argsort(key)
@@ -132,7 +136,17 @@ def linked(distinct: DataFrame, budget: int) -> DataFrame:
         fp = x.view(np.int64)
         return pa.table({"u": fp[forest.root[up]], "v": fp[up]})
 
-    return distinct.select("fp").mapInArrow(deal, "part bigint, fp bigint").groupBy("part").applyInArrow(join, "u bigint, v bigint")
+    rows = distinct.select("fp").mapInArrow(deal, "t int, top int, fp bigint")
+    large = store(rows.groupBy("t", "top").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("t", "top", F.ceil(F.col("n") / most).cast("int").alias("slots")), "large")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("top"), F.lit(share)))
+    if large.isEmpty():
+        dealt = rows.select("t", "part", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
+    else:
+        small = rows.join(large, ["t", "top"], "left_anti").select("t", "part", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
+        slot = F.pmod(F.xxhash64("fp"), F.col("slots")).cast("int")
+        cut = rows.join(large, ["t", "top"]).withColumn("a", slot).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).filter("a <> b")
+        dealt = small.unionByName(cut.select("t", (F.lit(share) + F.col("top")).alias("part"), F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "fp"))
+    return dealt.groupBy("t", "part", "i", "j").applyInArrow(join, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, budget: int = 4, width: int = 4) -> DataFrame:

@@ -99,14 +99,15 @@ def test_simhash(docs, none):
     assert simhash_dedup.near_duplicates(none).count() == 0
 
 
-def test_trie_join_links_everything(spark):
+@pytest.mark.parametrize("most", [simhash_dedup.MOST, 9])
+def test_trie_join_links_everything(spark, most):
     """Random centres with many neighbours, through the join alone."""
     r = np.random.default_rng(3)
     centre = r.integers(0, 1 << 63, 20, dtype=np.uint64)
     x = {int(c) ^ sum(1 << int(b) for b in r.choice(64, r.integers(0, 5), replace=False)) for c in centre for _ in range(60)}
     fps = np.array(sorted(x), np.uint64)
     df = spark.createDataFrame([(int(v),) for v in fps.view(np.int64)], "fp long")
-    got = {r["node"]: r["component"] for r in components.components(simhash_dedup.linked(df, 4)).collect()}
+    got = {r["node"]: r["component"] for r in components.components(simhash_dedup.linked(df, 4, most)).collect()}
     close = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
     ids = fps.view(np.int64).tolist()
     want = brute.components(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(np.triu(close, 1)), strict=True)])
