@@ -45,10 +45,14 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """`df`, a table of ids and numbers, for a join: broadcast while it has at most BROADCAST_IDS rows, else left to a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
+
+
 def having_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of `df` whose `key` is in `ids`; the ids are broadcast only while few enough."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    """Rows of `df` whose `key` is in `ids`."""
+    return df.join(sized(ids), key, "left_semi")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
