@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from patchwell.llm import exact_dedup, language_id, mixing, sentencepiece_codec, simhash_dedup
-from patchwell.llm.common import having_ids, store, tokenizer_path
+from patchwell.llm.common import having_ids, sized, store, tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, at most three times."""
     taken = store(mixing.mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")), "copies")
-    rows = docs.join(taken.withColumnRenamed("doc_id", "taken_id"), F.col("doc_id") == F.col("taken_id"))
+    rows = docs.join(sized(taken.withColumnRenamed("doc_id", "taken_id")), F.col("doc_id") == F.col("taken_id"))
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 
