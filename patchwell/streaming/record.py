@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,8 +22,12 @@ KEPT = "id bigint, fingerprint string, category string, confidence string, decid
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A ledger table, empty before its first batch."""
-    spark.createDataFrame([], schema).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def record_batch(batch: DataFrame, ledger_dir: str, now: str) -> None:
