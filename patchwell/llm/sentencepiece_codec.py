@@ -2,9 +2,10 @@
 
 The encoder keeps an agenda of adjacent symbol pairs ordered by score (then leftmost first) and
 merges until no pair is a piece. Texts fall apart into units that no piece can span (a unit ends
-where a space mark follows another character, and at line feeds when no piece holds one), so units
-are encoded once per task and remembered. Every unit that a task meets anew is checked, a batch of
-units at a time, against the sentencepiece library; a difference is an error.
+where a space mark follows another character, at line feeds when no piece holds one, and between a
+letter and a sign that no piece has side by side). Units are encoded once and remembered. Every unit
+that is met anew is checked, a batch of units at a time, against the sentencepiece library, and
+decoded from its ids; a difference is an error.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import re
+import string
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 #: Units a worker remembers, twice over.
-REMEMBER = 200_000
+REMEMBER = 250_000
 
 
 class Codec:
@@ -33,7 +35,7 @@ class Codec:
         plain = [i for i in ids if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i))]
         self.ids = {lib.id_to_piece(i): i for i in plain}
         self.cost = {lib.id_to_piece(i): -lib.get_score(i) for i in plain}
-        self.beside = {ab for p in self.ids for ab in zip(p, p[1:], strict=False)}
+        beside = {ab for p in self.ids for ab in zip(p, p[1:], strict=False)}
         self.piece = {i: p for p, i in self.ids.items()}
         self.byte = {int(lib.id_to_piece(i)[3:5], 16): i for i in ids if lib.is_byte(i)}
         self.of_byte = {i: b for b, i in self.byte.items()}
@@ -42,15 +44,17 @@ class Codec:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces with inner space marks are not supported")
         self.feeds = not any("\n" in p for p in self.ids)
-        self.units = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if self.feeds else f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.done: dict[str, list[int]] = {}
+        joins = {b for a, b in beside if a.isalpha()}
+        apart = "".join(re.escape(c) for c in string.punctuation if c not in joins)
+        word = f"{MARK}*[^\\W\\d_]+(?=[{apart}])|" if self.feeds and apart else ""  # letters, then a sign that no piece has after a letter
+        self.units = re.compile(word + (f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if self.feeds else f"{MARK}*[^{MARK}]+|{MARK}+")).findall
         self.young: dict[str, str] = {}
         self.old: dict[str, str] = {}
         self.line = self.encoded(MARK) + self.encoded("\n")
 
-    def merged(self, part: str) -> list[str]:
-        """Symbols of a part after all merges. An agenda entry is alive while it is the pair now at its left place."""
-        symbols, cost, n = list(part), self.cost, len(part)
+    def merged(self, unit: str) -> list[str]:
+        """Symbols of a unit after all merges. An agenda entry is alive while it is the pair now at its left place."""
+        symbols, cost, n = list(unit), self.cost, len(unit)
         pairs = [a + b for a, b in zip(symbols, symbols[1:], strict=False)]
         agenda = [(cost[p], i, p) for i, p in enumerate(pairs) if p in cost]
         if not agenda:
@@ -77,36 +81,12 @@ class Codec:
                     heappush(agenda, (cost[new], h, new))
         return [s for s in symbols if s is not None]
 
-    def parts(self, unit: str) -> list[str]:
-        """The unit cut wherever no piece has the two characters side by side, so that no merge can cross."""
-        out, start = [], 0
-        for i, ab in enumerate(zip(unit, unit[1:], strict=False), 1):
-            if ab not in self.beside:
-                out.append(unit[start:i])
-                start = i
-        out.append(unit[start:])
-        return out
-
-    def part_ids(self, part: str) -> list[int]:
-        found = self.done.get(part)
-        if found is None:
-            found = []
-            for s in self.merged(part):
-                i = self.ids.get(s)
-                if i is not None:
-                    found.append(i)
-                else:
-                    found.extend([self.byte[b] for b in s.encode()])
-            if len(self.done) > REMEMBER:
-                self.done.clear()
-            self.done[part] = found
-        return found
-
     def encoded(self, unit: str) -> list[int]:
-        out = []
-        for part in self.parts(unit):
-            out += self.part_ids(part)
-        return out
+        symbols = self.merged(unit)
+        try:
+            return [self.ids[s] for s in symbols]
+        except KeyError:
+            return [i for s in symbols for i in ([self.ids[s]] if s in self.ids else [self.byte[b] for b in s.encode()])]
 
     def decoded(self, ids: list[int]) -> str:
         """Text of a unit's ids; space marks become spaces."""
