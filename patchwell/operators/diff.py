@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import files, text as t
+from ..schemas import FILE_TYPES
+from .rules import construct_details
 
 #: Normalisation variants: (strip_path, drop_context).
 VARIANTS = {"default": (True, False), "keep_path": (False, False), "drop_context": (True, True), "keep_path_drop_context": (False, True)}
@@ -86,51 +88,61 @@ def line_table(patches: DataFrame, key: str = "patch_id") -> DataFrame:
 
 
 def file_table(lines: DataFrame, key: str = "patch_id") -> DataFrame:
-    """A row for each file section: key, file_no, path, type, ext, hunks, added, removed, and its changed lines' traits."""
+    """A row for each file section: key, file_no, path, type, ext, hunks, added, removed, and its changed lines' traits.
+
+    Path, extension and type are worked out on a file's `+++ ` line and carried down. The rows are
+    grouped within the partitioning that the lines have.
+    """
     target = t.header_path(F.col("raw"))
     path = F.when((target == "/dev/null") & F.col("source").isNotNull() & (F.col("source") != "/dev/null"), F.col("source")).otherwise(target)
     own = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("path", F.last(F.when(F.col("kind") == "to", path), ignorenulls=True).over(own)).filter("file_no > 0")
-    rows = rows.withColumn("ext", t.extension(F.col("path"))).withColumn("text", F.substring("raw", 2, 1 << 30)).withColumn("changed", F.col("kind").isin("add", "del"))
+    rows = lines.withColumn("path", F.when(F.col("kind") == "to", path))
+    opened = F.when(F.col("path").isNotNull(), F.struct("path", t.extension(F.col("path")).alias("ext"), files.file_type(F.col("path")).alias("type")))
+    rows = rows.withColumn("file", F.last(opened, ignorenulls=True).over(own)).filter("file_no > 0")
+    rows = rows.select(key, "file_no", "kind", "file.*", F.substring("raw", 2, 1 << 30).alias("text"), F.col("kind").isin("add", "del").alias("changed"))
     count = lambda kind: F.count_if(F.col("kind") == kind)
     ws = F.regexp_replace(t.strip(F.col("text")), r"(?U)\s+", " ")
     lines_of = lambda kind, x: F.collect_list(F.when(F.col("kind") == kind, x))
-    out = rows.groupBy(key, "file_no", "path", "ext").agg(
+    code = (F.col("kind") == "add") & (F.col("type") == "code")
+    return rows.groupBy(key, "file_no", "path", "ext", "type").agg(
         count("hunk").alias("hunks"), count("add").alias("added"), count("del").alias("removed"),
         F.bool_and(~F.col("changed") | files.comment_or_blank(F.col("text"), F.col("ext"))).alias("comments"),
         F.bool_and(~F.col("changed") | files.ignore_pattern(F.col("text"))).alias("patterns"),
         lines_of("add", F.col("text")).alias("plus"), lines_of("del", F.col("text")).alias("minus"),
         lines_of("add", ws).alias("plus_ws"), lines_of("del", ws).alias("minus_ws"),
+        F.flatten(F.collect_list(F.when(code, construct_details(F.col("text"), F.col("ext"))))).alias("constructs"),
     )
-    return out.withColumn("type", files.file_type(F.col("path")))
 
 
 def profile(file_rows: DataFrame, patches: DataFrame, key: str = "patch_id") -> DataFrame:
-    """A row for each patch: files, counts in all and by type, touches_code and the four trivial flags.
+    """A row for each patch: files, counts in all and by type, touches_code, the four trivial flags, construct hits.
 
-    `patches`: key and `body`. Patches without a diff get zero counts and is_empty.
+    `patches`: key and `body`. Patches without a diff get zero counts and is_empty. The files are
+    grouped within their partitioning; only (key, is_empty) is shuffled besides.
     """
     changes = F.col("added") + F.col("removed") > 0
     flat = lambda c: F.array_sort(F.flatten(F.collect_list(c)))
-    by_type = lambda v: F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", v))))
-    per_type = file_rows.groupBy(key, "type").agg(F.count(F.lit(1)).alias("n"), F.sum("added").alias("a"), F.sum("removed").alias("r"))
-    types = per_type.groupBy(key).agg(by_type("n").alias("file_types"), by_type("a").alias("added_by_type"), by_type("r").alias("removed_by_type"))
+    of = lambda kind: F.col("type") == kind
+    per = {"file_types": lambda k: F.count_if(of(k)), "added_by_type": lambda k: F.sum(F.when(of(k), F.col("added"))), "removed_by_type": lambda k: F.sum(F.when(of(k), F.col("removed")))}
+    # One struct a type that the patch has: null counts of the other types drop out.
+    by_type = lambda n: F.map_from_entries(F.array_compact(F.array(*[F.when(F.count_if(of(k)) > 0, F.struct(F.lit(k).alias("key"), n(k).alias("value"))) for k in sorted(FILE_TYPES)])))
     per_patch = file_rows.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("file_no", "path", "type"))).alias("files"),
+        F.array_sort(F.collect_list(F.struct("file_no", "path", "type"))).alias("files"), *[by_type(n).alias(name) for name, n in per.items()],
         F.sum("added").alias("added_lines"), F.sum("removed").alias("removed_lines"), F.sum("hunks").alias("hunks"),
         F.bool_and(~changes | (files.knows_comments(F.col("ext")) & F.col("comments"))).alias("comments"),
         F.bool_and(F.lower(t.basename(F.col("path"))).isin(files.IGNORE_NAMES) & F.col("patterns")).alias("patterns"),
-        flat("plus").alias("p"), flat("minus").alias("m"), flat("plus_ws").alias("pw"), flat("minus_ws").alias("mw"),
+        flat("plus").alias("p"), flat("minus").alias("m"), flat("plus_ws").alias("pw"), flat("minus_ws").alias("mw"), F.flatten(F.collect_list("constructs")).alias("constructs"),
     )
     base = with_lines(patches.select(key, "body")).select(key, (normalised(F.col("ls")) == "").alias("is_empty"))
     some = F.coalesce(F.col("added_lines") + F.col("removed_lines"), F.lit(0)) > 0
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     flag = lambda c, name: F.coalesce(c, F.lit(False)).alias(name)
-    return base.join(per_patch, key, "left").join(types, key, "left").select(
+    return base.join(per_patch, key, "left").select(
         key, "files", "file_types", "added_by_type", "removed_by_type", zero("added_lines"), zero("removed_lines"), zero("hunks"),
         flag(F.map_contains_key("file_types", "code"), "touches_code"), "is_empty",
         flag(some & (F.size("p") == F.size("m")) & (F.col("pw") == F.col("mw")) & (F.col("p") != F.col("m")), "whitespace_only"),
         flag(some & F.col("comments"), "comment_only"), flag(some & F.col("patterns"), "ignore_file_only"),
+        F.when(F.col("constructs").isNull(), 0).otherwise(F.size("constructs")).cast("long").alias("flag_count"), F.coalesce(F.array_join(F.array_sort(F.array_distinct("constructs")), ", "), F.lit("")).alias("flag_details"),
     )
 
 

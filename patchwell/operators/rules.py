@@ -65,11 +65,16 @@ SHELL_CONSTRUCTS = [("shell-out", r"`[^`]* [^`]*`")]
 SHELL_EXTENSIONS = [".sh", ".bash"]
 
 
+def construct_details(line: Column, ext: Column, constructs: list = CONSTRUCTS, shell: list = SHELL_CONSTRUCTS) -> Column:
+    """Array of the details that fire in an added code line, each once; empty for a blank line."""
+    hits = [F.when(line.rlike(p), F.lit(d)) for d, p in constructs] + [F.when(ext.isin(SHELL_EXTENSIONS) & line.rlike(p), F.lit(d)) for d, p in shell]
+    return F.array_distinct(F.array_compact(F.array(*hits)))
+
+
 def construct_flags(code_lines: DataFrame, constructs: list = CONSTRUCTS, shell: list = SHELL_CONSTRUCTS) -> DataFrame:
     """A row for each added code line and detail that fires: the line's columns, detail, evidence."""
     line = F.col("text")
-    hits = [F.when(line.rlike(p), F.lit(d)) for d, p in constructs] + [F.when(F.col("ext").isin(SHELL_EXTENSIONS) & line.rlike(p), F.lit(d)) for d, p in shell]
-    details = F.array_distinct(F.array_compact(F.array(*hits)))
+    details = construct_details(line, F.col("ext"), constructs, shell)
     return code_lines.filter(t.strip(line) != "").withColumn("detail", F.explode(details)).withColumn("evidence", t.strip(line))
 
 

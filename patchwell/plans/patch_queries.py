@@ -163,13 +163,11 @@ def content_profiles(spark, d):
 
 
 def verdicts(spark, d) -> DataFrame:
-    p, lines, files = analysed(spark, d)
+    p, _, files = analysed(spark, d)
     claims = claim_rows(spark, d).select("patch_id", "claim_category")
-    flags = rules.construct_flags(diff.code_added_lines(lines, files)).groupBy("patch_id").agg(F.count(F.lit(1)).alias("flag_count"), F.array_join(F.array_sort(F.collect_set("detail")), ", ").alias("flag_details"))
-    rows = diff.profile(files, p).withColumn("v", rules.first_rule()).join(claims, "patch_id").join(flags, "patch_id", "left")
-    flagged = F.col("flag_count").isNotNull()
+    rows = diff.profile(files, p).withColumn("v", rules.first_rule()).join(claims, "patch_id")
     claim, content = F.col("claim_category"), F.col("v.category")
-    return rows.select("patch_id", "v.rule_id", content.alias("content_category"), "v.confidence", "claim_category", rules.consistency(claim, content).alias("consistency"), rules.review_flag(claim, content, F.col("touches_code"), flagged).alias("review_flag"), F.coalesce("flag_count", F.lit(0)).alias("flag_count"), F.coalesce("flag_details", F.lit("")).alias("flag_details"))
+    return rows.select("patch_id", "v.rule_id", content.alias("content_category"), "v.confidence", "claim_category", rules.consistency(claim, content).alias("consistency"), rules.review_flag(claim, content, F.col("touches_code"), F.col("flag_count") > 0).alias("review_flag"), "flag_count", "flag_details")
 
 
 CLASSIFIED = DL + """, fc AS (SELECT patch_id, count(*) AS flag_count, string_agg(DISTINCT detail, ', ' ORDER BY detail) AS flag_details FROM fx GROUP BY 1),
