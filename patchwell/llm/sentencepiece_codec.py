@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 #: Units a worker remembers, twice over.
-REMEMBER = 250_000
+REMEMBER = 180_000
 
 
 class Codec:
