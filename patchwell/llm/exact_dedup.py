@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import store
+from .common import having_ids, store
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = 2048
@@ -44,27 +44,30 @@ def crowded(blocks: DataFrame, keys: list[str], bits: int) -> DataFrame:
 
 
 def named(docs: DataFrame, items: str, keys: list[str], bits: int) -> DataFrame:
-    """Replace the array `items` of structs `keys` by the array `names` of their names."""
+    """Replace the array `items` of structs `keys` by the array `names` of their names.
+
+    Where buckets are crowded, rows are numbered in a stored table; only the places of items with a rank go back to them.
+    """
     mask = F.lit((1 << bits) - 1)
     bucket = lambda x: bucket_of(*(x[k] for k in keys)).bitwiseAND(mask)
-    odd = store(crowded(docs.select(F.explode(items).alias("x")).select(*(F.col("x")[k].alias(k) for k in keys)), keys, bits), "crowded")
-    plain = docs.withColumn("names", F.transform(items, lambda x: F.shiftleft(bucket(x), RANKS)))
+    odd = store(crowded(docs.select(F.explode(items).alias("x")).select(*(F.col("x")[k].alias(k) for k in keys)), keys, bits), "crowded").filter("rank > 0")
     if odd.isEmpty():
-        return plain.drop(items)
-    rows = docs.select("row", F.posexplode(items).alias("pos", "x")).withColumns({k: F.col("x")[k] for k in keys})
-    same = [rows[k].eqNullSafe(odd[k]) for k in keys]  # the last of an odd number of names has no right one
-    rows = rows.join(odd, same, "left").select("row", F.struct("pos", (F.shiftleft(bucket(F.col("x")), RANKS) + F.coalesce("rank", F.lit(0))).alias("name")).alias("at"))
-    names = rows.groupBy("row").agg(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["name"]).alias("names"))
-    return docs.drop(items).join(names, "row", "left").withColumn("names", F.coalesce("names", F.array().cast("array<bigint>")))
+        return docs.withColumn("names", F.transform(items, lambda x: F.shiftleft(bucket(x), RANKS))).drop(items)
+    docs = store(docs.withColumn("row", F.monotonically_increasing_id()), "rows")  # row numbers must stay as they are
+    places = docs.select("row", F.posexplode(items).alias("pos", "x")).select("row", "pos", bucket(F.col("x")).alias("bucket"), *(F.col("x")[k].alias(k) for k in keys))
+    places = having_ids(places, odd.select("bucket").distinct(), "bucket").drop("bucket")
+    same = [places[k].eqNullSafe(odd[k]) for k in keys]  # the last of an odd number of names has no right one
+    ranks = places.join(odd, same).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "rank"))).alias("ranks"))
+    rank = lambda i: F.coalesce(F.try_element_at("ranks", i), F.lit(0).cast("long"))
+    return docs.join(ranks, "row", "left").withColumn("names", F.transform(items, lambda x, i: F.shiftleft(bucket(x), RANKS) + rank(i))).drop(items, "row", "ranks")
 
 
 def identities(docs: DataFrame, block: int = BLOCK, bits: int = 48) -> DataFrame:
     """doc_id, text_sha256, n_blocks, name: rows have equal (n_blocks, name) exactly when their normalised texts are equal."""
     text = normalised(F.col("text"))
     cut = lambda t: F.transform(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)), lambda b: F.struct(b.alias("block")))
-    source = docs.select("doc_id", text.alias("t")).withColumn("row", F.monotonically_increasing_id() if bits < 48 else F.lit(None).cast("long"))
-    source = store(source, "texts") if bits < 48 else source  # row numbers must stay as they are
-    level = named(source.select("row", "doc_id", F.sha2("t", 256).alias("text_sha256"), cut(F.col("t")).alias("blocks")), "blocks", ["block"], bits)
+    source = docs.select("doc_id", text.alias("t"))
+    level = named(source.select("doc_id", F.sha2("t", 256).alias("text_sha256"), cut(F.col("t")).alias("blocks")), "blocks", ["block"], bits)
     level = store(level.withColumn("n_blocks", F.size("names")), "names")
     longest = level.agg(F.max("n_blocks")).first()[0] or 0
     while longest > 1:

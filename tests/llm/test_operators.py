@@ -58,6 +58,20 @@ def test_exact(docs, none, spark):
     assert rows(exact_dedup.deduplicate(twice), "doc_id", "group_size", "kept") == [(13, 2, True)] * 2
 
 
+def test_exact_with_colliding_blocks(docs, spark, monkeypatch):
+    """At the production width: two texts of one 48-bit bucket, then few buckets for all blocks and pairs."""
+    cols = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    data = [(1, "10538120"), (2, "16106211"), (3, "16106211"), (4, None), (5, "10538120" + "x" * 3000), (6, "16106211" + "x" * 3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert df.filter("doc_id < 3").select(exact_dedup.bucket_of(F.col("text"))).distinct().count() == 1
+    assert rows(exact_dedup.deduplicate(df), *cols) == brute.exact(data)
+    assert rows(exact_dedup.deduplicate(df, block=8), *cols) == brute.exact(data)
+    monkeypatch.setattr(exact_dedup, "bucket_of", lambda *block: F.xxhash64(*block).bitwiseAND(F.lit(3)))
+    assert rows(exact_dedup.deduplicate(docs), *cols) == brute.exact(ROWS)
+    twice = docs.unionByName(docs.filter("doc_id = 25"))
+    assert rows(exact_dedup.deduplicate(twice), *cols) == brute.exact([*ROWS, *(r for r in ROWS if r[0] == 25)])
+
+
 @pytest.mark.parametrize("chunk", [8 << 20, 3000])
 def test_suffix(docs, none, chunk, monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK", chunk)
