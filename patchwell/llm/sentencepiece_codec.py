@@ -3,7 +3,8 @@
 The encoder keeps an agenda of adjacent symbol pairs ordered by score (then leftmost first) and
 merges until no pair is a piece. Texts fall apart into units that no piece can span (a unit ends
 where a space mark follows another character, at line feeds when no piece holds one, and between a
-letter and a sign that no piece has side by side). Units are encoded once and remembered. Every unit
+letter and a sign that no piece has side by side; that no piece holds such an end is checked over the
+vocabulary). Units are encoded once and remembered. Every unit
 that is met anew is checked, a batch of units at a time, against the sentencepiece library, and
 decoded from its ids; a difference is an error.
 """
@@ -22,6 +23,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 MARK = "▁"
+#: As isalnum, without decimal digits: also superscripts and fractions, which isalpha leaves out.
+LETTER = "[^\\W\\d_]"
 #: Units a worker remembers, twice over.
 REMEMBER = 180_000
 
@@ -44,10 +47,13 @@ class Codec:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces with inner space marks are not supported")
         self.feeds = not any("\n" in p for p in self.ids)
-        joins = {b for a, b in beside if a.isalpha()}
-        apart = "".join(re.escape(c) for c in string.punctuation if c not in joins)
-        word = f"{MARK}*[^\\W\\d_]+(?=[{apart}])|" if self.feeds and apart else ""  # letters, then a sign that no piece has after a letter
+        joins = {(a, b) for a, b in beside if re.match(LETTER, a) and b in string.punctuation}
+        signs = [c for c in string.punctuation if not any(a.isalpha() for a, b in joins if b == c)]
+        apart, odd = ("".join(map(re.escape, x)) for x in (signs, sorted({a for a, b in joins if b in signs})))  # odd: superscripts and the like
+        word = f"{MARK}*{LETTER}+(?=[{apart}])" + (f"(?<![{odd}])|" if odd else "|") if self.feeds and apart else ""  # letters, then a sign that no piece has after the last
         self.units = re.compile(word + (f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if self.feeds else f"{MARK}*[^{MARK}]+|{MARK}+")).findall
+        if cut := [p for p in self.ids if len(self.units(p)) != 1]:
+            raise ValueError(f"units end inside the pieces {cut[:9]}")
         self.young: dict[str, str] = {}
         self.old: dict[str, str] = {}
         self.line = self.encoded(MARK) + self.encoded("\n")

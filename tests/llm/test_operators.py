@@ -196,6 +196,17 @@ def test_sentencepiece_odd_texts():
         assert codec.decoded(ids)[1:] == text.replace("▁", " ") == codec.lib.decode(ids)
 
 
+def test_sentencepiece_units_end_in_no_piece():
+    """Superscripts and fractions before signs, and every piece after a letter and before a sign."""
+    with open(tokenizer_path(), "rb") as f:
+        codec = sentencepiece_codec.Codec(f.read())
+    texts = ["km².", "5 km².", "km².\nm²", "x²) y³, ½. ²..", "².", "ªº.", "Ⅳ.", "m².m².", "٣.", "Ⓐ'"]
+    texts += ["km" + p.replace("▁", " ") + "." for p in codec.ids]
+    texts += [a + b for a in map(chr, range(0x21, 0x3000)) if a.isalnum() for b in "².'\""]
+    for text, ids, want in zip(texts, codec.encode(texts), codec.lib.encode(texts), strict=True):
+        assert list(map(int, ids.split())) == want, text
+
+
 def test_mixing(spark):
     r = random.Random(4)
     data = [(i, None if r.random() < 0.05 else " ".join(["w"] * int(r.paretovariate(1.2) * 5)), r.choice(["a", "b", "b", "b", "b", "b", "b", "c", None, "Z", "d"])) for i in range(4000)]
