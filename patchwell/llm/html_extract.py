@@ -2,10 +2,11 @@
 
 Every page is read into elements. Pages of one host are merged: an element's place in the merged
 tree is its path of tags and classes. Spark counts, for each place, the pages that have it, the
-different child layouts (presentation) and the different texts (content). The importance of a place
-is the entropy of its layouts to the base of its pages, and 1 less the mean entropy of its texts
-(a text on every page counts 1, a text on one page 0), mixed by the number of children. Branches of
-low importance are removed from each page. Elements that say what they are (nav, footer, forms,
+different layouts of its blocks (presentation) and the different texts outside them (content). From
+the leaves up, the importance of a place is 1 less the mean entropy of its texts (a text on every
+page counts 1, a text on one page 0); where it has blocks, the mean of that and of their importance,
+mixed by their number with the entropy of its layouts to the base of its pages. Branches of low
+importance are removed from each page, but for those with an important place in them. Elements that say what they are (nav, footer, forms,
 adverts by class, ...) count as unimportant, article and main as important, whatever the counts say.
 """
 
@@ -64,7 +65,7 @@ def opened(name: str, attributes: str, parent: Element, in_main: bool) -> Elemen
                 hidden = True
             hidden |= bare == "hidden" or key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value, re.I) is not None) or (key == "aria-hidden" and value == "true")
     drop = name in DROPPED or hidden or (name == "header" and not in_main) or (name not in MAIN and name not in ("body", "html") and not words.isdisjoint(UNWANTED))
-    return Element(name, parent, f"{parent.place}/{name}{mark}", drop)
+    return Element(name, parent, f"{parent.place}\n{name}{mark}", drop)
 
 
 def parsed(html: str) -> Element:
@@ -179,51 +180,116 @@ def main_text(html: str | None, low: frozenset[str] | set[str] = frozenset()) ->
     return joined(top, low)
 
 
-def places(html: str | None) -> list[tuple[str, int, int, int]]:
-    """(place, layout hash, text hash, children) of each element outside articles that isn't dropped already."""
+def own_text(e: Element) -> str:
+    """Text of `e` outside its blocks: its own and that of its inline elements."""
+    out, work = [], list(reversed(e.children))
+    while work:
+        c = work.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif c.name in INLINE and not c.drop:
+            work.extend(reversed(c.children))
+        else:
+            out.append(" ")
+    return " ".join(unescape("".join(out)).split())
+
+
+def places(html: str | None) -> set[tuple[str, str, bool, int, int]]:
+    """(place, parent place, is text, layout or text hash, blocks) of the elements outside articles that hold text and aren't dropped already."""
     if not html:
-        return []
+        return set()
     top = parsed(html)
     exempt = set(map(id, articles(top)))
-    out, work = [], [top]
+    found: list[tuple[Element, int, list[str], str]] = []  # element, index of the block around it, its blocks with text, own text
+    work = [(top, -1)]
     while work:
-        e = work.pop()
-        inner = [c for c in e.children if isinstance(c, Element)]
+        e, around = work.pop()
         if e.place and e.name not in ("html", "body") and e.name not in INLINE:
-            text = joined(e)
-            if text:
-                out.append((e.place, xxhash.xxh64_intdigest(" ".join(c.name for c in inner)) >> 1, xxhash.xxh64_intdigest(text) >> 1, len(inner)))
-        work.extend(c for c in inner if not c.drop and id(c) not in exempt and c.name not in VOID)
+            found.append((e, around, [], own_text(e)))
+            around = len(found) - 1
+        work.extend((c, around) for c in e.children if isinstance(c, Element) and not c.drop and id(c) not in exempt and c.name not in VOID)
+    out = set()
+    for e, around, inner, text in reversed(found):  # blocks before what is around them
+        if not (text or inner):
+            continue
+        parent = ""
+        if around >= 0:
+            parent = found[around][0].place
+            found[around][2].append(e.name)
+        out.add((e.place, parent, False, xxhash.xxh64_intdigest(" ".join(inner)) >> 1, len(inner)))
+        if text:
+            out.add((e.place, parent, True, xxhash.xxh64_intdigest(text) >> 1, 0))
     return out
 
 
+def composite(group: pa.Table, low: float, least_pages: int) -> list[str]:
+    """Places of one host's tree to drop: on enough pages, of low importance, and with nothing important in them."""
+    rows, below = {}, {}  # below: sum and number of the importances of a place's blocks
+    for r in group.to_pylist():
+        if r["place"]:
+            rows[r["place"]] = r
+        else:
+            below[r["parent"]] = [float(r["n"]), r["n"]]
+    holds, weak = set(below), []
+    for place in sorted(rows, key=len, reverse=True):
+        r = rows[place]
+        content, (total, n) = r["content"], below.get(place, (0.0, 0))
+        value = content or 0.0
+        if n:
+            decay = GAMMA ** r["blocks"]
+            value = (1 - decay) * r["layout"] + decay * (total + value) / (n + (content is not None))
+        if value >= low or (content or 0.0) >= low or place in holds:
+            holds.add(r["parent"])
+        elif r["pages"] >= least_pages:
+            weak.append(place)
+        around = below.setdefault(r["parent"], [0.0, 0])
+        around[0] += value
+        around[1] += 1
+    return weak
+
+
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
 
-def importance(pages: DataFrame) -> DataFrame:
-    """(host, place, pages, importance) of every place of the merged trees."""
+def merged(pages: DataFrame) -> DataFrame:
+    """(host, place, parent, pages, blocks, layout, content) of every place of the merged trees; pages are distinct ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(h, page, *p) for h, page, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for p in places(html)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["host", "page", "place", "layout", "content", "children"])
-
-    seen = pages.select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page"), "html").mapInArrow(run, "host string, page bigint, place string, layout bigint, content bigint, children bigint")
-    both = seen.select("host", "place", "children", F.explode(F.array(F.struct(F.lit(True).alias("is_text"), F.col("content").alias("value")), F.struct(F.lit(False).alias("is_text"), F.col("layout").alias("value")))).alias("f"))
-    counts = both.groupBy("host", "place", "f").agg(F.count(F.lit(1)).alias("n"), F.sum("children").alias("children"))
-    text = F.col("f.is_text")
-    stats = counts.groupBy("host", "place").agg(
-        F.sum(F.when(text, F.col("n"))).alias("pages"), F.sum(F.when(text, F.col("children"))).alias("children"),
-        F.avg(F.when(text, F.log("n"))).alias("repeat"), F.sum(F.when(~text, F.col("n") * F.log("n"))).alias("layouts"),
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["host", "page", "place", "parent", "is_text", "value", "blocks"])
+
+    seen = pages.select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page"), "html").mapInArrow(run, "host string, page bigint, place string, parent string, is_text boolean, value bigint, blocks bigint").distinct()
+    # one row a place and page, to count pages, beside those of layouts and texts
+    kinds = F.array(F.struct(F.when(F.col("is_text"), 1).otherwise(0).alias("kind"), "value"), F.struct(F.lit(2).alias("kind"), F.col("page").alias("value")))
+    counts = seen.withColumn("f", F.explode(kinds)).groupBy("host", "place", "parent", "f").agg(F.count(F.lit(1)).alias("n"), F.sum("blocks").alias("blocks"))
+    of = lambda kind, x: F.when(F.col("f.kind") == kind, x)
+    stats = counts.groupBy("host", "place", "parent").agg(
+        F.count(of(2, F.lit(1))).alias("pages"), F.avg(of(1, F.log("n"))).alias("repeat"),
+        F.sum(of(0, F.col("n"))).alias("all"), F.sum(of(0, F.col("n") * F.log("n"))).alias("layouts"), F.sum(of(0, F.col("blocks"))).alias("blocks"),
     )
     m = F.log(F.col("pages").cast("double"))
-    content = 1 - F.col("repeat") / m
-    layout = 1 - F.col("layouts") / F.col("pages") / m
-    decay = F.pow(F.lit(GAMMA), F.col("children") / F.col("pages"))
-    return stats.select("host", "place", "pages", F.when(F.col("pages") < 2, F.lit(1.0)).otherwise((1 - decay) * layout + decay * content).alias("importance"))
+    content = F.when(F.col("repeat").isNotNull(), F.when(F.col("pages") < 2, F.lit(1.0)).otherwise(1 - F.col("repeat") / m))
+    layout = F.when(F.col("pages") < 2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), (F.log("all") - F.col("layouts") / F.col("all")) / m))
+    return stats.select("host", "place", "parent", "pages", (F.col("blocks") / F.col("all")).alias("blocks"), layout.alias("layout"), content.alias("content"))
+
+
+def unimportant(pages: DataFrame, low: float, least_pages: int) -> DataFrame:
+    """(host, low): places to drop. A host's tree comes to one task, without what hangs below places of a single page."""
+    found = store(merged(pages), "places")
+    common = found.filter("pages > 1").withColumn("n", F.lit(1).cast("long"))
+    lone = found.filter("pages < 2").groupBy("host", "parent").agg(F.count(F.lit(1)).alias("n"))
+    lone = lone.join(common.select("host", F.col("place").alias("parent")).distinct(), ["host", "parent"], "left_semi")
+    schema = "host string, low array<string>"
+
+    def run(group: pa.Table) -> pa.Table:
+        weak = composite(group, low, least_pages)
+        return pa.table({"host": pa.array([group.column("host")[0].as_py()] if weak else [], pa.string()), "low": pa.array([weak] if weak else [], pa.list_(pa.string()))})
+
+    return common.unionByName(lone, allowMissingColumns=True).groupBy("host").applyInArrow(run, schema)
 
 
 def extract(pages: DataFrame, low: float = LOW, least_pages: int = PAGES) -> DataFrame:
@@ -232,8 +298,7 @@ def extract(pages: DataFrame, low: float = LOW, least_pages: int = PAGES) -> Dat
     Null or empty html gives the empty text; a null url belongs to the host ''. Rows that repeat a
     page_id each get a row; an empty table gives none. Nothing of a kept branch is shortened.
     """
-    weak = importance(pages).filter((F.col("importance") < low) & (F.col("pages") >= least_pages))
-    weak = store(weak.groupBy("host").agg(F.collect_list("place").alias("low")), "low")
+    weak = store(unimportant(pages, low, least_pages), "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

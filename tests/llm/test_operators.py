@@ -309,6 +309,21 @@ def test_html_by_site(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_by_site_keeps_what_differs(spark):
+    """A constant layout of many blocks around differing texts stays; one page alone with many equal cells, too."""
+    body = lambda i: "<div class=wrap>" + "".join(f"<p>{prose(6)} {i} {k}</p>" for k in range(12)) + "</div>"
+    table = lambda i: "<table>" + "".join(f"<tr><td>value {i} {k}</td></tr>" for k in range(10)) + "</table>"
+    page = lambda i: f"<body><div class=bar><ul>{'<li>Same bar</li>' * 9}</ul></div>{body(i)}{table(i)}</body>"
+    data = [(i, f"http://a.example/{i}", page(i)) for i in range(9)]
+    cells = "".join(f"<td>{'yes' if k % 2 else 'no'}</td>" for k in range(100))
+    data += [(50, "http://b.example/", f"<table><tr>{cells}</tr></table>")] * 5
+    got = html_extract.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+    texts = {r["page_id"]: r["text"] for r in got}
+    for i in range(9):
+        assert all(f" {i} {k}" in texts[i] and f"value {i} {k}" in texts[i] for k in range(10)) and "Same bar" not in texts[i]
+    assert len(got) == 14 and texts[50].split() == ["no", "yes"] * 50
+
+
 def test_missing_ids(spark):
     df = spark.createDataFrame([(None, PASSAGE, "a", "en"), (1, PASSAGE, "a", "en"), (None, "x y z", None, None)], "doc_id long, text string, source string, lang string")
     removed = len(PASSAGE.encode())
