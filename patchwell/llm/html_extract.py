@@ -30,11 +30,14 @@ GAMMA = 0.9
 # Element names and class words.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-DROPPED = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "label", "fieldset", "dialog", "menu", "svg", "math", "canvas", "audio", "video", "object", "map", "datalist"} | RAW
+DROPPED = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "label", "fieldset", "dialog", "menu", "svg", "canvas", "audio", "video", "object", "map", "datalist"} | RAW
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 MAIN = {"article", "main"}
+TITLED = {"section", "h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu", "menubar", "status"}
 UNWANTED = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "discussion", "disqus", "footer", "footnotes", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pager", "pagination", "paywall", "popup", "promo", "promoted", "promotion", "related", "replies", "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets"}
+# Classes that tell what an element has beside it, not what it is.
+STATE = re.compile(r"(?:has|no|with|without)[-_]", re.I)
 # An open element of the first kind ends where one of its set begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
@@ -58,9 +61,11 @@ def opened(name: str, attributes: str, parent: Element, in_main: bool) -> Elemen
         for key, a, b, c, bare in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), a or b or c
             if key in ("class", "id"):
-                words.update(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+                if key == "class" or name not in TITLED:  # an id of a heading or section is its title
+                    value = " ".join(v for v in value.split() if not STATE.match(v))
+                    words.update(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
                 if key == "class":
-                    mark = "." + " ".join(sorted(value.split()))
+                    mark = "." + " ".join(sorted((a or b or c).split()))
             elif key == "role" and value.lower() in ROLES:
                 hidden = True
             hidden |= bare == "hidden" or key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value, re.I) is not None) or (key == "aria-hidden" and value == "true")

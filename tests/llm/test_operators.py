@@ -297,6 +297,14 @@ def test_html():
     assert html_extract.main_text("a < b <c") == "a < b <c"
 
 
+def test_html_keeps_titled_parts():
+    """Ids of headings and sections, classes that name a neighbour, and formulas are no adverts."""
+    text = '<h2 id="related-work">Related work</h2><section id="discussion">We discuss <math><mi>x</mi></math></section><h3 id=social-impact>Impact</h3>'
+    assert html_extract.main_text(f"<article>{text}</article>") == "Related work We discuss x Impact"
+    assert html_extract.main_text('<div class="content has-sidebar no-comments"><p>text</p></div><div class="sidebar">s</div>') == "text"
+    assert html_extract.main_text('<section class="comments">c</section><h2 class="related">r</h2><p>t') == "t"
+
+
 def test_html_by_site(spark):
     """Without article or main, what repeats over a host's pages goes."""
     page = lambda i: f"<body><div class=bar><p>Same bar</p></div><div class=text><p>{prose(12)} {i}</p><p>{prose(9)} {i}</p></div><div class=tail>Always</div></body>"
