@@ -4,9 +4,12 @@ The encoder keeps an agenda of adjacent symbol pairs ordered by score (then left
 merges until no pair is a piece. Texts fall apart into units that no piece can span (a unit ends
 where a space mark follows another character, at line feeds when no piece holds one, and between a
 letter and a sign that no piece has side by side; that no piece holds such an end is checked over the
-vocabulary). Units are encoded once and remembered. Every unit
-that is met anew is checked, a batch of units at a time, against the sentencepiece library, and
-decoded from its ids; a difference is an error.
+vocabulary). Units are encoded once and remembered. Every unit that is met anew is checked, a batch
+of units at a time, against the sentencepiece library's encode and decode; a text with a unit that
+differs is left to the library as a whole.
+
+The decoder takes the ids of whole documents, a batch at a time: each id gives the bytes of its
+piece, a byte piece its byte, and the leading space that encoding adds goes.
 """
 
 from __future__ import annotations
@@ -17,16 +20,37 @@ import re
 import string
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import accumulate, chain, pairwise
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
 MARK = "▁"
+#: Type of an id in memory.
+IDS = np.uint16
 #: As isalnum, without decimal digits: also superscripts and fractions, which isalpha leaves out.
 LETTER = "[^\\W\\d_]"
-#: Units a worker remembers, twice over.
-REMEMBER = 180_000
+#: Bytes that a worker's remembered units may take, twice over; what one takes besides its characters and ids.
+REMEMBER, BESIDE = 40 << 20, 220
+
+
+class Pieces:
+    """Byte strings by id, laid end to end, to put together those of many ids at once."""
+
+    def __init__(self, of_id: list[bytes]) -> None:
+        self.body = np.frombuffer(b"".join(of_id), np.uint8)
+        self.size = np.array([len(b) for b in of_id], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def joined(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The strings of `ids` end to end, and where each ends."""
+        n = self.size[ids]
+        ends = np.cumsum(n)
+        at = np.repeat(self.start[ids] - ends + n, n)
+        at += np.arange(len(at))
+        return self.body[at].tobytes(), ends
 
 
 class Codec:
@@ -37,13 +61,16 @@ class Codec:
         ids = range(lib.get_piece_size())
         plain = [i for i in ids if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i))]
         self.ids = {lib.id_to_piece(i): i for i in plain}
-        self.cost = {lib.id_to_piece(i): -lib.get_score(i) for i in plain}
+        order = {x: r for r, x in enumerate(sorted({-lib.get_score(i) for i in plain}))}
+        self.rank = {lib.id_to_piece(i): order[-lib.get_score(i)] for i in plain}
         beside = {ab for p in self.ids for ab in zip(p, p[1:], strict=False)}
-        self.piece = {i: p for p, i in self.ids.items()}
         self.byte = {int(lib.id_to_piece(i)[3:5], 16): i for i in ids if lib.is_byte(i)}
-        self.of_byte = {i: b for b, i in self.byte.items()}
         self.end = lib.eos_id()
-        self.text = [str(i) for i in ids]
+        of_byte, known = {i: bytes([b]) for b, i in self.byte.items()}, set(plain)
+        self.bytes_of = Pieces([of_byte[i] if i in of_byte else lib.id_to_piece(i).replace(MARK, " ").encode() if i in known else b"" for i in ids])
+        self.digits_of = Pieces([f"{i} ".encode() for i in ids])
+        if len(ids) > np.iinfo(IDS).max:
+            raise ValueError("the vocabulary has too many pieces")
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces with inner space marks are not supported")
         self.feeds = not any("\n" in p for p in self.ids)
@@ -54,37 +81,44 @@ class Codec:
         self.units = re.compile(word + (f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if self.feeds else f"{MARK}*[^{MARK}]+|{MARK}+")).findall
         if cut := [p for p in self.ids if len(self.units(p)) != 1]:
             raise ValueError(f"units end inside the pieces {cut[:9]}")
-        self.young: dict[str, str] = {}
-        self.old: dict[str, str] = {}
+        self.young: dict[str, bytes | None] = {}  # ids of units, or None where the library's differ
+        self.old: dict[str, bytes | None] = {}
+        self.held = 0
         self.line = self.encoded(MARK) + self.encoded("\n")
 
     def merged(self, unit: str) -> list[str]:
-        """Symbols of a unit after all merges. An agenda entry is alive while it is the pair now at its left place."""
-        symbols, cost, n = list(unit), self.cost, len(unit)
-        pairs = [a + b for a, b in zip(symbols, symbols[1:], strict=False)]
-        agenda = [(cost[p], i, p) for i, p in enumerate(pairs) if p in cost]
+        """Symbols of a unit after all merges. The agenda holds rank * length + place of the left symbol; an entry is alive while it is the one now at its place."""
+        symbols, rank, n = list(unit), self.rank.get, len(unit)
+        keys = [-1 if (r := rank(a + b)) is None else r * n + i for i, (a, b) in enumerate(zip(symbols, unit[1:]))]  # noqa: B905
+        agenda = [k for k in keys if k >= 0]
         if not agenda:
             return symbols
         heapify(agenda)
-        pairs.append(None)
+        keys.append(-1)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         while agenda:
-            _, i, pair = heappop(agenda)
-            if pairs[i] is not pair:
+            key = heappop(agenda)
+            i = key % n
+            if keys[i] != key:
                 continue
             j = right[i]
-            symbols[i], symbols[j], pairs[i], pairs[j] = pair, None, None, None
+            symbols[i] = pair = symbols[i] + symbols[j]
+            symbols[j], keys[j], keys[i] = None, -1, -1
             right[i] = k = right[j]
             if k < n:
                 left[k] = i
-                pairs[i] = new = pair + symbols[k]
-                if new in cost:
-                    heappush(agenda, (cost[new], i, new))
+                r = rank(pair + symbols[k])
+                if r is not None:
+                    keys[i] = new = r * n + i
+                    heappush(agenda, new)
             h = left[i]
             if h >= 0:
-                pairs[h] = new = symbols[h] + pair
-                if new in cost:
-                    heappush(agenda, (cost[new], h, new))
+                r = rank(symbols[h] + pair)
+                if r is None:
+                    keys[h] = -1
+                else:
+                    keys[h] = new = r * n + h
+                    heappush(agenda, new)
         return [s for s in symbols if s is not None]
 
     def encoded(self, unit: str) -> list[int]:
@@ -94,36 +128,38 @@ class Codec:
         except KeyError:
             return [i for s in symbols for i in ([self.ids[s]] if s in self.ids else [self.byte[b] for b in s.encode()])]
 
-    def decoded(self, ids: list[int]) -> str:
-        """Text of a unit's ids; space marks become spaces."""
-        try:
-            return "".join([self.piece[i] for i in ids]).replace(MARK, " ")
-        except KeyError:
-            out = b"".join([self.piece[i].encode() if i in self.piece else bytes([self.of_byte[i]]) for i in ids])
-            return out.decode().replace(MARK, " ")
-
     def learn(self, units: set[str]) -> None:
-        """Encode units and compare them, a batch at once, with the library; remember their ids as text."""
-        own = {u: self.encoded(u) for u in units}
-        marked = [u for u in own if u[0] == MARK and u != MARK]
-        inner = [u for u in own if u[0] != MARK]
-        theirs = dict(zip(marked, self.lib.encode([u[1:].replace(MARK, " ") for u in marked], num_threads=1), strict=True))
+        """Encode units, compare them with the library's encode and decode, a batch at once, and remember their ids."""
+        marked = [u for u in units if u[0] == MARK]
+        inner = [u for u in units if u[0] != MARK]
+        both = marked + inner
+        own = [self.encoded(u) for u in both]
+        plain = [u[1:].replace(MARK, " ") for u in marked]
+        theirs = [x or self.encoded(MARK) for x in self.lib.encode(plain, num_threads=1)]  # the library drops a lone mark
         if self.feeds:
             start = len(self.line)
-            theirs |= {u: x[start:] for u, x in zip(inner, self.lib.encode(["\n" + u for u in inner], num_threads=1), strict=True) if x[:start] == self.line}
-        text, young = self.text, self.young
-        for u, ids in own.items():
-            if u != MARK and (self.feeds or u[0] == MARK) and theirs.get(u) != ids:
-                raise ValueError(f"{u!r}: {ids}, but the library has {theirs.get(u)}")
-            if self.decoded(ids) != u.replace(MARK, " "):
-                raise ValueError(f"{u!r} isn't decoded to itself")
-            young[u] = " ".join([text[i] for i in ids])
-
-    def encode(self, texts: list[str]) -> list[str]:
-        """The ids of each text, without an end id, as decimals joined by one space."""
+            theirs += [x[start:] if x[:start] == self.line else None for x in self.lib.encode(["\n" + u for u in inner], num_threads=1)]
+        else:
+            theirs += own[len(marked) :]
+        said = self.lib.decode(own, num_threads=1)
+        cuts = [0, *accumulate(map(len, own))]
+        flat = np.fromiter(chain.from_iterable(own), IDS, cuts[-1])
+        spelled = self.decoded(flat, np.array(cuts[1:]))
+        width = flat.itemsize
+        raw = flat.tobytes()
+        found = [raw[a * width : b * width] for a, b in pairwise(cuts)]
+        if own != theirs or said != plain + inner or b"".join(spelled) != "".join([" " + x for x in plain] + inner).encode():
+            for k, (x, ids, text, other, want) in enumerate(zip(theirs, own, said, spelled, plain + inner, strict=True)):
+                if x != ids or text != want or other.decode("utf-8", "replace") != (" " + want if k < len(marked) else want):
+                    found[k] = None
+        self.young.update(zip(both, found, strict=True))
+        self.held += BESIDE * len(both) + sum(map(len, both)) + len(raw)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts end to end, without an end id, and where each text's end."""
         split = [self.units(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.young) > REMEMBER:
-            self.young, self.old = {}, self.young
+        if self.held > REMEMBER:
+            self.young, self.old, self.held = {}, self.young, 0
         young, old = self.young, self.old
         missing = set()
         for units in split:
@@ -132,10 +168,33 @@ class Codec:
         again = missing.intersection(old)
         for u in again:
             young[u] = old[u]
+            self.held += BESIDE + len(u)
         missing -= again
         if missing:
             self.learn(missing)
-        return [" ".join([young[u] for u in units]) for units in split]
+        whole = [None] * len(texts)
+        for k, units in enumerate(split):
+            try:
+                whole[k] = b"".join([young[u] for u in units])
+            except TypeError:  # a unit that the library encodes otherwise
+                whole[k] = np.array(self.lib.encode(texts[k]), IDS).tobytes()
+        return np.frombuffer(b"".join(whole), IDS), np.cumsum([len(x) // IDS().itemsize for x in whole])
+
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """UTF-8 of the ids up to each end; space marks are spaces."""
+        body, at = self.bytes_of.joined(ids)
+        cuts = np.r_[0, at][np.r_[0, ends]].tolist()
+        return [body[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of documents: without the space that encoding puts first."""
+        return [x.removeprefix(b" ").decode("utf-8", "replace") for x in self.decoded(ids, ends)]
+
+    def decimals(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Decimal ids up to each end, each with a space after it."""
+        body, at = self.digits_of.joined(ids)
+        cuts = np.r_[0, at][np.r_[0, ends]].tolist()
+        return [body[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 CODECS: dict[int, Codec] = {}
@@ -165,25 +224,19 @@ def encode_decode(docs: DataFrame, model_path: str, outputs: bool = True) -> Dat
             gc.enable()
 
     def encoded(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = str(codec.end)
+        end = str(codec.end).encode()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-                n, id_sha, text_sha, all_ids, all_text = [], [], [], [], []
-                for text, found in zip(texts, codec.encode(texts), strict=True):
-                    ids = f"{found} {end}" if found else end
-                    text = text.replace(MARK, " ")  # every unit's ids were decoded to its text when it was learned
-                    n.append(ids.count(" ") + 1)
-                    id_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(text.encode()).hexdigest())
-                    if outputs:
-                        all_ids.append(list(map(int, ids.split())))
-                        all_text.append(text)
-                cols = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(id_sha), pa.array(text_sha)]
+                ids, ends = codec.encode(["" if t is None else t for t in batch.column(1).to_pylist()])
+                id_sha = [hashlib.sha256(x + end).hexdigest() for x in codec.decimals(ids, ends)]
+                texts = codec.decode(ids, ends)
+                text_sha = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+                cols = [batch.column(0).cast(pa.int64()), pa.array(np.diff(np.r_[0, ends]) + 1, pa.int64()), pa.array(id_sha), pa.array(text_sha)]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if outputs:
-                    cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_text)]
+                    marked = np.insert(ids.astype(np.int32), ends, codec.end)  # the end id after each text
+                    cols += [pa.ListArray.from_arrays(pa.array(np.r_[0, ends + np.arange(1, len(ends) + 1)], pa.int32()), pa.array(marked)), pa.array(texts)]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
