@@ -23,8 +23,10 @@ from .common import held_out, store
 U = np.uint64
 #: N-grams in a profile, of a language and of a document.
 TOP = 300
-#: Languages a model may have; profiles (TOP rows a language) are read by the driver and sent to all tasks.
+#: Languages of one model; profiles (TOP rows a language) are read by the driver and sent to all tasks, so many models at once.
 MOST_LANGUAGES = 2000
+#: A filter takes a language as told from this score on; text in no learned language stays far below.
+LEAST = 0.4
 UNDETERMINED = "und"
 #: Counted n-grams of a task before it reports them.
 HELD = 400_000
@@ -37,15 +39,15 @@ def letters() -> np.ndarray:
 
 
 def grams(text: str) -> np.ndarray:
-    """Codes of all 1- to 3-grams of letters with a mark (0) at each word edge; 21 bits a character."""
+    """Codes of all 1- to 3-grams of letters with a mark (1) at each word edge; 21 bits a character."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     is_letter = letters()[np.minimum(c, 0x10FFFF)]
-    c = np.where(is_letter, c, 0).astype(U)
-    c = np.r_[U(0), c[is_letter | np.r_[False, is_letter[:-1]]], U(0)]
-    edge = c == 0
+    c = np.where(is_letter, c, 1).astype(U)
+    c = np.r_[U(1), c[is_letter | np.r_[False, is_letter[:-1]]], U(1)]
+    edge = c == 1
     two = (c[:-1] << U(21)) | c[1:]
     three = (two[:-1] << U(21)) | c[2:]
-    return np.concatenate([c[~edge], two[~(edge[:-1] & edge[1:])], three[~(edge[1:-1] | (edge[:-2] & edge[2:] & edge[1:-1]))]])
+    return np.concatenate([c[~edge], two[~(edge[:-1] & edge[1:])], three[~edge[1:-1]]])
 
 
 def ranked(codes: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
@@ -103,34 +105,45 @@ class Model:
         for lang, gram, rank in rows:
             self.rank[self.langs.index(lang), np.searchsorted(self.codes, np.array(gram, np.int64).view(U))] = rank
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and score: 1 less the distance as a share of the largest there can be."""
+    def nearest(self, text: str | None) -> tuple[float, str]:
+        """The smallest distance, as a share of the largest there can be, and its language; `und` is farther than any."""
         if not self.langs or text is None or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0
+            return 2.0, UNDETERMINED
         g, n = np.unique(grams(text), return_counts=True)
         own = ranked(g, n, self.top)
         if not len(own):
-            return UNDETERMINED, 0.0
+            return 2.0, UNDETERMINED
         at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
         theirs = self.rank[:, np.where(self.codes[at] == own, at, len(self.codes))]
         far = np.where(theirs < 0, self.top, np.abs(theirs - np.arange(len(own), dtype=np.int32))).sum(axis=1)
         best = int(np.argmin(far))
-        return self.langs[best], float(1 - far[best] / (self.top * len(own)))
+        return float(far[best] / (self.top * len(own))), self.langs[best]
 
 
-def predictor(profiles: DataFrame, top: int = TOP) -> Callable[[Column], Column]:
-    """A function from a text column to struct(lang_pred, score)."""
-    if profiles.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+def predictor(profiles: DataFrame, top: int = TOP, most: int = MOST_LANGUAGES) -> Callable[[Column], Column]:
+    """A function from a text column to struct(lang_pred, score). More than `most` languages are compared model by model."""
+    langs = sorted(r["lang"] for r in profiles.select("lang").distinct().collect())
+    far = [distance(profiles.filter(F.col("lang").isin(langs[i : i + most])), top) for i in range(0, max(1, len(langs)), most)]
+
+    def predicted(text: Column) -> Column:
+        found = [f(text) for f in far]
+        best = F.least(*found) if len(found) > 1 else found[0]
+        return F.struct(best["lang_pred"].alias("lang_pred"), F.when(best["lang_pred"] == UNDETERMINED, F.lit(0.0)).otherwise(1 - best["distance"]).alias("score"))
+
+    return predicted
+
+
+def distance(profiles: DataFrame, top: int) -> Callable[[Column], Column]:
+    """A function from a text column to struct(distance, lang_pred): the nearest profile of one model."""
     rows = [(r["lang"], r["gram"], r["rank"]) for r in profiles.collect()]
     sent = profiles.sparkSession.sparkContext.broadcast(Model(rows, top))
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predicted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("distance double, lang_pred string")
+    def nearest(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield pd.DataFrame([sent.value.predict(t) for t in batch], columns=["lang_pred", "score"])
+            yield pd.DataFrame([sent.value.nearest(t) for t in batch], columns=["distance", "lang_pred"])
 
-    return predicted
+    return nearest
 
 
 def predict(docs: DataFrame, profiles: DataFrame, top: int = TOP) -> DataFrame:
@@ -147,9 +160,18 @@ def profiles_of(docs: DataFrame, top: int = TOP) -> DataFrame:
     return store(learn(docs.filter(~F.coalesce(held_out(), F.lit(False))), top), "profiles")
 
 
-def reject(docs: DataFrame, top: int = TOP) -> DataFrame:
-    """The rows of `docs`, all columns, whose language can be told."""
-    return docs.filter(predictor(profiles_of(docs, top), top)(F.col("text"))["lang_pred"] != UNDETERMINED)
+def reject(docs: DataFrame, wanted: list[str] | None = None, least: float = LEAST, top: int = TOP) -> DataFrame:
+    """The rows of `docs`, all columns, whose predicted language is wanted (None: any learned one) with a score of `least` or more.
+
+    Null texts and texts without a letter go. Where no language was learned none can be told, and
+    texts with a letter stay. Repeated rows stay or go together; an empty table gives no rows.
+    """
+    profiles = profiles_of(docs, top)
+    if profiles.isEmpty():
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    told = predictor(profiles, top)(F.col("text"))
+    keep = (told["lang_pred"] != UNDETERMINED) & (told["score"] >= least)
+    return docs.filter(keep if wanted is None else keep & told["lang_pred"].isin(wanted))
 
 
 def identify(docs: DataFrame, top: int = TOP) -> DataFrame:
