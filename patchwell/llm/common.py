@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -20,8 +21,17 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees. A local folder only where the session names none, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", "") or _own_dir()
+    """The folder every executor sees. A local folder only where the session names none and there is only one machine, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or _own_dir()
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what `store` has written for this application. Results that are still to be read from it are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/patchwell/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Drops a query's shuffle files when it ends; a stored table needs them no longer.
@@ -31,7 +41,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/patchwell/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/patchwell/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:

@@ -19,7 +19,7 @@ from .components import components
 from .forest import Forest
 
 TILE, STRIP = 2048, 256
-#: More than the rounding of float32 products and double sums of unit vectors.
+#: More than the rounding of scaled products (the products of codes themselves are exact) and double sums of unit vectors.
 SLACK = 1e-6
 
 
@@ -43,10 +43,12 @@ class Tile:
 
 def linked(a: Tile, b: Tile, threshold: float):
     """Pairs of places (in a, in b) with cosine >= threshold, strip by strip; a is b: each pair once."""
-    codes = b.codes.astype(np.float32).T
+    # products of codes are whole numbers up to 127 * 127 * dimension: exact in float32 up to 2^24, beyond that in float64
+    exact = np.float32 if 127 * 127 * b.codes.shape[1] <= 1 << 24 else np.float64
+    codes = b.codes.astype(exact).T
     for at in range(0, len(a.ids), STRIP):
         s = slice(at, at + STRIP)
-        product = (a.codes[s].astype(np.float32) @ codes) * (a.scale[s, None] * b.scale[None, :])
+        product = (a.codes[s].astype(exact) @ codes) * (a.scale[s, None] * b.scale[None, :])
         bound = product + ((1 + a.error[s, None]) * b.error[None, :] + a.error[s, None] + SLACK)
         i, j = np.nonzero(bound >= threshold)
         i += at

@@ -50,6 +50,11 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MO
     )
 
 
+def words(text: Column) -> Column:
+    """Number of words; null has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
+
+
 def offset(source: Column, seed: str) -> Column:
     """A fixed number in [0, 1) for each source."""
     h = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.concat(F.lit(":"), source), F.lit("null")))), 1, 8)
@@ -64,7 +69,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, s
     table and seed give the same result at any partitioning.
     """
     base = store(
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("md5")),
+        docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("md5")),
         "sizes",
     )
     slices = store(base.groupBy("source", "size", F.substring("md5", 1, 3).alias("slice")).agg(F.count(F.lit(1)).alias("n")), "slices")

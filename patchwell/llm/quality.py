@@ -91,10 +91,16 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` labelled documents that are not held out; null labels teach nothing."""
-    known = labels.filter(F.col("quality").isin(0, 1) & ~F.coalesce(held_out(), F.lit(True))).select("doc_id", "quality").dropDuplicates(["doc_id"])
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = featured(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), ("doc_id", "quality")).collect()
+    """Fit on at most `sample` rows of labelled documents that are not held out.
+
+    Null labels and ids with both labels teach nothing. `sample` bounds the labels that are sent out
+    as well as the rows that come back, where rows repeat a doc_id.
+    """
+    known = labels.filter(F.col("quality").isin(0, 1) & ~F.coalesce(held_out(), F.lit(True))).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    known = known.filter("quality = other").drop("other").orderBy(*order).limit(sample)
+    taught = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").orderBy(*order, "text").limit(sample)
+    rows = featured(taught, ("doc_id", "quality")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     x = np.array([r["x"] for r in rows], float).reshape(-1, N_FEATURES)
     return Model(x, np.array([r["quality"] == 1 for r in rows], bool))
