@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import xxhash
@@ -115,3 +118,167 @@ def targets(sizes, weights=(5, 2, 1), most=3):
             rest -= goal[s]
         left -= over
     return goal
+
+
+class Tree(HTMLParser):
+    """Pages of few elements as nested lists: [name, classes, children]; a block ends open inline elements and a paragraph."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.top = self.here = ["", "", []]
+        self.path = []
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        while tag not in INLINE and self.here[0] in INLINE | {"p"}:
+            self.here = self.path.pop()
+        e = [tag, " ".join(sorted((dict(attrs).get("class") or "").split())), []]
+        self.here[2].append(e)
+        if tag not in ("meta", "br", "link"):
+            self.path.append(self.here)
+            self.here = e
+
+    def handle_endtag(self, tag):
+        if tag in [e[0] for e in [*self.path, self.here]]:
+            while self.here[0] != tag:
+                self.here = self.path.pop()
+            self.here = self.path.pop()
+
+    def handle_data(self, data):
+        self.here[2].append(data)
+
+
+INLINE, GONE, GONE_CLASSES = {"a", "b", "i", "em", "span", "br"}, {"head", "nav", "footer", "header", "aside", "script", "style", "form"}, {"ad", "comments", "sidebar"}
+
+
+def _gone(e):
+    return e[0] in GONE or bool(GONE_CLASSES & set(e[1].split()))
+
+
+def _text(e, low, path=()):
+    """Block texts under e."""
+    out, now = [], ""
+    path = (*path, (e[0], e[1]))
+    for c in e[2]:
+        if isinstance(c, str):
+            now += c
+        elif c[0] == "br":
+            now += "\n"
+        elif not _gone(c) and (*path, (c[0], c[1])) not in low:
+            inner = _text(c, low, path)
+            if c[0] in INLINE:
+                now += inner[0] if inner else ""
+            else:
+                out += [now, *inner]
+                now = ""
+    return [t for t in (" ".join(x.split()) for x in [*out, now]) if t] if e[0] not in INLINE else [now]
+
+
+def _counted(e, path, around, found):
+    path = (*path, (e[0], e[1]))
+    block = e[0] not in INLINE | {"", "html", "body"}
+    own, inner = "", []
+    for c in e[2]:
+        if isinstance(c, str):
+            own += c
+        elif not _gone(c) and c[0] != "br":
+            got = _counted(c, path, path if block else around, found)
+            inner += got[1]
+            own += got[0] if c[0] in INLINE else " "
+        else:
+            own += " "
+    own = " ".join(own.split())
+    if not block:
+        return own, inner
+    if own or inner:
+        found.append((path, around, tuple(inner), own))
+        return own, [e[0]]
+    return own, []
+
+
+def weak_places(pages, low=0.4, least=4):
+    """Of one site's pages {page: html}: paths to drop."""
+    at = defaultdict(lambda: defaultdict(set))
+    for page, html in pages.items():
+        found = []
+        _counted(Tree(html).top, (), None, found)
+        for path, around, inner, own in found:
+            at[path]["pages"].add(page)
+            at[path]["layouts"].add((page, inner))
+            at[path]["around"] = around
+            if own:
+                at[path]["texts"].add((page, own))
+    value, strong, weak = {}, set(), set()
+    for path in sorted(at, key=len, reverse=True):
+        x, m = at[path], len(at[path]["pages"])
+        count = lambda pairs: Counter(v for _, v in pairs)
+        one = lambda f: 1.0 if m < 2 else f / math.log(m)
+        content = None
+        if x["texts"]:
+            n = count(x["texts"]).values()
+            content = 1.0 if m < 2 else 1 - sum(map(math.log, n)) / len(n) / math.log(m)
+        n = count(x["layouts"])
+        every = sum(n.values())
+        layout = min(1.0, one(math.log(every) - sum(v * math.log(v) for v in n.values()) / every)) if m > 1 else 1.0
+        below = [value[p] for p in at if at[p]["around"] == path and p != path]
+        v = content or 0.0
+        if below:
+            decay = 0.9 ** (sum(len(layout) for _, layout in x["layouts"]) / every)
+            v = (1 - decay) * layout + decay * (sum(below) + v) / (len(below) + (content is not None))
+        value[path] = v if m > 1 else 1.0
+        if value[path] >= low or (content or 0.0) >= low or path in strong:
+            strong.add(x["around"])
+        elif m >= least:
+            weak.add(path)
+    return weak
+
+
+def main_text(html, low=frozenset()):
+    top, found = Tree(html).top, []
+
+    def find(e, path):
+        path = (*path, (e[0], e[1]))
+        for c in e[2]:
+            if not isinstance(c, str) and not _gone(c):
+                if c[0] == "article":
+                    found.append((c, path))
+                else:
+                    find(c, path)
+
+    find(top, ())
+    text = lambda low: " ".join(t for e, p in found or [(top, ())] for t in _text(e, low, p))
+    got, whole = text(low), text(frozenset())
+    return whole if not got or (found and 2 * len(got) < len(whole)) else got
+
+
+def _grams(text):
+    out = Counter()
+    for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        w = f" {word} "
+        out.update(c for c in word)
+        out.update(w[i : i + 2] for i in range(len(w) - 1))
+        out.update(w[i : i + 3] for i in range(len(w) - 2))
+    return out
+
+
+def _ranked(counts, top):
+    code = lambda g: sum((1 if c == " " else ord(c)) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    return {g: r for r, g in enumerate(sorted(counts, key=lambda g: (-counts[g], code(g)))[:top])}
+
+
+def languages(rows, top=300):
+    """rows of (doc_id, text, lang): (doc_id, held_out, lang_pred, score)."""
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
+    counts = defaultdict(Counter)
+    for i, text, lang in rows:
+        if not held[i] and text is not None and lang is not None:
+            counts[lang] += _grams(text)
+    profiles = {lang: _ranked(c, top) for lang, c in counts.items()}
+    out = []
+    for i, text, _ in rows:
+        own = _ranked(_grams(text or ""), top)
+        far = {lang: sum(abs(p[g] - r) if g in p else top for g, r in own.items()) for lang, p in profiles.items()} if own else {}
+        best = min(far, key=lambda lang: (far[lang], lang), default="und")
+        out.append((i, held[i], best, 1 - far[best] / (top * len(own)) if far else 0.0))
+    return sorted(out)

@@ -4,6 +4,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 sys.path.insert(0, str(Path(__file__).parents[1]))
@@ -28,6 +29,37 @@ def test_plain(spark, texts, name, plain):
     assert sorted(map(tuple, queries.QUERIES[name](spark, DATA).collect())) == plain(texts)
 
 
+def test_language_plain(spark):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    got = sorted((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in queries.QUERIES["op3_language_id"](spark, DATA).collect())
+    assert got == [(*x[:3], round(x[3], 9)) for x in brute.languages(rows)]
+
+
+def test_sentencepiece_library(spark, texts):
+    import sentencepiece
+
+    from patchwell.llm.common import tokenizer_path
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    want = []
+    for i, t in texts:
+        ids = lib.encode(t or "", add_bos=False, add_eos=True)
+        want.append((i, len(ids), brute.sha(" ".join(map(str, ids)).encode()), brute.sha(lib.decode(ids).encode())))
+    assert sorted(tuple(r)[:4] for r in queries.QUERIES["op7_sentencepiece"](spark, DATA).collect()) == want
+
+
+def test_html_plain(spark):
+    """Every page of the given tables, by host, against html.parser and counts in Python."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html").collect()]
+    sites = {}
+    for i, url, html in rows:
+        sites.setdefault(url.split("//")[1].split("/")[0].lower(), {})[i] = html
+    low = {i: weak for pages in sites.values() for weak in [brute.weak_places(pages)] for i in pages}
+    want = {i: brute.main_text(html, low[i]) for i, _, html in rows}
+    got = {r["page_id"]: r for r in queries.QUERIES["op9_html_extract"](spark, DATA).collect()}
+    assert {i: r["text"] for i, r in got.items()} == want and all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
 def test_language(spark):
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     rows = [r for r in queries.QUERIES["op3_language_id"](spark, DATA).collect() if r["held_out"] and lang[r["doc_id"]]]
@@ -46,8 +78,10 @@ def test_pipeline(spark, texts):
     import corpus_pipeline
     from patchwell.llm.common import tokenizer_path
 
+    full = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
-    rows = [(i, t) for i, t in texts if any(map(str.isalpha, t or ""))]
+    told = {i for i, _, lang, score in brute.languages(full) if lang != "und" and score >= 0.4}
+    rows = [(i, t) for i, t in texts if i in told]
     keep = {r[0] for r in brute.exact(rows) if r[3]}
     rows = [r for r in rows if r[0] in keep]
     keep = {r[0] for r in brute.near(rows) if r[0] == r[2]}
@@ -75,3 +109,29 @@ def test_stages_keep_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DATA).columns == docs.columns
         assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_stages_on_awkward_rows(spark):
+    """Null and empty texts, repeated ids and rows, missing ids, columns with the stages' own names."""
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{DATA}/documents.parquet").filter("doc_id < 60").orderBy("doc_id")
+    odd = spark.createDataFrame([(1000, None, "en", "a", 0), (1001, "", None, None, 0), (1002, "123 ?", "en", "a", 5), (None, "the and of that", "en", "a", 3), (3, "other text of an id that repeats", "en", "a", 3)], base.schema)
+    docs = base.unionByName(odd).unionByName(base.filter("doc_id IN (5, 6)"))
+    for c in ("key", "row", "copies", "copy", "taken_id", "n", "size", "text_sha256", "bucket", "fp", "lang_pred", "score", "col"):
+        docs = docs.withColumn(c, docs["doc_id"])
+    stages = dict(corpus_pipeline.STAGES)
+    kept = {name: stages[name](spark, docs, DATA) for name in list(stages)[:-1]}
+    assert all(df.columns == docs.columns for df in kept.values())
+    n = lambda df: sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in df.select("doc_id").collect())
+    every = n(docs)
+    assert n(kept["language_id"]) == [i for i in every if i not in (1000, 1001, 1002)]
+    exact = n(kept["exact_dedup"])
+    assert exact.count(5) <= 1 and exact.count(3) == 2 and 1001 in exact and 1000 not in exact and -1 not in exact
+    copies = kept["mixing"].groupBy("doc_id").count().collect()
+    assert {r["doc_id"] for r in copies} <= {*every, None} and max(r["count"] for r in copies if r["doc_id"] not in (3, 5, 6)) <= 3
+    assert stages["sentencepiece"](spark, docs, DATA).count() == len(every)
+    for name in list(stages)[:-1]:
+        assert stages[name](spark, docs.limit(0), DATA).count() == 0
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert n(corpus_pipeline.language(spark, unlabelled, DATA)) == n(kept["language_id"])

@@ -2,6 +2,7 @@
 
 import random
 import sys
+import time
 from collections import defaultdict
 from pathlib import Path
 
@@ -191,9 +192,24 @@ def test_sentencepiece_odd_texts():
     alphabet = " ▁  \n\t.,;'\"()<>aeinrstHTé½世界🙂​　 _-0123 the "
     for _ in range(400):
         text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 60)))
-        ids = list(map(int, codec.encode([text])[0].split()))
-        assert ids == codec.lib.encode(text), text
-        assert codec.decoded(ids)[1:] == text.replace("▁", " ") == codec.lib.decode(ids)
+        ids, ends = codec.encode([text])
+        assert ids.tolist() == codec.lib.encode(text), text
+        assert codec.decode(ids, ends) == [text.replace("▁", " ")] == [codec.lib.decode(ids.tolist())]
+
+
+def test_sentencepiece_falls_back_and_forgets(monkeypatch):
+    """A text with a unit that the library encodes otherwise is left to it; few remembered units give the same ids."""
+    with open(tokenizer_path(), "rb") as f:
+        codec = sentencepiece_codec.Codec(f.read())
+    texts = [t or "" for t in TEXTS[:16]] + ["hello world", "", "world hello 🙂"]
+    own = codec.encoded
+    monkeypatch.setattr(codec, "encoded", lambda unit: own("x") if "hello" in unit else own(unit))
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBER", 1000)
+    for _ in range(2):
+        ids, ends = codec.encode(texts)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == codec.lib.encode(texts)
+        assert codec.decode(ids, ends) == codec.lib.decode(codec.lib.encode(texts)) == texts
+    assert None in {*codec.young.values(), *codec.old.values()}
 
 
 def test_sentencepiece_units_end_in_no_piece():
@@ -203,8 +219,9 @@ def test_sentencepiece_units_end_in_no_piece():
     texts = ["km².", "5 km².", "km².\nm²", "x²) y³, ½. ²..", "².", "ªº.", "Ⅳ.", "m².m².", "٣.", "Ⓐ'"]
     texts += ["km" + p.replace("▁", " ") + "." for p in codec.ids]
     texts += [a + b for a in map(chr, range(0x21, 0x3000)) if a.isalnum() for b in "².'\""]
-    for text, ids, want in zip(texts, codec.encode(texts), codec.lib.encode(texts), strict=True):
-        assert list(map(int, ids.split())) == want, text
+    ids, ends = codec.encode(texts)
+    for text, got, want in zip(texts, np.split(ids, ends[:-1]), codec.lib.encode(texts), strict=True):
+        assert got.tolist() == want, text
 
 
 def test_mixing(spark):
@@ -244,6 +261,10 @@ def test_language(spark):
     got = {x["doc_id"]: x for x in language_id.identify(df).collect()}
     assert all(got[i]["lang_pred"] == lang and 0 <= got[i]["score"] <= 1 for i, _, lang in data[:450])
     assert [got[i]["lang_pred"] for i in range(1000, 1005)] == ["und", "und", "und", "en", "de"]
+    few = df.select("doc_id", language_id.predictor(language_id.profiles_of(df), most=2)(F.col("text")).alias("p")).collect()
+    assert {x["doc_id"]: (x["p"]["lang_pred"], x["p"]["score"]) for x in few} == {i: (x["lang_pred"], x["score"]) for i, x in got.items()}  # two models at once
+    assert rows(language_id.reject(df, wanted=["de"]), "doc_id")[-1] == (1004,) and language_id.reject(df, wanted=["de"]).count() == 151
+    assert language_id.reject(df, least=1.1).count() == 0
     kept = language_id.reject(df)
     assert kept.columns == df.columns and rows(kept, "doc_id")[-2:] == [(1003,), (1004,)] and kept.count() == 452
     assert language_id.identify(df.limit(0)).count() == 0
@@ -275,6 +296,10 @@ def test_quality(spark):
     assert held and sum(got[i]["predicted"] == int(i % 4 != 0) for i in held) >= 0.95 * len(held)
     assert got[902]["predicted"] == 0
     assert quality.rate(df.limit(0), lab).count() == 0
+    both = lab.unionByName(lab.withColumn("quality", 1 - F.col("quality")))
+    assert all(r["score"] == pytest.approx(0.7) for r in quality.rate(df, both).collect())  # ids with both labels teach nothing
+    model = quality.fit(df.unionByName(df), lab, sample=50)
+    assert np.array_equal(model.weights, quality.fit(df.unionByName(df).repartition(7), lab, sample=50).weights)
     assert all(r["score"] == pytest.approx(0.7) for r in quality.rate(df, lab.limit(0)).collect())
 
 
@@ -295,6 +320,8 @@ def test_html():
     assert html_extract.main_text('<p title="a>b">x</p><p hidden>y</p><nav>z') == "x"
     assert html_extract.main_text("<nav><p>m</nav><p>body</p><article>A</article><article>B</article>") == "A B"
     assert html_extract.main_text("a < b <c") == "a < b <c"
+    assert html_extract.main_text("<main><h1>T</h1><article>A</article><p>B</main><p>c") == "T A B"
+    assert html_extract.main_text('<div class="menu"><p>all there is</p></div>') == "all there is"
 
 
 def test_html_keeps_titled_parts():
@@ -303,6 +330,7 @@ def test_html_keeps_titled_parts():
     assert html_extract.main_text(f"<article>{text}</article>") == "Related work We discuss x Impact"
     assert html_extract.main_text('<div class="content has-sidebar no-comments"><p>text</p></div><div class="sidebar">s</div>') == "text"
     assert html_extract.main_text('<section class="comments">c</section><h2 class="related">r</h2><p>t') == "t"
+    assert html_extract.main_text('<div class="related-work">w</div><div class="notice-of-meeting">m</div><div class="cookie-bar">c</div><div id="sidebarLeft">s</div>') == "w m"
 
 
 def test_html_by_site(spark):
@@ -317,6 +345,37 @@ def test_html_by_site(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_by_site_inside_articles(spark):
+    """A terms box in every article goes, the same passage in a few paragraphs stays; the tree switched off keeps both. Plain counts agree."""
+    page = lambda i: f"<html><body><article><h1>{prose(4)} {i}</h1><p>{prose(12)} {i}</p><div class=terms><p>Our terms.</p><p>They hold.</p></div><p>{'Said before.' if i % 3 == 0 else prose(8)}</p></article><article><p>{prose(5)} {i}</p></article></body></html>"
+    html = {i: page(i) for i in range(14)}
+    same = "<html><body><article><h1>One</h1><p>text of all pages</p></article></body></html>"
+    data = [(i, f"http://A.example/{i}", h) for i, h in html.items()] + [(100 + i, f"http://copies.example/{i}", same) for i in range(6)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    off = {r["page_id"]: r["text"] for r in html_extract.extract(df, least_pages=1 << 30).collect()}
+    assert all("terms" not in got[i] and "Our terms. They hold." in off[i] for i in html)
+    assert all("Said before." in got[i] for i in html if i % 3 == 0)
+    assert all(got[100 + i] == off[100 + i] == "One text of all pages" for i in range(6))
+    low = brute.weak_places(html)
+    assert low and {i: brute.main_text(h, low) for i, h in html.items()} == {i: got[i] for i in html}
+
+
+def test_html_deep_and_large(spark):
+    """Time in proportion to the page, and hosts joined in salted parts."""
+    deep = "<div>" * 30000 + "deep" + "</p>" * 30000
+    data = [(i, "http://a.example/", deep) for i in range(2)] + [(9, "http://a.example/9", "x" * 2_000_000)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    assert sorted(r["n_chars"] for r in html_extract.extract(df).collect()) == [4, 4, 2_000_000]
+    start = time.time()
+    assert len(html_extract.places(deep)) > 30000 and time.time() - start < 5
+
+
+def test_html_salted(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "BROADCAST_IDS", 0)
+    test_html_by_site(spark)
+
+
 def test_html_by_site_keeps_what_differs(spark):
     """A constant layout of many blocks around differing texts stays; one page alone with many equal cells, too."""
     body = lambda i: "<div class=wrap>" + "".join(f"<p>{prose(6)} {i} {k}</p>" for k in range(12)) + "</div>"
