@@ -1,39 +1,73 @@
 """From raw documents to tokens: five operators in a row, each on all that the one before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-again as the next one's docs. All but the last return the columns of documents. Rows that repeat a
-doc_id stay or go together; rows without one go with exact dedup, which names what stays by doc_id.
+again as the next one's docs. All but the last return the columns of documents. Rows without a doc_id
+go with exact dedup, which names what stays by doc_id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from patchwell.llm import exact_dedup, language_id, mixing, sentencepiece_codec, simhash_dedup
 from patchwell.llm.common import having_ids, sized, store, tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (null, or not one letter) go."""
+    """Documents whose predicted language isn't told with a score of 0.4 or more go: null, empty, not one letter, or like no learned language.
+
+    Ties go to the first language by name, so they don't matter here; repeated rows stay or go
+    together; where no row has a language, all texts with a letter stay.
+    """
     return language_id.reject(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays."""
-    return having_ids(docs, exact_dedup.deduplicate(docs).filter("kept").select("doc_id").distinct(), "doc_id")
+    """Of equal texts (A-Z lower-cased, null as empty) the row with the largest doc_id stays.
+
+    Rows with that doc_id and other texts of their own stay as well; of rows that repeat both doc_id
+    and text one stays. Rows without a doc_id go. An empty table gives no rows.
+    """
+    found = store(exact_dedup.deduplicate(docs).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")), "kept")
+    rows = having_ids(docs, found.select("doc_id").distinct(), "doc_id")
+    again = found.filter("n > 1").select("doc_id").distinct()
+    if again.isEmpty():
+        return rows
+    whole, text = F.struct("*"), F.sha2(exact_dedup.normalised(F.col("text")), 256)
+    one = having_ids(rows, again, "doc_id").select(whole.alias("row"), text.alias("text")).groupBy("row.doc_id", "text").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return rows.join(sized(again), "doc_id", "left_anti").unionByName(one.select("row.*"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the one with the smallest doc_id stays."""
+    """Of each group of near-duplicates the one with the smallest doc_id stays, with all rows that have this doc_id.
+
+    Near is what op10 links: 4 or fewer differing bits of 64 over 4-word shingles. Texts without a
+    word have one fingerprint, so one of them stays.
+    """
     found = simhash_dedup.near_duplicates(docs)
     return having_ids(docs, store(found.filter("doc_id = component_id").select("doc_id").distinct(), "firsts"), "doc_id")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, at most three times."""
-    taken = store(mixing.mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")), "copies")
-    rows = docs.join(sized(taken.withColumnRenamed("doc_id", "taken_id")), F.col("doc_id") == F.col("taken_id"))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Each row as often as the mix takes it, at most three times, whatever names other columns have.
+
+    Ties in size are in order of the id's md5. Rows that repeat doc_id, source and size share what the
+    mix takes of them, so it stays at its targets. Null texts and texts without a word have size 0. An empty table gives
+    no rows.
+    """
+    mix, whole = mixing.mix(docs), F.struct("*").alias("row")
+    taken = store(mix.groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")), "copies")
+    once = taken.filter("n = 1 AND copies > 0").select(F.col("doc_id").alias("key"), "copies")
+    times = docs.select(F.col("doc_id").alias("key"), whole).join(sized(once), "key").select("row", "copies")
+    again = taken.filter("n > 1").select("doc_id")
+    if not again.isEmpty():
+        key = ["doc_id", "source", "size"]
+        shared = having_ids(mix, again, "doc_id").groupBy(F.struct(*key).alias("key")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"))
+        rows = having_ids(docs, again, "doc_id").select(F.struct("doc_id", "source", mixing.words(F.col("text")).alias("size")).alias("key"), whole).join(shared, "key")
+        nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row.text")))
+        share = F.floor(nth * F.col("copies") / F.col("n")) - F.floor((nth - 1) * F.col("copies") / F.col("n"))
+        times = times.unionByName(rows.select("row", share.alias("copies")).filter("copies > 0"))
+    return times.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
