@@ -1,19 +1,10 @@
-"""Which fixed-length token windows of a document also start in a document with a smaller id.
+"""Windows of a fixed number of tokens, in packed chunks of documents and in runs.
 
-The engine behind the byte-level (`suffix_dedup`) and the word-level (`substring_dedup`) operators.
-
-Windows of one document are handled in runs. Every q-gram of tokens gets a rolled 64-bit
-identifier, built by doubling: the identifier of 2m tokens comes from those of the m tokens at an
-offset and m further on. A window's bucket is the smallest identifier of the q-grams inside it, so
-equal windows share a bucket, and neighbouring windows mostly do as well: those form a run, named
-by (bucket, identifier of its tokens). Spark groups runs by bucket:
-
-1. a run equal to one in an earlier document is repeated whole;
-2. where a bucket holds different runs, the first holder of each is refined into single windows,
-   named by their identifiers at the full length, and these are grouped again.
-
-Documents travel in packed chunks of a few MB. A chunk sends one entry for each of its distinct
-runs, so a passage that a third of all documents share costs one entry a chunk, not one a document.
+What the byte-level (`suffix_dedup`) and the word-level (`substring_dedup`) operators share. A
+window's bucket is the smallest identifier of the q-grams inside it, so equal windows share a bucket,
+and neighbouring windows mostly do as well: those form a run, named by (bucket, identifier of its
+tokens). Documents travel in packed chunks of a few MB, and a chunk reports each of its distinct runs
+once, so a passage that a third of all documents share costs one entry a chunk, not one a document.
 """
 
 from __future__ import annotations
@@ -26,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, mix64, shuffle_parts, store
+from .common import as_bytes, mix64, store
 
 U = np.uint64
 BASE, BASE2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
@@ -35,14 +26,11 @@ CHUNK, STEP = 4 << 20, 1 << 18
 #: Stands for a missing doc_id inside: after all others.
 NO_ID = (1 << 63) - 1
 
-#: Bytes of a bucket and of a name that are kept: 104 bits together tell runs apart.
-KEY, NAME = 7, 6
-KEY_MASK, NAME_MASK = U((1 << 64) - (1 << 8 * (8 - KEY))), U((1 << 8 * NAME) - 1)
+#: Bytes of a bucket that are kept; with the 8 of a name, 120 bits tell runs apart.
+KEY = 7
+KEY_MASK = U((1 << 64) - (1 << 8 * (8 - KEY)))
 
 CHUNKS = "chunk bigint, doc_ids binary, ends binary, body binary, n_bytes bigint"
-ENTRIES = "bucket int, chunk bigint, entries binary"
-MESSAGES = "chunk bigint, kind int, entries binary"
-MARK, REFINE, MARK_WINDOW = 0, 1, 2
 
 
 @dataclass(frozen=True)
@@ -54,8 +42,14 @@ class Plan:
     tokens: Callable[[bytes, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def pack(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text) as packed, compressed chunks."""
+def id_shift(docs: DataFrame) -> int:
+    """What to take from all ids inside, so that none is NO_ID. Only in a table that has both the least and the largest long, rows without an id count as those of the largest."""
+    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    return int(most == NO_ID and least > -NO_ID - 1)
+
+
+def pack(docs: DataFrame, shift: int = 0) -> DataFrame:
+    """Rows (doc_id, text) as packed, compressed chunks, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
@@ -71,13 +65,13 @@ def pack(docs: DataFrame) -> DataFrame:
                 if ids and held + len(text) > CHUNK:
                     yield flush()
                     seq, ids, texts, held = seq + 1, [], [], 0
-                ids.append(NO_ID if i is None else i)
+                ids.append(NO_ID if i is None else i - shift)
                 texts.append(text)
                 held += len(text)
         if ids:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, CHUNKS)
+    return store(docs.select("doc_id", "text").mapInArrow(run, CHUNKS), "chunks")
 
 
 def rolled(x: np.ndarray, base: np.uint64, widths: tuple[int, ...]) -> list[np.ndarray]:
@@ -160,7 +154,7 @@ class Chunk:
                 n = np.minimum(w, whole_n - nth * w)
             with np.errstate(over="ignore"):
                 name = mix64(whole[at] * U(3) + mix64(whole[at + n - 1] + n.astype(U)))
-            parts.append((mix64(low[at] + U(1)) & KEY_MASK, name & NAME_MASK, at + s, n))
+            parts.append((mix64(low[at] + U(1)) & KEY_MASK, np.maximum(name, U(1)), at + s, n))
             if keep_windows:
                 kept.append(whole)
         cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)]
@@ -172,7 +166,7 @@ class Chunk:
         n = runs.n[chosen]
         start = np.repeat(runs.start[chosen], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         name = mix64(self.whole[start])
-        return Runs(mix64(np.repeat(runs.bucket[chosen], n) ^ name) & KEY_MASK, mix64(name) & NAME_MASK, start, np.ones(len(start), np.int64), np.repeat(runs.doc[chosen], n))
+        return Runs(mix64(np.repeat(runs.bucket[chosen], n) ^ name) & KEY_MASK, np.maximum(mix64(name), U(1)), start, np.ones(len(start), np.int64), np.repeat(runs.doc[chosen], n))
 
     def first(self, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
         """Order that puts equal runs together, earliest document first, and where each group of them starts."""
@@ -193,122 +187,29 @@ class Chunk:
         top = order[at]
         return runs.bucket[top], runs.name[top], self.doc_ids[runs.doc[top]]
 
+    def covered(self, runs: Runs, marked: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """For each token, whether a window of the marked runs or one that starts at one of `windows` covers it."""
+        cut = np.zeros(len(self.tokens) + 1, np.int32)
+        np.add.at(cut, np.r_[runs.start[marked], windows], 1)
+        np.add.at(cut, np.r_[runs.start[marked] + runs.n[marked], windows + 1] + self.plan.window - 1, -1)
+        return np.cumsum(cut[:-1]) > 0
 
-def id_column(ids: tuple[int, ...]) -> pa.Array:
-    return pa.array([None if i == NO_ID else i for i in ids], pa.int64())
 
+def id_column(ids: tuple[int, ...], shift: int = 0) -> pa.Array:
+    return pa.array([None if i == NO_ID else i + shift for i in ids], pa.int64())
 
-def among(runs: Runs, bucket: np.ndarray, name: np.ndarray) -> np.ndarray:
-    """Which runs are in the given set of (bucket, name)."""
+
+def places(runs: Runs, bucket: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """For each run the place of its (bucket, name) in the given list, or -1."""
     if not len(bucket) or not len(runs.bucket):
-        return np.zeros(len(runs.bucket), bool)
+        return np.full(len(runs.bucket), -1)
     with np.errstate(over="ignore"):
         z, x = bucket * U(5) + name, runs.bucket * U(5) + runs.name
     order = np.argsort(z)
     at = order[np.minimum(np.searchsorted(z[order], x), len(z) - 1)]
-    return (bucket[at] == runs.bucket) & (name[at] == runs.name)
-
-
-def packed(key: np.ndarray, name: np.ndarray) -> bytes:
-    """Buckets without their low bytes, names without their high ones (both are 0)."""
-    a, b = (np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8) for x in (key, name))
-    return a[:, 8 - KEY :].tobytes() + b[:, :NAME].tobytes()
-
-
-def unpacked(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    a, b = np.zeros((n, 8), np.uint8), np.zeros((n, 8), np.uint8)
-    raw = np.frombuffer(blob, np.uint8, n * (KEY + NAME))
-    a[:, 8 - KEY :], b[:, :NAME] = raw[: n * KEY].reshape(n, KEY), raw[n * KEY :].reshape(n, NAME)
-    return a.view(U).ravel(), b.view(U).ravel()
-
-
-def dealt(chunk: int, entries: tuple[np.ndarray, np.ndarray, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    """A chunk's entries, sorted by bucket, as one packed row for each share of the bucket space."""
-    key, name, doc = entries
-    share = ((key >> U(32)) * U(buckets)) >> U(32)
-    cuts = np.searchsorted(share, np.arange(buckets + 1, dtype=U))
-    full = np.flatnonzero(np.diff(cuts))
-    blobs = [packed(key[a:b], name[a:b]) + doc[a:b].tobytes() for a, b in zip(cuts[full], cuts[full + 1], strict=True)]
-    if blobs:
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), chunk, np.int64)), pa.array(blobs, pa.binary())], ["bucket", "chunk", "entries"])
-
-
-def matched(table: pa.Table, refine: bool) -> pa.Table:
-    """One share of the buckets: tell each chunk which of its runs an earlier document has (mark), and which first holders to refine."""
-    chunks = np.array(table.column("chunk").to_pylist(), np.int64)
-    blobs = table.column("entries").to_pylist()
-    sizes = [len(x) // (KEY + NAME + 8) for x in blobs]
-    key, name = (np.concatenate(x) for x in zip(*map(unpacked, blobs, sizes), strict=True))
-    doc = np.concatenate([np.frombuffer(x, np.int64, n, n * (KEY + NAME)) for x, n in zip(blobs, sizes, strict=True)])
-    chunk = np.repeat(chunks, sizes)
-    order = np.argsort(key)
-    k = key[order]
-    same = k[1:] == k[:-1]
-    sub = order[np.r_[False, same] | np.r_[same, False]]
-    key, name, doc, chunk = key[sub], name[sub], doc[sub], chunk[sub]
-    order = np.lexsort((doc, name, key))
-    key, name, doc, chunk = key[order], name[order], doc[order], chunk[order]
-    new_key = np.r_[True, key[1:] != key[:-1]][: len(key)]
-    new = new_key | np.r_[True, name[1:] != name[:-1]][: len(key)]
-    at, key_at = np.flatnonzero(new), np.flatnonzero(new_key)
-    earlier = doc > np.repeat(doc[at], np.diff(np.r_[at, len(key)]))
-    kind = np.where(earlier, MARK if refine else MARK_WINDOW, -1)
-    if refine and len(key):
-        names = np.add.reduceat(new.astype(np.int64), key_at)
-        kind[~earlier & (np.repeat(names, np.diff(np.r_[key_at, len(key)])) > 1)] = REFINE
-    keep = np.flatnonzero(kind >= 0)
-    keep = keep[np.lexsort((kind[keep], chunk[keep]))]
-    key, name, chunk, kind = key[keep], name[keep], chunk[keep], kind[keep]
-    at = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1])][: len(key)])
-    ends = np.r_[at[1:], len(key)][: len(at)]
-    return pa.table({"chunk": pa.array(chunk[at], pa.int64()), "kind": pa.array(kind[at], pa.int32()), "entries": pa.array([packed(key[a:b], name[a:b]) for a, b in zip(at, ends, strict=True)], pa.binary())})
-
-
-def told(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = [unpacked(e, len(e) // (KEY + NAME)) for k, e in zip(table.column("kind").to_pylist(), table.column("entries").to_pylist(), strict=True) if k == kind]
-    return tuple(np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, U) for i in (0, 1))
-
-
-def repeated(docs: DataFrame, plan: Plan, finish: Callable[[Chunk, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
-    """For each chunk of `docs`, `finish(chunk, covered)`, where covered tells for each token whether a repeated window covers it."""
-    spark = docs.sparkSession
-    buckets = 2 * shuffle_parts(spark)
-    chunks = store(pack(docs), "chunks")
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                c = Chunk(plan, row)
-                yield from dealt(row["chunk"], c.entries(c.runs()), buckets)
-
-    def refined(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int64()), "entries": pa.array([], pa.binary())})
-        ask = told(right, REFINE)
-        if not left.num_rows or not len(ask[0]):
-            return empty
-        row = left.to_pylist()[0]
-        c = Chunk(plan, row)
-        runs = c.runs(keep_windows=True)
-        w = c.windows(runs, among(runs, *ask) & ~c.later(runs))
-        out = list(dealt(row["chunk"], c.entries(w), buckets))
-        return pa.Table.from_batches(out) if out else empty
-
-    def finished(left: pa.Table, right: pa.Table) -> pa.Table:
-        c = Chunk(plan, left.to_pylist()[0])
-        runs = c.runs(keep_windows=True)
-        later = c.later(runs)
-        w = c.windows(runs, among(runs, *told(right, REFINE)) & ~later)
-        marked = later | among(runs, *told(right, MARK))
-        one = c.later(w) | among(w, *told(right, MARK_WINDOW))
-        cut = np.zeros(len(c.tokens) + 1, np.int32)
-        np.add.at(cut, np.r_[runs.start[marked], w.start[one]], 1)
-        np.add.at(cut, np.r_[runs.start[marked] + runs.n[marked], w.start[one] + 1] + plan.window - 1, -1)
-        return pa.Table.from_batches([finish(c, np.cumsum(cut[:-1]) > 0)])
-
-    heads = store(chunks.mapInArrow(emit, ENTRIES).groupBy("bucket").applyInArrow(lambda t: matched(t, True), MESSAGES), "messages")
-    tails = store(
-        chunks.groupBy("chunk").cogroup(heads.filter(F.col("kind") == REFINE).groupBy("chunk")).applyInArrow(refined, ENTRIES).groupBy("bucket").applyInArrow(lambda t: matched(t, False), MESSAGES),
-        "windows",
-    )
-    return chunks.groupBy("chunk").cogroup(heads.unionByName(tails).groupBy("chunk")).applyInArrow(finished, schema)
+    return np.where((bucket[at] == runs.bucket) & (name[at] == runs.name), at, -1)
+
+
+def among(runs: Runs, bucket: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Which runs are in the given set of (bucket, name)."""
+    return places(runs, bucket, name) >= 0

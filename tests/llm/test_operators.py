@@ -102,6 +102,40 @@ def test_repeats_in_steps(docs, monkeypatch):
     assert rows(out, *out.columns) == brute.suffix(ROWS)
 
 
+@pytest.mark.parametrize(("wide", "most", "share"), [(1, 1, 2000), (3, 1 << 30, 5000), (1 << 30, 2, 300), (1 << 30, 1 << 30, 1000)])
+def test_suffix_with_crowded_buckets(docs, monkeypatch, wide, most, share):
+    """Buckets that a chunk, or all, deal window by window, and many shares."""
+    for name, value in (("WIDE_RUNS", wide), ("MOST_RUNS", most), ("SHARE", share)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    monkeypatch.setattr(repeats, "CHUNK", 3000)
+    out = suffix_dedup.remove_repeats(docs)
+    assert rows(out, *out.columns) == brute.suffix(ROWS)
+
+
+def test_bucket_pointers():
+    """Refined buckets are those of equal strings; offsets alone in theirs, and near an end, have none."""
+    r = random.Random(6)
+    for window in (16, 17, 33, 50, 64):
+        texts = [bytes(r.choice(b"ab") for _ in range(r.randint(window, 140))) for _ in range(30)] + [b"ab" * 70, b"a" * 120]
+        texts += [t[5:] for t in texts[:9]]
+        text, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
+        number = suffix_dedup.refined(np.frombuffer(text, np.uint8), ends, window)
+        string = {i: text[i : i + window] for t, e in zip(texts, ends.tolist(), strict=True) for i in range(e - len(t), e - window + 1)}
+        groups = defaultdict(list)
+        for i, x in string.items():
+            groups[x].append(i)
+        assert {i for i in range(len(text)) if number[i]} == {i for g in groups.values() if len(g) > 1 for i in g}
+        assert sorted(sorted(g) for g in groups.values() if len(g) > 1) == sorted(np.flatnonzero(number == k).tolist() for k in np.unique(number) if k)
+
+
+def test_largest_id_is_not_a_missing_one(spark):
+    top = (1 << 63) - 1
+    df = spark.createDataFrame([(top, PASSAGE), (None, PASSAGE), (None, PASSAGE)], "doc_id long, text string")
+    n = len(PASSAGE.encode())
+    assert sorted(((r["doc_id"], r["n_removed"]) for r in suffix_dedup.remove_repeats(df).collect()), key=repr) == [(top, 0), (None, n), (None, n)]
+    assert sorted(((r["doc_id"], r["n_removed"]) for r in substring_dedup.remove_repeated_windows(df).collect()), key=repr) == [(top, 0), (None, 80), (None, 80)]
+
+
 def test_repeated_rows_are_one_document(spark):
     df = spark.createDataFrame([(1, PASSAGE), (1, PASSAGE), (2, PASSAGE)], "doc_id long, text string")
     assert rows(suffix_dedup.remove_repeats(df), "doc_id", "n_removed") == [(1, 0), (1, 0), (2, len(PASSAGE.encode()))]
