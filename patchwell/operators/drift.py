@@ -112,10 +112,12 @@ def category_breakdown(patches: DataFrame, verdicts: DataFrame) -> DataFrame:
     return patches.join(verdicts.select("fingerprint", "category"), "fingerprint").groupBy("source", "category").agg(F.count(F.lit(1)).alias("n")).orderBy("source", F.desc("n"), "category")
 
 
-def resolve_package(inventory: DataFrame, name: str) -> DataFrame:
-    """The row of a binary of that name, else of a source."""
-    rows = inventory.filter((F.col("binary") == name) | (F.col("source") == name))
-    return rows.orderBy(F.when(F.col("binary") == name, 0).otherwise(1), "ord").limit(1)
+def resolve_names(inventory: DataFrame, names: DataFrame) -> DataFrame:
+    """name, source and source_version of each name: of the binary of that name, else of the first row of the source; null where there is neither."""
+    row = F.struct("source", "source_version")
+    first = lambda column, name: inventory.groupBy(F.col(column).alias("name")).agg(F.min_by(row, "ord").alias(name))
+    rows = names.select("name").join(first("binary", "b"), "name", "left").join(first("source", "s"), "name", "left")
+    return rows.withColumn("r", F.coalesce("b", "s")).select("name", "r.source", "r.source_version")
 
 
 def fresh(generated_at: Column, now: Column, days: int = 7) -> Column:

@@ -23,17 +23,19 @@ def live(rows: DataFrame, supersession: DataFrame, table: str) -> DataFrame:
     return rows.join(stamped, "id", "left_anti")
 
 
-def with_ids(rows: DataFrame, base: int, order: list[str]) -> DataFrame:
+def with_ids(rows: DataFrame, base: int, order: list[str], buckets: int = 4096) -> DataFrame:
     """Ids base+1.. in a total order of a batch. One batch is one pass's rows; ids are ranks, so reruns agree.
 
-    Ranks come from counts of the order's first column, so no task ranks the whole batch alone.
+    Rows are ranked in buckets of a hash of the columns of `order`, which stand in the order of their
+    number: no task ranks more than a bucket, and the offsets of the buckets, at most `buckets`
+    numbers, are summed in one row.
     """
-    first = order[0]
-    sizes = rows.groupBy(first).agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    nth = F.row_number().over(Window.partitionBy(first).orderBy(*order))
-    ranked = rows.withColumn("_nth", nth).join(before.withColumnRenamed(first, "_first"), F.col(first).eqNullSafe(F.col("_first")))
-    return ranked.withColumn("id", F.lit(base) + F.col("_before") + F.col("_nth")).drop("_nth", "_before", "_first")
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("_bucket", "n"))).alias("n"))
+    before = F.aggregate(F.sequence(F.lit(0), F.lit(buckets - 1)), F.array(F.lit(0).cast("bigint")), lambda acc, b: F.array_append(acc, F.element_at(acc, -1) + F.coalesce(F.try_element_at("n", b), F.lit(0))))
+    nth = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    ranked = rows.withColumn("_nth", nth).join(F.broadcast(counts.select(before.alias("_before"))))  # one row
+    return ranked.withColumn("id", F.lit(base) + F.col("_before")[F.col("_bucket")] + F.col("_nth")).drop("_bucket", "_nth", "_before")
 
 
 def register_rules(rules: DataFrame, known: DataFrame) -> DataFrame:
@@ -142,10 +144,14 @@ def requeue(fingerprints: DataFrame, live_decisions: DataFrame, items: DataFrame
 
 
 def human_verdicts(choices: DataFrame, items: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
-    """(decisions to append, queue events) of reviewers' choices (item_id, choice, category, signed_by, signature): accept the draft, override it, or defer."""
-    rows = choices.join(items.select(F.col("id").alias("item_id"), "fingerprint", "draft_category"), "item_id").filter("choice <> 'defer'")
-    category = schemas.checked(F.when(F.col("choice") == "accept", F.col("draft_category")).otherwise(F.col("category")), schemas.ASSIGNABLE_CATEGORIES, "category")
-    decisions = rows.select("fingerprint", category.alias("category"), F.lit("high").alias("confidence"), F.concat(F.lit("human:"), "signed_by").alias("decided_by"), F.lit(1).alias("rule_version"), F.lit("human").alias("kind"), F.lit(True).alias("verified"), "signature", "signed_by", F.lit(now).alias("decided_at"))
+    """(decisions to append, queue events) of reviewers' choices (item_id, choice, category, signed_by, signature) on pending items: accept the draft, override it, or defer, which records nothing."""
+    pending = items.filter("reviewed_at IS NULL").select(F.col("id").alias("item_id"), "fingerprint", "draft_category", F.col("reason").alias("queue_reason"))
+    rows = choices.join(pending, "item_id").filter("choice <> 'defer'")
+    category = schemas.checked(F.when(F.col("choice") == "accept", F.coalesce("draft_category", F.lit("unknown"))).otherwise(F.col("category")), schemas.ASSIGNABLE_CATEGORIES, "category")
+    decisions = rows.select(
+        "fingerprint", category.alias("category"), F.lit("high").alias("confidence"), F.concat(F.lit("human:"), "signed_by").alias("decided_by"), F.lit(1).alias("rule_version"), F.lit("human").alias("kind"), F.lit(True).alias("verified"),
+        "signature", "signed_by", F.to_json(F.struct("choice", "draft_category", "queue_reason")).alias("evidence"), F.lit(now).alias("decided_at"),
+    )
     return decisions, rows.select("item_id", F.lit("reviewed").alias("event"), F.lit(None).cast("bigint").alias("priority"), F.lit(now).alias("at"))
 
 

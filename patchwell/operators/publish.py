@@ -35,8 +35,8 @@ def verdict_rows(verdicts: DataFrame, risk: DataFrame, reach: DataFrame, size: D
     return rows.select("fingerprint", "category", "kind", "confidence", reason(F.col("kind"), F.col("decided_by")).alias("reason"), "risk", "reach", "reviewability")
 
 
-def verdict_note(row: DataFrame) -> Column:
-    """One line: category, reason and the axes there are."""
+def verdict_note() -> Column:
+    """Over the columns of `verdict_rows`, one line: category, reason and the axes there are."""
     axes = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c} "), F.col(c))) for c in ("risk", "reach", "reviewability")]))
     return F.concat_ws("; ", F.concat("category", F.lit(" ("), "reason", F.lit(")")), F.nullif(F.array_join(axes, ", "), F.lit("")))
 
@@ -91,8 +91,9 @@ def write_snapshot(rows: DataFrame, path: str, anchor: str | None = None) -> Non
 
 
 def classification_rows(classified: DataFrame) -> DataFrame:
-    """List columns as text: details by comma, signals and rules by bar."""
-    return classified.withColumn("flag_details", F.array_join("flag_details", ", ")).withColumn("signals", F.array_join("signals", "|")).withColumn("rule_ids", F.array_join("rule_ids", "|"))
+    """The classification table: counts of an occurrence's profile, verdicts, and its lists as text, details by comma, signals and rules by bar."""
+    texts = {"flag_details": ", ", "signals": "|", "rule_ids": "|"}
+    return classified.select(*[F.array_join(c, texts[c]).alias(c) if c in texts and dict(classified.dtypes)[c].startswith("array") else c for c in classified.columns])
 
 
 def package_lines(carriers: DataFrame, most: int = 8) -> DataFrame:

@@ -98,17 +98,33 @@ def locked(observations: DataFrame) -> DataFrame:
     return axes.live_fingerprints(observations, schemas.REVIEWABILITY, "oversized").join(axes.residue_unlocked(observations), "fingerprint", "left_anti")
 
 
-def triage_records(results: DataFrame, live_decisions: DataFrame, model: str, prompt_version: int, now: str) -> tuple[DataFrame, DataFrame]:
-    """(decisions, queue items) of routed results that the model hasn't decided at this prompt version yet."""
+def draft_evidence() -> Column:
+    """What a model decision rests on, as JSON: the draft, its verification, the routing. Columns as for `triage_records`."""
+    draft = F.struct("category", F.col("draft_confidence").alias("confidence"), "reasoning")
+    check = F.struct("agrees", F.col("verify_confidence").alias("confidence"))
+    return F.to_json(F.struct(draft.alias("draft"), "reason", "routing", check.alias("verification")))
+
+
+def triage_records(results: DataFrame, live_decisions: DataFrame, pending: DataFrame, model: str, prompt_version: int, now: str) -> tuple[DataFrame, DataFrame]:
+    """(decisions, queue items) of a run's results, one a fingerprint.
+
+    results: fingerprint, category, draft_confidence, reasoning, agrees, verify_confidence, routing,
+    reason, error (not null where the model gave no answer: unknown, low, for a human, so that it
+    isn't tried again). A fingerprint that has a live decision of the model at this prompt version gets no other,
+    and one with a pending item no second item.
+    """
     by = f"llm:{model}"
-    done = live_decisions.filter((F.col("decided_by") == by) & (F.col("rule_version") == prompt_version)).select("fingerprint")
-    rows = results.join(done, "fingerprint", "left_anti")
-    decisions = rows.select(
-        "fingerprint", "category", F.col("draft_confidence").alias("confidence"), F.lit(by).alias("decided_by"), F.lit(prompt_version).alias("rule_version"), F.lit("llm").alias("kind"),
-        F.to_json(F.struct("agrees", "category", F.col("draft_confidence").alias("confidence"), "reason", "routing", "verify_confidence")).alias("evidence"), (F.col("routing") == "verified").alias("verified"), F.lit(now).alias("decided_at"),
+    done = live_decisions.filter((F.col("decided_by") == by) & (F.col("rule_version") == prompt_version)).select("fingerprint").distinct()
+    failed = F.col("error").isNotNull()
+    rows = results.withColumn("evidence", F.when(failed, F.to_json(F.struct(F.col("error").alias("triage_error")))).otherwise(draft_evidence()))
+    rows = rows.withColumn("category", F.when(failed, "unknown").otherwise(F.col("category"))).withColumn("confidence", F.when(failed, "low").otherwise(F.col("draft_confidence")))
+    rows = rows.withColumn("routing", F.when(failed, "needs_human").otherwise(F.col("routing"))).withColumn("reason", F.coalesce("error", "reason"))
+    decisions = rows.join(done, "fingerprint", "left_anti").select(
+        "fingerprint", "category", "confidence", F.lit(by).alias("decided_by"), F.lit(prompt_version).alias("rule_version"), F.lit("llm").alias("kind"),
+        "evidence", (F.col("routing") == "verified").alias("verified"), F.lit(now).alias("decided_at"),
     )
-    items = rows.filter("routing = 'needs_human'").select("fingerprint", "reason", F.col("category").alias("draft_category"), F.col("draft_confidence").alias("draft_confidence"), F.lit(now).alias("enqueued_at"))
-    return decisions, items
+    items = rows.filter("routing = 'needs_human'").join(pending.select("fingerprint").distinct(), "fingerprint", "left_anti")
+    return decisions, items.select("fingerprint", "reason", F.col("category").alias("draft_category"), F.col("confidence").alias("draft_confidence"), F.lit(now).alias("enqueued_at"))
 
 
 def run_statistics(results: DataFrame) -> DataFrame:

@@ -56,8 +56,8 @@ SELECT concat('bin-', p_partkey) AS binary, concat('src-', p_partkey % 250) AS s
  p_size % 5 AS k1, p_partkey % 13 AS k2 FROM part""",
     "bundle_row": """
 SELECT source, version, state, CASE WHEN state = 'patched' THEN n ELSE 0 END AS total FROM (
- SELECT concat('src-', p_partkey % 250) AS source, concat(p_size % 5, '.', p_partkey % 13, '-1') AS version, CAST(1 + max(p_size) % 7 AS BIGINT) AS n,
- CASE min(p_partkey) % 4 WHEN 0 THEN 'patched' WHEN 1 THEN 'clean' WHEN 2 THEN 'patched' ELSE 'odd' END AS state FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1, 2) x""",
+ SELECT concat('src-', p_partkey % 250) AS source, concat(p_size % 5, '.', p_partkey % 13, CASE WHEN p_partkey % 3 = 0 THEN '-2' ELSE '-1' END) AS version, CAST(1 + max(p_size) % 7 AS BIGINT) AS n,
+ CASE min(p_partkey) % 4 WHEN 0 THEN 'patched' WHEN 1 THEN 'clean' WHEN 2 THEN 'patched' ELSE 'odd' END AS state FROM part GROUP BY 1, 2) x""",
     "decision": """
 SELECT event_id AS id, concat('f', user_id * 100 + event_id % 40) AS fingerprint,
  CASE event_type WHEN 'click' THEN 'bugfix' WHEN 'view' THEN 'unknown' WHEN 'purchase' THEN 'security' WHEN 'signup' THEN 'feature' ELSE 'packaging' END AS category,
@@ -72,7 +72,7 @@ SELECT event_id AS id, concat('f', user_id * 100 + event_id % 40) AS fingerprint
   WHEN 3 THEN CASE event_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'none' WHEN 2 THEN 'low' ELSE 'odd' END WHEN 4 THEN CASE event_id % 5 WHEN 0 THEN 'zero-width/diff' WHEN 1 THEN 'bidi-control/header' ELSE 'instruction-phrase/diff' END
   ELSE 'autotools/90' END AS detail,
  CASE event_id % 6 WHEN 3 THEN CASE WHEN event_id % 9 = 0 THEN '{"projected":1,"truncated":true}' ELSE '{"truncated":true}' END
-  WHEN 5 THEN CASE WHEN event_id % 10 = 5 THEN 'not json' ELSE concat('{"coverage":0.5,"files":[{"path":"configure","family":"autotools","added":1,"removed":2}],"generated_lines":3,"residue_lines":', event_id % 9000, '}') END ELSE NULL END AS evidence,
+  WHEN 5 THEN CASE WHEN event_id % 14 = 5 THEN 'not json' ELSE concat('{"coverage":0.5,"files":[{"path":"configure","family":"autotools","added":1,"removed":2}],"generated_lines":3,"residue_lines":', event_id % 9000, '}') END ELSE NULL END AS evidence,
  'scan' AS observed_by, 1 AS rule_version, @ISO(ts) AS observed_at FROM events""",
     "supersession": """
 SELECT 'decision' AS "table", event_id AS id, concat('2024-03-0', 1 + event_id % 9) AS superseded_at FROM events WHERE event_id % 5 = 0
@@ -80,16 +80,15 @@ UNION ALL SELECT 'decision', event_id, concat('2024-03-1', event_id % 9) FROM ev
 UNION ALL SELECT 'observation', event_id, '2024-03-05' FROM events WHERE event_id % 8 = 0""",
     "queue_item": """
 SELECT event_id AS id, concat('f', user_id * 100 + event_id % 40) AS fingerprint, 'reason' AS reason, CASE event_id % 3 WHEN 0 THEN 'bugfix' WHEN 1 THEN 'security' ELSE 'unknown' END AS draft_category,
- CAST(floor(value * 1000000) AS BIGINT) AS priority, @ISO(ts) AS enqueued_at FROM events WHERE event_id % 4 = 1""",
+ CAST(floor(value * 1000000) AS BIGINT) AS priority, @ISO(ts) AS enqueued_at FROM events WHERE event_type = 'view'""",
     "queue_event": """
-SELECT event_id AS item_id, 'reviewed' AS event, CAST(NULL AS BIGINT) AS priority, '2024-04-01' AS at FROM events WHERE event_id % 12 = 1
-UNION ALL SELECT event_id, 'reopened', NULL, '2024-04-02' FROM events WHERE event_id % 36 = 1
-UNION ALL SELECT event_id, 'reprioritised', event_id * 7, '2024-04-03' FROM events WHERE event_id % 20 = 1""",
+SELECT event_id AS item_id, CASE event_id % 3 WHEN 1 THEN 'reviewed' ELSE 'reprioritised' END AS event, CASE event_id % 3 WHEN 1 THEN NULL ELSE event_id * 7 END AS priority, '2024-04-01' AS at FROM events
+UNION ALL SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'reopened' ELSE 'seen' END, NULL, '2024-04-02' FROM events""",
     "carrier": "SELECT concat('f', o_custkey) AS fingerprint, concat('s', o_orderkey % 40) AS source, o_orderkey AS ord FROM orders",
-    "install": "SELECT concat('b', l_suppkey) AS binary, count(*) AS inst, sum(CAST(l_quantity AS BIGINT)) AS vote FROM lineitem WHERE l_suppkey % 9 <> 0 GROUP BY l_suppkey",
+    "install": "SELECT concat('b', CASE WHEN l_suppkey % 9 = 0 THEN 'x' ELSE '' END, l_suppkey) AS binary, count(*) AS inst, sum(CAST(l_quantity AS BIGINT)) AS vote FROM lineitem GROUP BY l_suppkey",
     "source_binary": "SELECT concat('s', s_nationkey) AS source, concat('b', s_suppkey) AS binary FROM supplier",
     "cve_claim": "SELECT concat('f', o_orderkey) AS fingerprint, concat('s', o_custkey % 30) AS source, concat('CVE-2024-', 1000 + o_orderkey % 300) AS c1, concat('CVE-2024-', 1000 + o_custkey % 200) AS c2, o_orderkey % 6 AS m FROM orders",
-    "tracker": "SELECT DISTINCT concat('s', l_suppkey % 30) AS source, concat('CVE-2024-', 1000 + l_partkey % 150) AS cve, CASE l_partkey % 3 WHEN 0 THEN 'open' ELSE 'resolved' END AS status, CAST(NULL AS @STR) AS fixed_version FROM lineitem WHERE l_orderkey % 3 = 0",
+    "tracker": "SELECT DISTINCT concat('s', l_suppkey % 30) AS source, concat('CVE-2024-', 1000 + l_suppkey % 30 * 7 + l_partkey % 40) AS cve, CASE l_partkey % 40 % 3 WHEN 0 THEN 'open' ELSE 'resolved' END AS status, CAST(NULL AS @STR) AS fixed_version FROM lineitem",
     "response": """
 SELECT concat('f', conv_id * 100 + turn) AS fingerprint, conv_id, turn, CASE (conv_id + turn) % 6
  WHEN 0 THEN concat('{"category":"bugfix","confidence":"high","reasoning":"r', length(text) % 10, '","agrees":true,"risk":"high"}')

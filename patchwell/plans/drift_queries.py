@@ -174,13 +174,13 @@ def cve_corroboration(spark, d):
 
 
 @query("""WITH c AS (SELECT concat('f', o_orderkey) AS fingerprint, concat('s', o_custkey % 20) AS source, CASE o_orderkey % 4 WHEN 0 THEN NULL ELSE 1000 + o_custkey % 400 END AS bug FROM orders),
-b AS (SELECT DISTINCT 1000 + l_partkey % 300 AS bug, concat('s', l_suppkey % 20) AS source FROM lineitem WHERE l_orderkey % 9 = 0)
+b AS (SELECT DISTINCT 1000 + l_partkey % 300 AS bug, concat('s', (l_partkey % 300 + l_suppkey % 3) % 20) AS source FROM lineitem)
 SELECT c.fingerprint, c.source, CASE WHEN c.bug IS NULL THEN 'unknown' WHEN EXISTS (SELECT 1 FROM b WHERE b.bug = c.bug AND b.source = c.source) THEN 'confirmed' WHEN EXISTS (SELECT 1 FROM b WHERE b.bug = c.bug) THEN 'wrong-source' ELSE 'not-found' END AS outcome, c.bug FROM c""")
 def bug_corroboration(spark, d):
     o, li = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("orders", "lineitem"))
     ref = F.when(F.col("o_orderkey") % 4 == 0, F.array(F.struct(F.lit("upstream").alias("tracker"), F.lit("#12").alias("ref")))).otherwise(F.array(F.struct(F.lit("debian").alias("tracker"), F.concat(F.lit("#"), (1000 + F.col("o_custkey") % 400).cast("string")).alias("ref"))))
     claims = o.select(F.concat(F.lit("f"), "o_orderkey").alias("fingerprint"), F.concat(F.lit("s"), F.col("o_custkey") % 20).alias("source"), ref.alias("bugs"))
-    bugs = li.filter("l_orderkey % 9 = 0").select((1000 + F.col("l_partkey") % 300).alias("bug"), F.concat(F.lit("s"), F.col("l_suppkey") % 20).alias("source"))
+    bugs = li.select((1000 + F.col("l_partkey") % 300).alias("bug"), F.concat(F.lit("s"), (F.col("l_partkey") % 300 + F.col("l_suppkey") % 3) % 20).alias("source"))
     return axes.verify_bugs(claims, bugs)
 
 

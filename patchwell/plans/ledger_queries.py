@@ -172,21 +172,25 @@ def next_batch(spark, d):
     return triage.next_batch(work(spark, d), done, 50).select("fingerprint")
 
 
-@query(BASE + ", x AS (SELECT fingerprint, id, 'doc-only' AS by FROM ld WHERE kind = 'heuristic' AND category <> 'security' AND fingerprint IN (SELECT fingerprint FROM decision WHERE id % 3 = 0)), a AS (SELECT DISTINCT fingerprint FROM decision WHERE id % 3 = 0) SELECT 'stamp' AS what, count(*) AS n FROM ld WHERE kind = 'heuristic' AND fingerprint IN (SELECT fingerprint FROM a) AND NOT (category = 'security' AND decided_by = 'doc-only' AND rule_version = 1) UNION ALL SELECT 'append', count(*) FROM a WHERE fingerprint NOT IN (SELECT fingerprint FROM ld WHERE kind = 'heuristic' AND category = 'security' AND decided_by = 'doc-only' AND rule_version = 1)")
+@query(BASE + """, a AS (SELECT fingerprint, CASE max(category) WHEN 'unknown' THEN 'security' ELSE max(category) END AS category FROM decision GROUP BY 1), same AS (SELECT ld.id, ld.fingerprint FROM ld JOIN a ON a.fingerprint = ld.fingerprint AND a.category = ld.category WHERE kind = 'heuristic' AND decided_by = 'doc-only' AND rule_version = 1)
+SELECT 'stamp' AS what, count(*) AS n FROM ld WHERE kind = 'heuristic' AND id NOT IN (SELECT id FROM same) UNION ALL SELECT 'append', count(*) FROM a WHERE fingerprint NOT IN (SELECT fingerprint FROM same)""")
 def record_pass(spark, d):
-    """What a record pass would append and stamp if a rule now called a third of the fingerprints security."""
+    """What a record pass would append and stamp if a rule now gave every fingerprint its last category by name, and security where that is unknown."""
     decision, live, _, _ = tables(spark, d)
-    desired = decision.filter("id % 3 = 0").select("fingerprint").distinct().select("fingerprint", F.lit("security").alias("category"), F.lit("high").alias("confidence"), F.lit("doc-only").alias("decided_by"), F.lit(1).alias("rule_version"), F.lit(None).cast("string").alias("evidence"))
+    last = F.max("category")
+    desired = decision.groupBy("fingerprint").agg(F.when(last == "unknown", "security").otherwise(last).alias("category"))
+    desired = desired.select("fingerprint", "category", F.lit("high").alias("confidence"), F.lit("doc-only").alias("decided_by"), F.lit(1).alias("rule_version"), F.lit(None).cast("string").alias("evidence"))
     append, stamps = ledger.record_decisions(desired, live, "2024-05-01")
     n = lambda df, what: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
     return n(stamps, "stamp").unionByName(n(append, "append"))
 
 
-@query(BASE + ", w AS (SELECT fingerprint, list_sort(list(DISTINCT row(kind, detail, coalesce(evidence, '~')))) AS x FROM observation WHERE id % 16 <> 3 GROUP BY 1), h AS (SELECT fingerprint, list_sort(list(DISTINCT row(kind, detail, coalesce(evidence, '~')))) AS x, count(*) AS n FROM lo GROUP BY 1) SELECT count(*) AS changed, sum(coalesce(len(w.x), 0))::BIGINT AS appended, sum(coalesce(h.n, 0))::BIGINT AS stamped FROM w FULL JOIN h ON w.fingerprint = h.fingerprint WHERE w.x IS DISTINCT FROM h.x")
+@query(BASE + ", w AS (SELECT fingerprint, list_sort(list(DISTINCT row(kind, CASE WHEN id % 16 = 3 THEN detail || '/again' ELSE detail END, coalesce(evidence, '~')))) AS x FROM observation GROUP BY 1), h AS (SELECT fingerprint, list_sort(list(DISTINCT row(kind, detail, coalesce(evidence, '~')))) AS x, count(*) AS n FROM lo GROUP BY 1) SELECT count(*) AS changed, sum(coalesce(len(w.x), 0))::BIGINT AS appended, sum(coalesce(h.n, 0))::BIGINT AS stamped FROM w FULL JOIN h ON w.fingerprint = h.fingerprint WHERE w.x IS DISTINCT FROM h.x")
 def observation_pass(spark, d):
-    """The difference between all observations but some and the live ones, as a record pass sees it."""
+    """The difference between all observations ever made, some with another detail, and the live ones, as a record pass sees it."""
     _, _, obs, _ = tables(spark, d)
-    desired = derive.table(spark, d, "observation").filter("id % 16 <> 3").select("fingerprint", "kind", "detail", "evidence", "rule_version")
+    detail = F.when(F.col("id") % 16 == 3, F.concat("detail", F.lit("/again"))).otherwise(F.col("detail"))
+    desired = derive.table(spark, d, "observation").withColumn("detail", detail).select("fingerprint", "kind", "detail", "evidence", "rule_version")
     append, stamps = ledger.record_observations(desired, obs.filter("superseded_at IS NULL"), "scan", "2024-05-01")
     a = append.agg(F.count_distinct("fingerprint").alias("f"), F.count(F.lit(1)).alias("appended"))
     live = obs.filter("superseded_at IS NULL").select("id", "fingerprint")
@@ -264,9 +268,13 @@ def superseded_rule(spark, d):
     return ledger.supersede_rule(live, obs.filter("superseded_at IS NULL"), "doc-only", 1, "2024-05-01").select("table", "id")
 
 
-@query(BASE + ", w AS (SELECT DISTINCT fingerprint, CASE WHEN id % 2 = 0 THEN 'security' ELSE 'bugfix' END AS category FROM decision WHERE id % 97 = 1), h AS (SELECT fingerprint, max(id) AS id, arg_max(category, id) AS category FROM ld WHERE id % 3 <> 0 AND kind = 'llm' GROUP BY 1), k AS (SELECT fingerprint, min(category) AS category FROM w GROUP BY 1) SELECT coalesce(k.fingerprint, h.fingerprint) AS fingerprint, h.id, CASE WHEN h.fingerprint IS NULL THEN 'append' WHEN k.fingerprint IS NULL THEN 'retract' WHEN h.category = k.category AND h.id % 2 = 0 THEN 'skip' ELSE 'replace' END AS action FROM k FULL JOIN h ON k.fingerprint = h.fingerprint")
+@query(BASE + """, g AS (SELECT fingerprint, max(id) AS id, arg_max(category, id) AS content, max(rule_version) AS v FROM decision GROUP BY 1), w AS (SELECT fingerprint, CASE WHEN id % 2 = 0 THEN 'security' ELSE 'bugfix' END AS category FROM g WHERE content = 'unknown' AND v = 2),
+h AS (SELECT fingerprint, max(id) AS id, arg_max(category, id) AS category, arg_max(substr(decided_at, 1, 10), id) AS day, arg_max(decided_at IS NULL, id) AS undated FROM ld WHERE kind = 'llm' GROUP BY 1)
+SELECT coalesce(w.fingerprint, h.fingerprint) AS fingerprint, h.id, CASE WHEN h.fingerprint IS NULL THEN 'append' WHEN w.fingerprint IS NULL THEN 'retract' WHEN NOT undated AND h.category = w.category AND '2024-02-15' < strftime(CAST(day AS DATE) + 30, '%Y-%m-%d') THEN 'skip' ELSE 'replace' END AS action FROM w FULL JOIN h ON w.fingerprint = h.fingerprint""")
 def external_lifecycle(spark, d):
+    """An outside record settles every fingerprint whose newest content is unknown and touches code (the guard); model rows play the live ones, fresh for 30 days."""
     decision, live, _, _ = tables(spark, d)
-    want = decision.filter("id % 97 = 1").groupBy("fingerprint").agg(F.min(F.when(F.col("id") % 2 == 0, "security").otherwise("bugfix")).alias("category")).withColumn("input_snapshot", F.lit("s1"))
-    have = verdict.latest(live.filter("id % 3 <> 0"), F.col("kind") == "llm", ["fingerprint"]).select("fingerprint", "id", "category", F.lit("s1").alias("input_snapshot"), F.when(F.col("id") % 2 == 0, "2024-06-01").otherwise("2024-04-01").alias("input_fresh_until"))
-    return ledger.external_actions(want, have, "2024-05-01")
+    newest = decision.groupBy("fingerprint").agg(F.max("id").alias("id"), F.max_by("category", "id").alias("content"), (F.max("rule_version") == 2).alias("code"))
+    want = newest.filter(axes.should_settle(F.col("content"), F.col("code"))).select("fingerprint", F.when(F.col("id") % 2 == 0, "security").otherwise("bugfix").alias("category"), F.lit("s1").alias("input_snapshot"))
+    have = verdict.latest(live, F.col("kind") == "llm", ["fingerprint"]).select("fingerprint", "id", "category", F.lit("s1").alias("input_snapshot"), axes.fresh_until(F.substring("decided_at", 1, 10)).alias("input_fresh_until"))
+    return ledger.external_actions(want, have, "2024-02-15")
