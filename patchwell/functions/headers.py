@@ -18,20 +18,19 @@ NAME_PREFIXES = ["deb-", "debian-"]
 FOLDERS = {"packaging": ["debian/"], "documentation": ["doc/", "docs/", "documentation/"]}
 
 
-def _until(lines: Column, ends) -> Column:
-    """The lines before the first one that `ends`."""
-    hits = F.filter(F.transform(lines, lambda x, i: F.when(ends(x), i)), lambda i: i.isNotNull())
-    return F.slice(lines, F.lit(1), F.coalesce(F.try_element_at(hits, F.lit(1)), F.size(lines)))
+#: From the first line that ends a header on; the second pattern ends at a blank line too. Lines end in line feeds (?d).
+ENDS = r"(?dmsU)^(?:[\s&&[^\n]]*---[\s&&[^\n]]*$|" + t.either(t.DIFF_MARKERS) + r").*\z"
+FIELD_ENDS = r"(?dmsU)^[\s&&[^\n]]*\n.*\z"
 
 
-def header_lines(body: Column) -> Column:
-    """Lines before the diff."""
-    return _until(t.lines(body), lambda x: (t.strip(x) == "---") | t.starts_with(x, t.DIFF_MARKERS))
+def header(body: Column) -> Column:
+    """Text before the diff, cut once from the body: all below work on it."""
+    return F.regexp_replace(t.with_feeds(body), ENDS, "")
 
 
-def fields(body: Column) -> Column:
-    """Header fields up to a blank line, `---` or the diff: lower-cased names, continuation lines folded; the last of a name stands."""
-    upto = _until(t.lines(body), lambda x: (t.strip(x) == "") | (t.strip(x) == "---") | t.starts_with(x, t.DIFF_MARKERS))
+def fields(header: Column) -> Column:
+    """Fields of a header up to a blank line: lower-cased names, continuation lines folded; the last of a name stands."""
+    upto = F.filter(F.split(F.regexp_replace(header, FIELD_ENDS, ""), "\n"), lambda x: x != "")
     empty = F.create_map().cast("map<string,string>")
     start = F.struct(empty.alias("m"), F.lit(None).cast("string").alias("k"))
 
@@ -57,10 +56,10 @@ def bug_references(h: Column) -> Column:
     return F.transform(named, lambda e: F.struct(F.when(e["key"] == "bug", F.lit("upstream")).otherwise(F.substring(e["key"], 5, 1 << 30)).alias("tracker"), e["value"].alias("ref")))
 
 
-def forwarding(body: Column, name: Column, h: Column) -> Column:
+def forwarding(header: Column, name: Column, h: Column) -> Column:
     """forwarded, debian-only or unknown: declared fields first, then naming habits."""
     origin = F.lower(t.strip(F.substring_index(F.coalesce(h["origin"], F.lit("")), ",", 1)))
-    marked = F.exists(header_lines(body), lambda x: x.rlike(r"(?i)^\s*#+\s*DP:"))
+    marked = header.rlike(r"(?idm)^[\s&&[^\n]]*#+[\s&&[^\n]]*DP:")
     return (
         F.when(F.map_contains_key(h, "applied-upstream"), "forwarded")
         .when(h["forwarded"].isNotNull(), F.when(F.lower(t.strip(h["forwarded"])).startswith("no"), "debian-only").otherwise("forwarded"))
@@ -72,10 +71,9 @@ def forwarding(body: Column, name: Column, h: Column) -> Column:
     )
 
 
-def cves(body: Column) -> Column:
-    """CVE ids of the header, upper-cased, distinct, in order."""
-    text = F.array_join(header_lines(body), "\n")
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)CVE-\d{4}-\d{4,}"), F.lit(0)), lambda x: F.upper(x)))
+def cves(header: Column) -> Column:
+    """CVE ids of a header, upper-cased, distinct, in order."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(header, F.lit(r"(?i)CVE-\d{4}-\d{4,}"), F.lit(0)), lambda x: F.upper(x)))
 
 
 def description(h: Column) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
 #: Every line boundary that counts, and the lines' right trim.
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
-RIGHT = "(?U)\\s+$"
+ODD_BREAK = "[\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+RIGHT = "(?U)\\s++$"
 EDGES = "(?U)^\\s+|\\s+$"
 
 # Prefixes of a diff's decoration lines, and of lines that end a header.
@@ -29,7 +31,8 @@ def contains_any(x: Column, words: list[str]) -> Column:
 
 
 def rtrim(x: Column) -> Column:
-    return F.regexp_replace(x, RIGHT, "")
+    """Without white space at the right; the pattern runs only where the last character is some."""
+    return F.when(F.substring(x, -1, 1).rlike("(?U)^\\s"), F.regexp_replace(x, RIGHT, "")).otherwise(x)
 
 
 def strip(x: Column) -> Column:
@@ -42,6 +45,18 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
+def with_feeds(text: Column) -> Column:
+    """Text whose lines all end in one line feed, the last one too; null as empty."""
+    x = F.coalesce(text, F.lit(""))
+    x = F.when(x.rlike(ODD_BREAK), F.regexp_replace(x, LINE_BREAK, "\n")).otherwise(x)
+    return F.when((x == "") | x.endswith("\n"), x).otherwise(F.concat(x, F.lit("\n")))
+
+
+def either(prefixes: list[str]) -> str:
+    """Pattern of any of the given texts."""
+    return "(?:" + "|".join(re.escape(p) for p in prefixes) + ")"
+
+
 def header_path(line: Column) -> Column:
     """Path of a `--- ` or `+++ ` line: up to a tab, else to two spaces, without a leading a/ or b/."""
     rest = F.substring(line, 5, 1 << 30)

@@ -12,7 +12,7 @@ def decisions(bodies: DataFrame) -> DataFrame:
 
     Each distinct fingerprint is analysed once, on its smallest body.
     """
-    rows = diff.with_lines(bodies.select("body")).select(diff.fingerprint(F.col("ls")).alias("fingerprint"), "body")
+    rows = bodies.select(diff.fingerprint(F.col("body")).alias("fingerprint"), "body")
     one = rows.groupBy("fingerprint").agg(F.min("body").alias("body"))
     files = diff.file_table(diff.line_table(one, "fingerprint"), "fingerprint")
     v = diff.profile(files, one, "fingerprint").withColumn("v", rules.first_rule())

@@ -13,47 +13,66 @@ VARIANTS = {"default": (True, False), "keep_path": (False, False), "drop_context
 
 
 def with_lines(patches: DataFrame) -> DataFrame:
-    """Adds `ls`, the lines of `body`; expressions below refer to the column, so the split runs once."""
+    """Adds `ls`, the lines of `body`."""
     return patches.withColumn("ls", t.lines(F.coalesce(F.col("body"), F.lit(""))))
 
 
-def diff_start(ls: Column) -> Column:
-    """Position (from 0) of the first line of the diff; the number of lines if there is none."""
-    begins = lambda x, i: x.startswith("diff --git ") | x.startswith("@@ ") | (x.startswith("--- ") & F.coalesce(F.try_element_at(ls, (i + 2).cast("int")).startswith("+++ "), F.lit(False)))
-    at = F.filter(F.transform(ls, lambda x, i: F.when(begins(x, i), i)), lambda i: i.isNotNull())
-    return F.coalesce(F.try_element_at(at, F.lit(1)), F.size(ls))
+def diff_text(body: Column) -> Column:
+    """Text from the first line of the diff on, each line with a line feed; empty if there is none."""
+    return F.regexp_extract(t.with_feeds(body), r"(?dms)^(?:diff --git |@@ |--- [^\n]*\n\+\+\+ ).*\z", 0)
 
 
-def diff_lines_of(ls: Column) -> Column:
-    return F.slice(ls, diff_start(ls) + 1, F.greatest(F.size(ls), F.lit(1)))
+#: Patterns over whole texts, whose lines end in line feeds (?d), one for each step of the normalisation.
+TRAILING, DECORATED = r"(?dmU)[\s&&[^\n]]++$", r"(?dm)^" + t.either(t.DECORATION) + r"[^\n]*\n"
+HUNK, CONTEXT, ANY_HEADER = r"(?dm)^@@[^\n]*$", r"(?dm)^ [^\n]*\n", r"(?dm)^(---|\+\+\+) [^\n]*$"
+#: The path of a header line: up to a tab, else to two spaces; then without white space around it and a/ or b/; then without the space if it is empty.
+PATH = [
+    (r"(?dm)^(---|\+\+\+) (?:([^\n\t]*)\t[^\n]*|((?:(?!  )[^\n\t])*+)(?:  [^\n\t]*)?)$", "$1 $2$3"),
+    (r"(?dmU)^(---|\+\+\+) [\s&&[^\n]]*+(?:[ab]/)?([^\n]*?)[\s&&[^\n]]*$", "$1 $2"),
+    (r"(?dm)^(---|\+\+\+) $", "$1"),
+]
 
 
-def normalised(ls: Column, strip_path: bool = True, drop_context: bool = False) -> Column:
-    """Canonical text of a diff: no decoration, no positions, optionally no paths and no context."""
+def plain(body: Column) -> Column:
+    """The diff without trailing white space, decoration lines and positions: what all normalisations start from."""
+    out = F.regexp_replace(diff_text(body), TRAILING, "")
+    return F.regexp_replace(F.regexp_replace(out, DECORATED, ""), HUNK, "@@")
+
+
+def normalised_plain(text: Column, strip_path: bool = True, drop_context: bool = False) -> Column:
+    """Canonical text from that of `plain`: optionally without paths and without context."""
+    if strip_path:
+        text = F.regexp_replace(text, ANY_HEADER, "$1")
+    else:
+        for pattern, to in PATH:
+            text = F.regexp_replace(text, pattern, to)
+    return F.regexp_replace(text, CONTEXT, "") if drop_context else text
 
-    def keep(raw: Column) -> Column:
-        path = t.header_path(raw)
-        marker = F.substring(raw, 1, 3)
-        header = marker if strip_path else F.when(path == "", marker).otherwise(F.concat(marker, F.lit(" "), path))
-        out = F.when(t.starts_with(raw, t.DECORATION), F.lit(None)).when(raw.startswith("--- ") | raw.startswith("+++ "), header).when(raw.startswith("@@"), "@@")
-        return (out.when(raw.startswith(" "), F.lit(None)) if drop_context else out).otherwise(raw)
 
-    out = F.filter(F.transform(F.transform(diff_lines_of(ls), t.rtrim), keep), lambda x: x.isNotNull())
-    return F.when(F.size(out) > 0, F.concat(F.array_join(out, "\n"), F.lit("\n"))).otherwise("")
+def normalised(body: Column, strip_path: bool = True, drop_context: bool = False) -> Column:
+    """Canonical text of a diff: no decoration, no positions, optionally no paths and no context."""
+    return normalised_plain(plain(body), strip_path, drop_context)
 
 
-def fingerprint(ls: Column, strip_path: bool = True, drop_context: bool = False, version: int = 1) -> Column:
+def fingerprint(body: Column, strip_path: bool = True, drop_context: bool = False, version: int = 1) -> Column:
     if version != 1:
         raise ValueError(f"unsupported normalisation version: {version}")
-    return F.sha2(normalised(ls, strip_path, drop_context), 256)
+    return F.sha2(normalised(body, strip_path, drop_context), 256)
+
+
+def with_fingerprints(bodies: DataFrame) -> DataFrame:
+    """Adds the fingerprint and its three variants; the steps they share run once, in a column of their own."""
+    rows = bodies.withColumn("_plain", plain(F.col("body")))
+    names = {k: "fingerprint" if k == "default" else f"fingerprint_{k}" for k in VARIANTS}
+    return rows.select(*bodies.columns, *[F.sha2(normalised_plain(F.col("_plain"), *v), 256).alias(names[k]) for k, v in VARIANTS.items()])
 
 
-def diff_body(ls: Column, most: int | None = None) -> Column:
+def diff_body(body: Column, most: int | None = None) -> Column:
     """Text from the diff's start; beyond `most` characters cut with a note that tells the whole length."""
-    body = F.array_join(diff_lines_of(ls), "\n")
+    out = F.regexp_replace(diff_text(body), r"(?d)\n\z", "")
     if most is None:
-        return body
-    return F.when(F.length(body) > most, F.concat(F.substring(body, 1, most), F.lit("\n[diff truncated: "), F.length(body).cast("string"), F.lit(" characters in all]"))).otherwise(body)
+        return out
+    return F.when(F.length(out) > most, F.concat(F.substring(out, 1, most), F.lit("\n[diff truncated: "), F.length(out).cast("string"), F.lit(" characters in all]"))).otherwise(out)
 
 
 def line_table(patches: DataFrame, key: str = "patch_id") -> DataFrame:
@@ -102,26 +121,29 @@ def file_table(lines: DataFrame, key: str = "patch_id") -> DataFrame:
     rows = rows.select(key, "file_no", "kind", "file.*", F.substring("raw", 2, 1 << 30).alias("text"), F.col("kind").isin("add", "del").alias("changed"))
     count = lambda kind: F.count_if(F.col("kind") == kind)
     ws = F.regexp_replace(t.strip(F.col("text")), r"(?U)\s+", " ")
-    lines_of = lambda kind, x: F.collect_list(F.when(F.col("kind") == kind, x))
+    sign = F.when(F.col("kind") == "add", 1).when(F.col("kind") == "del", -1)
+    # Sums of hashes, added lines less removed ones: 0 where both are the same lines in some order.
+    part = lambda x, at: F.sum(F.when(F.col("changed"), sign * F.shiftright(F.xxhash64(x), at).bitwiseAND(F.lit((1 << 31) - 1))))
+    differs = lambda x: F.array(part(x, 0), part(x, 31))
     code = (F.col("kind") == "add") & (F.col("type") == "code")
     return rows.groupBy(key, "file_no", "path", "ext", "type").agg(
         count("hunk").alias("hunks"), count("add").alias("added"), count("del").alias("removed"),
         F.bool_and(~F.col("changed") | files.comment_or_blank(F.col("text"), F.col("ext"))).alias("comments"),
         F.bool_and(~F.col("changed") | files.ignore_pattern(F.col("text"))).alias("patterns"),
-        lines_of("add", F.col("text")).alias("plus"), lines_of("del", F.col("text")).alias("minus"),
-        lines_of("add", ws).alias("plus_ws"), lines_of("del", ws).alias("minus_ws"),
+        differs(F.col("text")).alias("differs"), differs(ws).alias("differs_ws"),
         F.flatten(F.collect_list(F.when(code, construct_details(F.col("text"), F.col("ext"))))).alias("constructs"),
     )
 
 
-def profile(file_rows: DataFrame, patches: DataFrame, key: str = "patch_id") -> DataFrame:
-    """A row for each patch: files, counts in all and by type, touches_code, the four trivial flags, construct hits.
+def profile(file_rows: DataFrame, patches: DataFrame, key: str = "patch_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each patch: files, counts in all and by type, touches_code, the four trivial flags, construct hits, and the columns `keep` of `patches`.
 
     `patches`: key and `body`. Patches without a diff get zero counts and is_empty. The files are
-    grouped within their partitioning; only (key, is_empty) is shuffled besides.
+    grouped within their partitioning; only (key, is_empty, keep) is shuffled besides. Lines are the
+    same but for white space, or altogether, where sums of 62 bits of their hashes agree.
     """
     changes = F.col("added") + F.col("removed") > 0
-    flat = lambda c: F.array_sort(F.flatten(F.collect_list(c)))
+    zeros = lambda c: (F.sum(F.coalesce(F.col(c)[0], F.lit(0))) == 0) & (F.sum(F.coalesce(F.col(c)[1], F.lit(0))) == 0)
     of = lambda kind: F.col("type") == kind
     per = {"file_types": lambda k: F.count_if(of(k)), "added_by_type": lambda k: F.sum(F.when(of(k), F.col("added"))), "removed_by_type": lambda k: F.sum(F.when(of(k), F.col("removed")))}
     # One struct a type that the patch has: null counts of the other types drop out.
@@ -131,18 +153,18 @@ def profile(file_rows: DataFrame, patches: DataFrame, key: str = "patch_id") ->
         F.sum("added").alias("added_lines"), F.sum("removed").alias("removed_lines"), F.sum("hunks").alias("hunks"),
         F.bool_and(~changes | (files.knows_comments(F.col("ext")) & F.col("comments"))).alias("comments"),
         F.bool_and(F.lower(t.basename(F.col("path"))).isin(files.IGNORE_NAMES) & F.col("patterns")).alias("patterns"),
-        flat("plus").alias("p"), flat("minus").alias("m"), flat("plus_ws").alias("pw"), flat("minus_ws").alias("mw"), F.flatten(F.collect_list("constructs")).alias("constructs"),
+        (zeros("differs_ws") & ~zeros("differs")).alias("spaced"), F.flatten(F.collect_list("constructs")).alias("constructs"),
     )
-    base = with_lines(patches.select(key, "body")).select(key, (normalised(F.col("ls")) == "").alias("is_empty"))
+    base = patches.select(key, (plain(F.col("body")) == "").alias("is_empty"), *keep)
     some = F.coalesce(F.col("added_lines") + F.col("removed_lines"), F.lit(0)) > 0
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     flag = lambda c, name: F.coalesce(c, F.lit(False)).alias(name)
     return base.join(per_patch, key, "left").select(
         key, "files", "file_types", "added_by_type", "removed_by_type", zero("added_lines"), zero("removed_lines"), zero("hunks"),
         flag(F.map_contains_key("file_types", "code"), "touches_code"), "is_empty",
-        flag(some & (F.size("p") == F.size("m")) & (F.col("pw") == F.col("mw")) & (F.col("p") != F.col("m")), "whitespace_only"),
+        flag(some & (F.col("added_lines") == F.col("removed_lines")) & F.col("spaced"), "whitespace_only"),
         flag(some & F.col("comments"), "comment_only"), flag(some & F.col("patterns"), "ignore_file_only"),
-        F.when(F.col("constructs").isNull(), 0).otherwise(F.size("constructs")).cast("long").alias("flag_count"), F.coalesce(F.array_join(F.array_sort(F.array_distinct("constructs")), ", "), F.lit("")).alias("flag_details"),
+        F.when(F.col("constructs").isNull(), 0).otherwise(F.size("constructs")).cast("long").alias("flag_count"), F.coalesce(F.array_join(F.array_sort(F.array_distinct("constructs")), ", "), F.lit("")).alias("flag_details"), *keep,
     )
 
 

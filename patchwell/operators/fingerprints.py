@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .diff import VARIANTS, fingerprint, with_lines
+from .diff import VARIANTS, with_fingerprints
 
 # Buckets of the multiplicity histogram.
 BUCKETS = [("1", 1, 1), ("2", 2, 2), ("3-5", 3, 5), ("6-10", 6, 10), ("11-50", 11, 50), ("51+", 51, 1 << 40)]
@@ -12,8 +12,7 @@ BUCKETS = [("1", 1, 1), ("2", 2, 2), ("3-5", 3, 5), ("6-10", 6, 10), ("11-50", 1
 
 def fingerprint_bodies(bodies: DataFrame) -> DataFrame:
     """(sha, body) to sha, fingerprint and the three other variants: each distinct body once."""
-    rows = with_lines(bodies)
-    return rows.select("sha", *[fingerprint(F.col("ls"), *v).alias("fingerprint" if k == "default" else f"fingerprint_{k}") for k, v in VARIANTS.items()])
+    return with_fingerprints(bodies).drop("body")
 
 
 def last_rows(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

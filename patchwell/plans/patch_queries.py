@@ -84,8 +84,7 @@ def recurrence_histogram(spark, d):
 
 @query(DL + "SELECT * FROM fp")
 def patch_fingerprints(spark, d):
-    rows = diff.with_lines(patches(spark, d))
-    return rows.select("patch_id", *[diff.fingerprint(F.col("ls"), *v).alias("fingerprint" if k == "default" else f"fingerprint_{k}") for k, v in diff.VARIANTS.items()])
+    return diff.with_fingerprints(patches(spark, d).select("patch_id", "body")).drop("body")
 
 
 @query(DL + """, v AS (SELECT 'default' AS variant, raw_sha256, fingerprint AS f FROM ix UNION ALL SELECT 'keep_path', raw_sha256, fingerprint_keep_path FROM ix UNION ALL SELECT 'drop_context', raw_sha256, fingerprint_drop_context FROM ix
@@ -163,9 +162,9 @@ def content_profiles(spark, d):
 
 
 def verdicts(spark, d) -> DataFrame:
-    p, _, files = analysed(spark, d)
-    claims = claim_rows(spark, d).select("patch_id", "claim_category")
-    rows = diff.profile(files, p).withColumn("v", rules.first_rule()).join(claims, "patch_id")
+    p = claimed(patches(spark, d))
+    files = diff.file_table(diff.line_table(p))
+    rows = diff.profile(files, p, keep=("claim_category",)).withColumn("v", rules.first_rule())
     claim, content = F.col("claim_category"), F.col("v.category")
     return rows.select("patch_id", "v.rule_id", content.alias("content_category"), "v.confidence", "claim_category", rules.consistency(claim, content).alias("consistency"), rules.review_flag(claim, content, F.col("touches_code"), F.col("flag_count") > 0).alias("review_flag"), "flag_count", "flag_details")
 
@@ -218,17 +217,20 @@ a AS (SELECT category, key, count(*) AS members, count(*) AS occurrences FROM m
 SELECT a.*, categories, total, categories = 1 AS pure FROM a JOIN b ON a.key = b.key""")
 def candidate_rules(spark, d):
     p, _, files = analysed(spark, d)
-    rows = diff.profile(files, p).join(claim_rows(spark, d).select("patch_id", F.col("claim_category").alias("category")), "patch_id")
+    rows = diff.profile(files, claimed(p), keep=("claim_category",)).withColumnRenamed("claim_category", "category")
     settled = rows.select(F.col("patch_id").alias("fingerprint"), "category", triage.structural_key(rows).alias("key"), F.lit(1).cast("long").alias("n_occurrences"))
     return triage.candidate_rules(settled, 3)
 
 
-def claim_rows(spark, d) -> DataFrame:
-    p = patches(spark, d).withColumn("h", headers.fields(F.col("body"))).withColumn("cves", headers.cves(F.col("body")))
-    body, name, h = F.col("body"), F.col("patch_name"), F.col("h")
-    return p.select(
-        "patch_id", "source_package", headers.description(h).alias("description"), headers.claim_date(h).alias("claim_date"), F.array_join("cves", ",").alias("cves"), headers.bug_references(h).alias("bugs"),
-        headers.forwarding(body, name, h).alias("forwarding"), headers.claimed_category(headers.description(h), name, F.col("cves")).alias("claim_category"),
+def claimed(p: DataFrame) -> DataFrame:
+    """Patches with what their headers claim. The header is cut, and its fields read, once: each stands behind a generator, through which nothing is inlined again."""
+    once = lambda df, name, value: df.select(*df.columns, F.explode(F.array(value)).alias(name))
+    rows = once(p, "_head", headers.header(F.col("body")))
+    rows = once(rows, "_h", F.struct(headers.fields(F.col("_head")).alias("fields"), headers.cves(F.col("_head")).alias("cves")))
+    head, name, h, cves = F.col("_head"), F.col("patch_name"), F.col("_h.fields"), F.col("_h.cves")
+    return rows.select(
+        *p.columns, headers.description(h).alias("description"), headers.claim_date(h).alias("claim_date"), F.array_join(cves, ",").alias("cves"), headers.bug_references(h).alias("bugs"),
+        headers.forwarding(head, name, h).alias("forwarding"), headers.claimed_category(headers.description(h), name, cves).alias("claim_category"),
     )
 
 
@@ -237,7 +239,7 @@ def claim_rows(spark, d) -> DataFrame:
  CASE WHEN body LIKE 'Description: fix%' THEN 500000 + patch.patch_id % 90 END AS bug, forwarding, claim_category FROM patch JOIN cl ON cl.patch_id = patch.patch_id""")
 def patch_claims(spark, d):
     first = F.try_element_at("bugs", F.lit(1))
-    return claim_rows(spark, d).select("patch_id", "description", "claim_date", "cves", t.bug_number(first["ref"]).alias("bug"), "forwarding", "claim_category")
+    return claimed(patches(spark, d)).select("patch_id", "description", "claim_date", "cves", t.bug_number(first["ref"]).alias("bug"), "forwarding", "claim_category")
 
 
 @query(DL + "SELECT patch_id, file_no, line_no, path, detail FROM fx")
@@ -248,7 +250,9 @@ def dangerous_constructs(spark, d):
 
 @query(DL + "SELECT 'instruction-phrase' AS family, 'diff' AS region, count(DISTINCT patch_id) AS n_patches FROM dl WHERE line LIKE '%Ignore all previous instructions%' HAVING count(*) > 0")
 def injection_sweep(spark, d):
-    rows = diff.with_lines(patches(spark, d)).select("patch_id", F.explode(F.array(F.struct(F.lit("diff").alias("region"), diff.diff_body(F.col("ls")).alias("text")), F.struct(F.lit("header").alias("region"), F.array_join(headers.header_lines(F.col("body")), "\n").alias("text")))).alias("x")).select("patch_id", "x.*")
+    region = lambda name, text: F.struct(F.lit(name).alias("region"), text.alias("text"))
+    both = F.array(region("diff", diff.diff_body(F.col("body"))), region("header", headers.header(F.col("body"))))
+    rows = patches(spark, d).select("patch_id", F.explode(both).alias("x")).select("patch_id", "x.*")
     return rules.injection_hits(rows).groupBy("family", "region").agg(F.count_distinct("patch_id").alias("n_patches"))
 
 

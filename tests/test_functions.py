@@ -1,5 +1,7 @@
 """Known answers for functions and operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ def test_file_type(spark, path, kind):
 
 def test_header_fields(spark):
     body = "Description: one\n two\nnoise\n three\nBug-Debian: #123\nBug: http://x\nLast-Update: 2020-01-02\n---\nForwarded: no\n"
-    h = headers.fields(F.col("x"))
+    h = headers.fields(headers.header(F.col("x")))
     assert col(spark, [body], h) == [{"description": "one two", "bug-debian": "#123", "bug": "http://x", "last-update": "2020-01-02"}]
     assert [tuple(r) for r in col(spark, [body], headers.bug_references(h))[0]] == [("debian", "#123"), ("upstream", "http://x")]
 
@@ -57,8 +59,8 @@ def test_header_fields(spark):
     [("Applied-Upstream: 1.2\nForwarded: no\n", "a", "forwarded"), ("Forwarded: not-needed\n", "a", "debian-only"), ("Forwarded: https://x\n", "a", "forwarded"), ("Origin: vendor, x\n", "a", "debian-only"), ("Origin: backport\n", "a", "forwarded"), ("Bug-X: 1\n", "a", "forwarded"), ("# DP: mine\n", "a", "debian-only"), ("x\n", "d/deb-a", "debian-only"), ("x\n", "a", "unknown")],
 )
 def test_forwarding(spark, body, name, want):
-    df = spark.createDataFrame([(body, name)], "body string, name string").withColumn("h", headers.fields(F.col("body")))
-    assert df.select(headers.forwarding(F.col("body"), F.col("name"), F.col("h"))).first()[0] == want
+    df = spark.createDataFrame([(body, name)], "body string, name string").withColumn("head", headers.header(F.col("body")))
+    assert df.select(headers.forwarding(F.col("head"), F.col("name"), headers.fields(F.col("head")))).first()[0] == want
 
 
 def patch(*files_, header=""):
@@ -84,13 +86,75 @@ def test_fingerprint_merges(spark):
     a = patch(("a.c", "-x\n+y  "), header="Subject: one\n\n")
     b = patch(("b.c", "-x\n+y")).replace("@@ -1,2 +1,2 @@ f", "@@ -9,2 +9,2 @@ g")
     c = patch(("b.c", "-x\n+z"))
-    rows = diff.with_lines(spark.createDataFrame([(0, a), (1, b), (2, c), (3, "no diff"), (4, None)], "i int, body string")).orderBy("i")
-    fp = [r[0] for r in rows.select(diff.fingerprint(F.col("ls"))).collect()]
+    rows = spark.createDataFrame([(0, a), (1, b), (2, c), (3, "no diff"), (4, None)], "i int, body string").orderBy("i")
+    fp = [r[0] for r in rows.select(diff.fingerprint(F.col("body"))).collect()]
     assert fp[0] == fp[1] != fp[2] and fp[3] == fp[4]
-    keep = [r[0] for r in rows.select(diff.fingerprint(F.col("ls"), strip_path=False)).collect()]
+    keep = [r[0] for r in rows.select(diff.fingerprint(F.col("body"), strip_path=False)).collect()]
     assert keep[0] != keep[1]
 
 
+def plainly(body, strip_path, drop_context):
+    """Line by line, what the patterns over whole texts do."""
+    lines = body.splitlines()
+    begins = lambda i: lines[i].startswith(("diff --git ", "@@ ")) or (lines[i].startswith("--- ") and i + 1 < len(lines) and lines[i + 1].startswith("+++ "))
+    start = next((i for i in range(len(lines)) if begins(i)), len(lines))
+    out = []
+    for raw in (x.rstrip() for x in lines[start:]):
+        if raw.startswith(tuple(t.DECORATION)):
+            continue
+        if raw.startswith(("--- ", "+++ ")):
+            rest = raw[4:]
+            path = (rest.split("\t")[0] if "\t" in rest else rest.split("  ")[0]).strip()
+            path = path[2:] if path.startswith(("a/", "b/")) else path
+            out.append(raw[:3] if strip_path or not path else f"{raw[:3]} {path}")
+        elif raw.startswith("@@"):
+            out.append("@@")
+        elif not (drop_context and raw.startswith(" ")):
+            out.append(raw)
+    return "\n".join(out) + "\n" if out else ""
+
+
+def test_normalisation_against_lines(spark):
+    r = random.Random(3)
+    parts = ["diff --git a/x b/x", "index 1..2", "--- ", "+++ ", "--- a/f.c", "+++ b/f.c\t2024", "--- a/b/  c", "--- \t", "+++  a/x y  z", "--- x\t y  z", "+++ a/", "@@ -1 +1 @@ f", "@@", " ctx  ", " ", "", "+a \u3000", "-b\t", "rename from x", "\\ No newline", "Text: x", "--- \u3000a/q"]
+    ends = ["\n", "\n", "\n", "\r\n", "\r", "\x0b", "\u2028", "\x85", ""]
+    bodies = ["".join(r.choice(parts) + r.choice(ends) for _ in range(r.randint(0, 9))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(bodies)), "i int, body string")
+    variants = list(diff.VARIANTS.values())
+    for i, *got in df.select("i", *[diff.normalised(F.col("body"), *v) for v in variants]).collect():
+        assert got == [plainly(bodies[i], *v) for v in variants], repr(bodies[i])
+
+
+def test_headers_against_lines(spark):
+    r = random.Random(4)
+    parts = ["Description: a", " more", "\tagain", "noise", "Bug: #1", "", "  ", "---", " --- ", "--- x", "Index: y", "CVE-2024-1234 cve-2023-00001", "# DP: z", "GIT binary patch"]
+    bodies = ["".join(r.choice(parts) + r.choice(["\n", "\r\n", "\u2029"]) for _ in range(r.randint(0, 8))) for _ in range(600)]
+    for i, (h, f) in enumerate((x["h"], x["f"]) for x in spark.createDataFrame(list(enumerate(bodies)), "i int, body string").orderBy("i").select(headers.header(F.col("body")).alias("h"), headers.fields(headers.header(F.col("body"))).alias("f")).collect()):
+        lines = bodies[i].splitlines()
+        stop = next((k for k, x in enumerate(lines) if x.strip() == "---" or x.startswith(tuple(t.DIFF_MARKERS))), len(lines))
+        assert h.splitlines() == lines[:stop]
+        want, key = {}, None
+        for x in lines[:stop]:
+            if not x.strip():
+                break
+            if x[0] in " \t" and key is not None:
+                want[key] = f"{want[key]} {x.strip()}".strip()
+            elif ":" in x:
+                key = x.split(":", 1)[0].strip().lower()
+                want[key] = x.split(":", 1)[1].strip()
+            else:
+                key = None
+        assert f == want, repr(bodies[i])
+
+
+def test_ids_of_a_batch(spark):
+    rows = spark.range(3000).select(F.lit("x").alias("a"), F.col("id").cast("string").alias("fingerprint"))
+    got = [r["id"] for r in ledger.with_ids(rows, 10, ["fingerprint"], buckets=64).collect()]
+    assert sorted(got) == list(range(11, 3011))
+    same = lambda df: sorted(map(tuple, ledger.with_ids(df, 10, ["a", "fingerprint"]).collect()))
+    assert same(rows) == same(rows.repartition(7)) and ledger.with_ids(rows.limit(0), 0, ["a"]).count() == 0
+
+
 def test_constructs(spark):
     body = patch(("a.sh", "+x=`rm -rf y`\n+os.system('x'); system('y')"), ("a.js", "+let s=`a b`"), ("a.1", "+system('x')"))
     lines = diff.line_table(spark.createDataFrame([("k", body)], "patch_id string, body string"))
