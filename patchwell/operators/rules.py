@@ -26,14 +26,14 @@ def _types_within(names: list[str]) -> Column:
 
 #: Category rules over the columns of a profile; the first that holds wins.
 CATEGORY_RULES = [
-    Rule("empty", 1, lambda: F.col("is_empty"), "packaging", "high", "change normalises to empty (mode-only / pure-decoration)"),
-    Rule("ignore-file-only", 1, lambda: F.col("ignore_file_only"), "packaging", "high", "touches only ignore files with ignore-pattern lines"),
-    Rule("whitespace-only", 1, lambda: F.col("whitespace_only"), "packaging", "high", "change differs only in whitespace (no semantic change)"),
-    Rule("comment-only", 1, lambda: F.col("comment_only"), "documentation", "high", "every changed line is blank or a comment (prose in code)"),
-    Rule("doc-only", 1, lambda: _types_within(["doc"]), "documentation", "high", "all touched files are documentation"),
-    Rule("build-only", 1, lambda: _types_within(["build", "data"]) & F.map_contains_key("file_types", "build"), "packaging", "high", "all touched files are build-system / packaging (build, data)"),
-    Rule("test-only", 1, lambda: _types_within(["test"]), "test", "high", "all touched files are tests (non-shipping)"),
-    Rule("substantive", 1, lambda: F.lit(True), "unknown", "low", "substantive: not settled by deterministic content rules"),
+    Rule("empty", 1, lambda: F.col("is_empty"), "packaging", "high", "nothing is left of the change once it is normalised"),
+    Rule("ignore-file-only", 1, lambda: F.col("ignore_file_only"), "packaging", "high", "every file is an ignore file and every line a pattern"),
+    Rule("whitespace-only", 1, lambda: F.col("whitespace_only"), "packaging", "high", "added and removed lines are the same but for white space"),
+    Rule("comment-only", 1, lambda: F.col("comment_only"), "documentation", "high", "every changed line is a comment or blank"),
+    Rule("doc-only", 1, lambda: _types_within(["doc"]), "documentation", "high", "every file is documentation"),
+    Rule("build-only", 1, lambda: _types_within(["build", "data"]) & F.map_contains_key("file_types", "build"), "packaging", "high", "every file is part of the build, or data beside it"),
+    Rule("test-only", 1, lambda: _types_within(["test"]), "test", "high", "every file is a test"),
+    Rule("substantive", 1, lambda: F.lit(True), "unknown", "low", "no content rule settles it"),
 ]
 
 
@@ -118,7 +118,7 @@ def provably_benign() -> Column:
     """Over the columns of a profile: reason why it needs no security rating, or null."""
     quiet = ~F.col("touches_code")
     return (
-        F.when(F.col("is_empty"), "empty / mode-only change (no executable content)").when(F.col("whitespace_only"), "whitespace-only change")
-        .when(F.col("comment_only"), "comment-only change").when(quiet & F.coalesce(_types_within(["doc"]), F.lit(True)), "documentation-only change")
-        .when(quiet & F.coalesce(F.size("files") > 0, F.lit(False)) & F.forall("files", lambda f: benign_data(f["path"])), "translation/changelog/copyright-only change")
+        F.when(F.col("is_empty"), "no content changes").when(F.col("whitespace_only"), "white space only")
+        .when(F.col("comment_only"), "comments only").when(quiet & F.coalesce(_types_within(["doc"]), F.lit(True)), "documentation only")
+        .when(quiet & F.coalesce(F.size("files") > 0, F.lit(False)) & F.forall("files", lambda f: benign_data(f["path"])), "translations, changelog or copyright only")
     )

@@ -160,6 +160,14 @@ def reach_levels(spark, d):
     return axes.reach(carriers.select("fingerprint", "source"), binaries.groupBy("source").agg(F.collect_list("binary").alias("binaries")), installs)
 
 
+@query(REACH.replace("SELECT m.fingerprint, CASE", ", z AS (SELECT m.fingerprint, CASE", 1) + ") SELECT fingerprint, level AS bucket, \"binary\", inst, round_even(inst / anchor, 4) AS fraction, '2024-06-01' AS snapshot_date FROM z WHERE level <> 'unknown'")
+def reach_evidence(spark, d):
+    """What the evidence of each known reach says."""
+    rows = reach_levels(spark, d).filter("level <> 'unknown'").select("fingerprint", axes.reach_evidence("2024-06-01").alias("evidence"))
+    e = F.from_json("evidence", "bucket string, binary string, inst bigint, fraction double, snapshot_date string")
+    return rows.select("fingerprint", e.alias("e")).select("fingerprint", "e.*")
+
+
 CLAIMED = f"""WITH {derive.ctes("cve_claim", "tracker")}, c AS (SELECT fingerprint, source, unnest(CASE WHEN m = 0 THEN []::VARCHAR[] WHEN m = 1 THEN [c1] ELSE [c1, c2] END) AS cve, unnest(CASE WHEN m = 0 THEN []::INT[] WHEN m = 1 THEN [0] ELSE [0, 1] END) AS pos FROM cve_claim),
 j AS (SELECT c.*, EXISTS (SELECT 1 FROM tracker t WHERE t.cve = c.cve AND t.source = c.source) AS own, EXISTS (SELECT 1 FROM tracker t WHERE t.cve = c.cve) AS known FROM c),
 g AS (SELECT fingerprint, arg_min(cve, pos) FILTER (WHERE own) AS hit, arg_min(cve, pos) FILTER (WHERE known) AS els, arg_min(cve, pos) AS first FROM j GROUP BY 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import headers, text as t
-from ..operators import axes, diff, fingerprints, marks, rules, triage
+from ..operators import axes, diff, fingerprints, marks, publish, rules, triage
 from . import derive
 
 QUERIES: dict = {}
@@ -32,34 +32,54 @@ def analysed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
     return p, lines, diff.file_table(lines)
 
 
+def _values(rows: list[tuple]) -> str:
+    """Rows as SQL VALUES."""
+    text = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return "VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+
+
+PATTERNS = _values([(d, p, False) for d, p in rules.CONSTRUCTS] + [(d, p, True) for d, p in rules.SHELL_CONSTRUCTS])
+INJECTIONS = _values([(f, p.replace("(?iu)", "(?i)")) for f, p in rules.INJECTIONS])
+BANNERS = _values([(i, g, f, p, marks.VERSION in p) for i, (g, f, p) in enumerate(marks.BANNERS)])
+
+# The patterns are the library's fixed values, matched by another engine; paths, types and what counts as a comment are spelled out for the sections that there are.
 DL = f"""WITH {derive.ctes("patch")},
 l0 AS (SELECT patch_id, unnest(string_split(body, chr(10))) AS line, unnest(range(len(string_split(body, chr(10))))) AS line_no FROM patch),
 l1 AS (SELECT *, lead(line) OVER (PARTITION BY patch_id ORDER BY line_no) AS nx FROM l0),
 st AS (SELECT patch_id, min(line_no) AS s FROM l1 WHERE starts_with(line, 'diff --git ') OR starts_with(line, '@@ ') OR (starts_with(line, '--- ') AND starts_with(nx, '+++ ')) GROUP BY 1),
-dl AS (SELECT l1.patch_id, line_no, line, CASE WHEN starts_with(line, 'diff --git ') OR starts_with(line, 'index ') THEN 'meta' WHEN starts_with(line, '--- ') THEN 'from' WHEN starts_with(line, '+++ ') THEN 'to'
+dl AS (SELECT l1.patch_id, line_no, line, CASE WHEN starts_with(line, 'diff --git ') OR starts_with(line, 'index ') OR starts_with(line, 'old mode') OR starts_with(line, 'new mode') THEN 'meta' WHEN starts_with(line, '--- ') THEN 'from' WHEN starts_with(line, '+++ ') THEN 'to'
   WHEN starts_with(line, '@@') THEN 'hunk' WHEN starts_with(line, '+') THEN 'add' WHEN starts_with(line, '-') THEN 'del' ELSE 'ctx' END AS kind,
   count(*) FILTER (WHERE starts_with(line, '+++ ')) OVER (PARTITION BY l1.patch_id ORDER BY line_no) AS file_no FROM l1 JOIN st ON st.patch_id = l1.patch_id WHERE line_no >= s),
 fl AS (SELECT patch_id, file_no, max(CASE WHEN kind = 'to' THEN regexp_replace(split_part(substr(line, 5), chr(9), 1), '^[ab]/', '') END) AS path, count(*) FILTER (WHERE kind = 'hunk') AS hunks,
   count(*) FILTER (WHERE kind = 'add') AS added, count(*) FILTER (WHERE kind = 'del') AS removed, bool_and(kind NOT IN ('add', 'del') OR line LIKE '+//%') AS slashes FROM dl WHERE file_no > 0 GROUP BY 1, 2),
-ft AS (SELECT *, CASE WHEN path LIKE 'tests/%' THEN 'test' WHEN path IN ('debian/rules', 'configure', 'sub/Makefile.in') THEN 'build' WHEN path LIKE 'doc/%' THEN 'doc'
-  WHEN path LIKE 'po/%' OR path = '.gitignore' THEN 'data' ELSE 'code' END AS type FROM fl),
-pr AS (SELECT patch_id, sum(added)::BIGINT AS added_lines, sum(removed)::BIGINT AS removed_lines, sum(hunks)::BIGINT AS hunks, bool_or(type = 'code') AS touches_code, bool_and(path LIKE 'src/w%') AS whitespace_only,
-  bool_and(path LIKE 'lib/n%' OR (path = 'lib/j.js' AND slashes)) AS comment_only, bool_and(path = '.gitignore') AS ignore_file_only, string_agg(DISTINCT type, ',' ORDER BY type) AS types, count(*) AS n_files FROM ft GROUP BY 1),
-ct AS (SELECT *, CASE WHEN ignore_file_only THEN 'ignore-file-only' WHEN whitespace_only THEN 'whitespace-only' WHEN comment_only THEN 'comment-only' WHEN types = 'doc' THEN 'doc-only' WHEN types IN ('build', 'build,data') THEN 'build-only'
+ft AS (SELECT *, CASE WHEN path LIKE 'tests/%' THEN 'test' WHEN path IN ('debian/rules', 'configure') OR path LIKE '%/Makefile.in' THEN 'build' WHEN path LIKE 'doc/%' OR path LIKE 'docs/%' THEN 'doc'
+  WHEN path LIKE 'po/%' OR path LIKE '%.txt' OR path IN ('.gitignore', 'old/configure.orig', 'config.guess') THEN 'data' ELSE 'code' END AS type FROM fl),
+nl AS (SELECT patch_id, line_no, CASE WHEN kind = 'from' THEN '---' WHEN kind = 'to' THEN '+++' WHEN kind = 'hunk' THEN '@@' ELSE line END AS o, kind, regexp_replace(split_part(substr(line, 5), chr(9), 1), '^[ab]/', '') AS path FROM dl WHERE kind <> 'meta'),
+pr AS (SELECT p.patch_id, coalesce(sum(added), 0)::BIGINT AS added_lines, coalesce(sum(removed), 0)::BIGINT AS removed_lines, coalesce(sum(hunks), 0)::BIGINT AS hunks, coalesce(bool_or(type = 'code'), false) AS touches_code, p.patch_id NOT IN (SELECT patch_id FROM nl) AS is_empty, coalesce(bool_and(path LIKE 'src/w%'), false) AS whitespace_only,
+  coalesce(bool_and(path LIKE 'lib/n%' OR (path = 'lib/j.js' AND slashes)), false) AS comment_only, coalesce(bool_and(path = '.gitignore'), false) AS ignore_file_only, coalesce(bool_and(path LIKE 'po/%' OR path = 'docs/copyright'), false) AS benign, string_agg(DISTINCT type, ',' ORDER BY type) AS types, nullif(count(path), 0) AS n_files
+  FROM (SELECT patch_id FROM patch) p LEFT JOIN ft ON ft.patch_id = p.patch_id GROUP BY 1),
+ct AS (SELECT *, CASE WHEN is_empty THEN 'empty' WHEN ignore_file_only THEN 'ignore-file-only' WHEN whitespace_only THEN 'whitespace-only' WHEN comment_only THEN 'comment-only' WHEN types = 'doc' THEN 'doc-only' WHEN types IN ('build', 'build,data') THEN 'build-only'
   WHEN types = 'test' THEN 'test-only' ELSE 'substantive' END AS rule_id FROM pr),
-cc AS (SELECT *, CASE WHEN rule_id IN ('ignore-file-only', 'whitespace-only', 'build-only') THEN 'packaging' WHEN rule_id IN ('comment-only', 'doc-only') THEN 'documentation' WHEN rule_id = 'test-only' THEN 'test' ELSE 'unknown' END AS content_category FROM ct),
+cc AS (SELECT *, CASE WHEN rule_id IN ('empty', 'ignore-file-only', 'whitespace-only', 'build-only') THEN 'packaging' WHEN rule_id IN ('comment-only', 'doc-only') THEN 'documentation' WHEN rule_id = 'test-only' THEN 'test' ELSE 'unknown' END AS content_category FROM ct),
 cl AS (SELECT patch_id, source_package, patch_name, version, CASE WHEN body LIKE 'Description: over%' THEN 'security' WHEN patch_name LIKE 'debian-%' THEN 'packaging' WHEN patch_name LIKE 'docs/%' OR body LIKE 'Description: fix typo%' THEN 'documentation'
   WHEN body LIKE 'Subject: add support%' THEN 'feature' ELSE 'unknown' END AS claim_category,
   CASE WHEN body LIKE 'Description: over%' THEN 'debian-only' WHEN body LIKE 'Description: fix typo%' OR body LIKE 'Subject:%' THEN 'forwarded' WHEN body LIKE '# DP:%' OR patch_name LIKE 'debian-%' THEN 'debian-only' ELSE 'unknown' END AS forwarding FROM patch),
-fx AS (SELECT dl.patch_id, dl.file_no, line_no, path, CASE WHEN line LIKE '+curl%' THEN 'fetch-piped-to-shell' ELSE 'shell-out' END AS detail FROM dl JOIN ft ON ft.patch_id = dl.patch_id AND ft.file_no = dl.file_no
-  WHERE type = 'code' AND kind = 'add' AND (line LIKE '+curl%| sh' OR line LIKE '%system(%')),
-mk AS (SELECT ft.*, CASE WHEN path = 'configure' THEN 'autotools' WHEN path LIKE 'po/%' THEN 'translations' END AS family FROM ft),
-cv AS (SELECT patch_id, sum(CASE WHEN family IS NOT NULL THEN added + removed ELSE 0 END)::BIGINT AS generated, sum(CASE WHEN family IS NULL THEN added + removed ELSE 0 END)::BIGINT AS residue,
-  sum(added + removed)::BIGINT AS total, count(family) AS n_marked, coalesce(sum(added + removed) FILTER (WHERE family = 'autotools'), 0) AS a, coalesce(sum(added + removed) FILTER (WHERE family = 'translations'), 0) AS p FROM mk GROUP BY 1),
-nl AS (SELECT patch_id, line_no, CASE WHEN kind = 'from' THEN '---' WHEN kind = 'to' THEN '+++' WHEN kind = 'hunk' THEN '@@' ELSE line END AS o, kind, regexp_replace(split_part(substr(line, 5), chr(9), 1), '^[ab]/', '') AS path FROM dl WHERE kind <> 'meta'),
-fp AS (SELECT patch_id, sha256(string_agg(o, chr(10) ORDER BY line_no) || chr(10)) AS fingerprint, sha256(string_agg(CASE WHEN kind IN ('from', 'to') THEN o || ' ' || path ELSE o END, chr(10) ORDER BY line_no) || chr(10)) AS fingerprint_keep_path,
-  sha256(string_agg(CASE WHEN kind = 'ctx' THEN NULL ELSE o END, chr(10) ORDER BY line_no) || chr(10)) AS fingerprint_drop_context,
-  sha256(string_agg(CASE WHEN kind = 'ctx' THEN NULL WHEN kind IN ('from', 'to') THEN o || ' ' || path ELSE o END, chr(10) ORDER BY line_no) || chr(10)) AS fingerprint_keep_path_drop_context FROM nl GROUP BY 1),
+pat(detail, p, shell) AS ({PATTERNS}), inj(family, p) AS ({INJECTIONS}), bn(position, generator, family, p, versioned) AS ({BANNERS}),
+fx AS (SELECT DISTINCT dl.patch_id, dl.file_no, line_no, path, detail FROM dl JOIN ft ON ft.patch_id = dl.patch_id AND ft.file_no = dl.file_no JOIN pat ON regexp_matches(substr(line, 2), pat.p) AND (NOT shell OR path LIKE '%.sh') WHERE type = 'code' AND kind = 'add'),
+bh AS (SELECT patch_id, file_no, arg_min(row(generator, family, CASE WHEN versioned THEN nullif(regexp_extract(line, bn.p, 1), '') END), row(CASE kind WHEN 'add' THEN 0 WHEN 'del' THEN 2 ELSE 1 END, line_no, position)) AS b FROM dl JOIN bn ON regexp_matches(line, bn.p) WHERE file_no > 0 GROUP BY 1, 2),
+lk AS (SELECT patch_id, file_no, bool_or(line LIKE '%"Project-Id-Version:%') AS po_header, bool_or(regexp_matches(line, '^[+ -]?msgid "')) AND bool_or(regexp_matches(line, '^[+ -]?msgstr "')) AS po_pair, bool_or(line LIKE '%<!DOCTYPE TS>%' OR regexp_matches(line, '^[+ -]?\\s*<TS[ >]')) AS doctype,
+  bool_or(line LIKE '%<message>%')::INT + bool_or(line LIKE '%<source>%')::INT + bool_or(line LIKE '%<translation>%')::INT AS elements, bool_or(regexp_matches(line, 'DO NOT EDIT|[Dd]o not edit this file|[Aa]utomatically generated')) AS candidate, min(regexp_extract(line, 'timestamp=.([0-9-]+)', 1)) FILTER (WHERE line LIKE '+timestamp=%') AS stamp FROM dl WHERE file_no > 0 GROUP BY 1, 2),
+m0 AS (SELECT ft.*, bh.b, bh.patch_id IS NOT NULL AS banner, regexp_extract(path, '[^/]*$') AS base, list_filter([CASE WHEN path LIKE 'po/%' AND po_header THEN 'po-header' END, CASE WHEN path LIKE 'po/%' AND po_pair THEN 'po-msgid-msgstr' END, CASE WHEN path LIKE '%.ts' AND doctype THEN 'ts-doctype' END, CASE WHEN path LIKE '%.ts' AND elements >= 2 THEN 'ts-elements' END], lambda x: x IS NOT NULL) AS looks, candidate, stamp
+  FROM ft JOIN lk ON lk.patch_id = ft.patch_id AND lk.file_no = ft.file_no LEFT JOIN bh ON bh.patch_id = ft.patch_id AND bh.file_no = ft.file_no),
+m1 AS (SELECT *, base IN ('configure', 'configure.orig', 'config.guess') OR (base = 'Makefile.in' AND banner) AS named FROM m0),
+mk AS (SELECT *, CASE WHEN named THEN 'autotools' WHEN len(looks) > 0 THEN 'translations' ELSE struct_extract(b, 2) END AS family, array_to_string(list_sort(list_filter([CASE WHEN banner THEN 'banner' END, CASE WHEN named THEN 'name' END], lambda x: x IS NOT NULL) || looks), ',') AS signals,
+  coalesce(struct_extract(b, 1), CASE WHEN len(looks) > 0 THEN CASE WHEN path LIKE '%.ts' THEN 'qt-linguist' ELSE 'gettext' END END) AS generator, coalesce(struct_extract(b, 3), CASE WHEN base = 'config.guess' AND NOT banner THEN stamp END) AS version FROM m1),
+fm AS (SELECT patch_id, arg_min(family, row(-n, family)) AS dominant FROM (SELECT patch_id, family, sum(added + removed) AS n FROM mk WHERE family IS NOT NULL GROUP BY 1, 2) x GROUP BY 1),
+cv AS (SELECT mk.patch_id, sum(CASE WHEN family IS NOT NULL THEN added + removed ELSE 0 END)::BIGINT AS generated, sum(CASE WHEN family IS NULL THEN added + removed ELSE 0 END)::BIGINT AS residue,
+  sum(added + removed)::BIGINT AS total, count(family) AS n_marked, any_value(dominant) AS dominant FROM mk LEFT JOIN fm ON fm.patch_id = mk.patch_id GROUP BY 1),
+fp AS (SELECT p.patch_id, sha256(coalesce(string_agg(o, chr(10) ORDER BY line_no) || chr(10), '')) AS fingerprint, sha256(coalesce(string_agg(CASE WHEN kind IN ('from', 'to') THEN o || ' ' || path ELSE o END, chr(10) ORDER BY line_no) || chr(10), '')) AS fingerprint_keep_path,
+  sha256(coalesce(string_agg(CASE WHEN kind = 'ctx' THEN NULL ELSE o END, chr(10) ORDER BY line_no) || chr(10), '')) AS fingerprint_drop_context,
+  sha256(coalesce(string_agg(CASE WHEN kind = 'ctx' THEN NULL WHEN kind IN ('from', 'to') THEN o || ' ' || path ELSE o END, chr(10) ORDER BY line_no) || chr(10), '')) AS fingerprint_keep_path_drop_context FROM (SELECT patch_id FROM patch) p LEFT JOIN nl ON nl.patch_id = p.patch_id GROUP BY 1),
 ix AS (SELECT patch.*, fp.* EXCLUDE (patch_id), sha256(body) AS raw_sha256 FROM patch JOIN fp ON fp.patch_id = patch.patch_id),
 gr AS (SELECT fingerprint, count(*) AS n_occurrences, count(DISTINCT source_package) AS n_packages, min(raw_sha256) AS min_sha FROM ix GROUP BY 1)
 """  # noqa: S608
@@ -116,9 +136,7 @@ def package_family(spark, d):
 
 @query(DL + ", c AS (SELECT fingerprint, list_sort(list(DISTINCT source_package)) AS n FROM ix GROUP BY 1) SELECT fingerprint, array_to_string(n[1:8], ', ') || CASE WHEN len(n) > 8 THEN ' (+' || (len(n) - 8) || ' more)' ELSE '' END AS packages FROM c")
 def carrying_packages(spark, d):
-    from ..operators.publish import package_lines
-
-    return package_lines(indexed(spark, d))
+    return publish.package_lines(indexed(spark, d))
 
 
 @query(DL + """, r AS (SELECT *, kind IN ('add', 'del') AND coalesce(lag(kind) OVER (PARTITION BY patch_id ORDER BY line_no), '') NOT IN ('add', 'del') AS run_start FROM dl)
@@ -154,7 +172,7 @@ def display_chunks(spark, d):
     return diff.display_chunks(files, marks.file_marks(lines, files).filter("family IS NOT NULL"))
 
 
-@query(DL + "SELECT patch_id, types, n_files, added_lines, removed_lines, hunks, touches_code, false AS is_empty, whitespace_only, comment_only, ignore_file_only FROM pr")
+@query(DL + "SELECT patch_id, types, n_files, added_lines, removed_lines, hunks, touches_code, is_empty, whitespace_only, comment_only, ignore_file_only FROM pr")
 def content_profiles(spark, d):
     p, _, files = analysed(spark, d)
     rows = diff.profile(files, p)
@@ -198,7 +216,7 @@ def samples_per_category(spark, d):
     return rows.withColumn("place", place).filter("place <= 5")
 
 
-@query(DL + "SELECT patch_id, CASE WHEN ignore_file_only AND false THEN '' WHEN whitespace_only THEN 'whitespace-only change' WHEN comment_only THEN 'comment-only change' WHEN types = 'doc' THEN 'documentation-only change' WHEN p THEN 'translation/changelog/copyright-only change' END AS reason FROM (SELECT pr.*, (SELECT bool_and(path LIKE 'po/%') FROM ft WHERE ft.patch_id = pr.patch_id) AS p FROM pr) x")
+@query(DL + "SELECT patch_id, CASE WHEN is_empty THEN 'no content changes' WHEN whitespace_only THEN 'white space only' WHEN comment_only THEN 'comments only' WHEN types = 'doc' THEN 'documentation only' WHEN benign THEN 'translations, changelog or copyright only' END AS reason FROM pr")
 def provably_benign(spark, d):
     p, _, files = analysed(spark, d)
     return diff.profile(files, p).select("patch_id", rules.provably_benign().alias("reason"))
@@ -211,7 +229,7 @@ def size_levels(spark, d):
     return diff.profile(files, p).select("patch_id", axes.size_level(changed).alias("level"), axes.size_evidence(changed).alias("evidence"))
 
 
-@query(DL + """, m AS (SELECT types || '|' || CASE WHEN added_lines = 0 THEN '0' WHEN added_lines <= 5 THEN '1-5' WHEN added_lines <= 50 THEN '6-50' ELSE '51+' END || '|' || CASE WHEN removed_lines = 0 THEN '0' WHEN removed_lines <= 5 THEN '1-5' WHEN removed_lines <= 50 THEN '6-50' ELSE '51+' END || '|' ||
+@query(DL + """, m AS (SELECT coalesce(types || '|', '') || CASE WHEN added_lines = 0 THEN '0' WHEN added_lines <= 5 THEN '1-5' WHEN added_lines <= 50 THEN '6-50' ELSE '51+' END || '|' || CASE WHEN removed_lines = 0 THEN '0' WHEN removed_lines <= 5 THEN '1-5' WHEN removed_lines <= 50 THEN '6-50' ELSE '51+' END || '|' ||
  CASE WHEN hunks = 0 THEN '0' WHEN hunks <= 5 THEN '1-5' WHEN hunks <= 50 THEN '6-50' ELSE '51+' END AS key, claim_category AS category FROM pr JOIN cl ON cl.patch_id = pr.patch_id),
 a AS (SELECT category, key, count(*) AS members, count(*) AS occurrences FROM m GROUP BY 1, 2 HAVING count(*) >= 3), b AS (SELECT key, count(DISTINCT category) AS categories, count(*) AS total FROM m GROUP BY 1)
 SELECT a.*, categories, total, categories = 1 AS pure FROM a JOIN b ON a.key = b.key""")
@@ -248,7 +266,8 @@ def dangerous_constructs(spark, d):
     return rules.construct_flags(diff.code_added_lines(lines, files)).select("patch_id", "file_no", "line_no", "path", "detail")
 
 
-@query(DL + "SELECT 'instruction-phrase' AS family, 'diff' AS region, count(DISTINCT patch_id) AS n_patches FROM dl WHERE line LIKE '%Ignore all previous instructions%' HAVING count(*) > 0")
+@query(DL + """, rt AS (SELECT dl.patch_id, 'diff' AS region, string_agg(line, chr(10) ORDER BY line_no) AS x FROM dl GROUP BY 1 UNION ALL SELECT l1.patch_id, 'header', string_agg(line, chr(10) ORDER BY line_no) FROM l1 JOIN st ON st.patch_id = l1.patch_id WHERE line_no < s GROUP BY 1)
+SELECT family, region, count(DISTINCT patch_id) AS n_patches FROM rt JOIN inj ON regexp_matches(x, inj.p) GROUP BY 1, 2""")
 def injection_sweep(spark, d):
     region = lambda name, text: F.struct(F.lit(name).alias("region"), text.alias("text"))
     both = F.array(region("diff", diff.diff_body(F.col("body"))), region("header", headers.header(F.col("body"))))
@@ -256,25 +275,22 @@ def injection_sweep(spark, d):
     return rules.injection_hits(rows).groupBy("family", "region").agg(F.count_distinct("patch_id").alias("n_patches"))
 
 
-@query("""WITH x AS (SELECT 'page' AS kind, html AS text FROM pages UNION ALL SELECT 'turn', text FROM conversations UNION ALL SELECT 'item', text FROM benchmark UNION ALL SELECT 'document', text FROM documents)
-SELECT kind, count(*) AS n_texts, count(*) FILTER (WHERE regexp_matches(text, '(?i)\\b(print|reveal|repeat|output)\\s+(your|the)\\s+(system\\s+)?(prompt|instructions)\\b|\\bsystem\\s+prompt\\b')) AS n_hits FROM x GROUP BY 1""")
+@query(f"""WITH x AS (SELECT 'page' AS kind, html AS text FROM pages UNION ALL SELECT 'turn', text FROM conversations UNION ALL SELECT 'item', text FROM benchmark UNION ALL SELECT 'document', text FROM documents)
+SELECT kind, count(*) AS n_texts, count(*) FILTER (WHERE {" OR ".join("regexp_matches(text, '" + p.replace("(?iu)", "(?i)").replace("'", "''") + "')" for _, p in rules.INJECTIONS)}) AS n_hits FROM x GROUP BY 1""")  # noqa: S608
 def injection_texts(spark, d):
-    """The injection scan over every text of the given tables."""
+    """The injection scan, all its patterns, over every text of the given tables."""
     read = lambda name, kind, c: spark.read.parquet(f"{d}/{name}.parquet").select(F.lit(kind).alias("kind"), F.col(c).alias("text"))
     x = read("pages", "page", "html").unionByName(read("conversations", "turn", "text")).unionByName(read("benchmark", "item", "text")).unionByName(read("documents", "document", "text"))
-    wanted = [rules.INJECTIONS[1], rules.INJECTIONS[5]]
-    hit = F.col("text").rlike(wanted[0][1]) | F.col("text").rlike(wanted[1][1])
-    return x.groupBy("kind").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(hit).alias("n_hits"))
+    return x.groupBy("kind").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(t.any_of([F.col("text").rlike(p) for _, p in rules.INJECTIONS])).alias("n_hits"))
 
 
-@query(DL + """SELECT mk.patch_id, mk.file_no, path, family, CASE WHEN path = 'configure' THEN 'banner,name' WHEN path LIKE 'po/%' THEN 'po-msgid-msgstr' ELSE '' END AS signals, CASE WHEN path = 'configure' THEN 'autoconf' WHEN path LIKE 'po/%' THEN 'gettext' END AS generator,
- CASE WHEN path = 'configure' THEN (SELECT regexp_extract(line, 'Autoconf ([0-9.]+)', 1) FROM dl WHERE dl.patch_id = mk.patch_id AND dl.file_no = mk.file_no AND line LIKE '%Autoconf%') END AS version FROM mk""")
+@query(DL + "SELECT patch_id, file_no, path, family, signals, generator, version FROM mk")
 def generated_files(spark, d):
     _, lines, files = analysed(spark, d)
     return marks.file_marks(lines, files).select("patch_id", "file_no", "path", "family", F.array_join("signals", ",").alias("signals"), "generator", "version")
 
 
-@query(DL + "SELECT patch_id, generated, residue, total, generated / total AS coverage, CASE WHEN n_marked > 0 THEN (CASE WHEN a >= p AND a > 0 THEN 'autotools' ELSE 'translations' END) || '/' || round_even(100 * generated / total, 0)::INT END AS detail FROM cv")
+@query(DL + "SELECT patch_id, generated, residue, total, generated / total AS coverage, CASE WHEN n_marked > 0 THEN dominant || '/' || round_even(100 * generated / total, 0)::INT END AS detail FROM cv")
 def generated_coverage(spark, d):
     _, lines, files = analysed(spark, d)
     return marks.coverage(marks.file_marks(lines, files)).select("patch_id", "generated", "residue", "total", "coverage", "detail")
@@ -286,22 +302,52 @@ def coverage_buckets(spark, d):
     return marks.coverage_buckets(marks.coverage(marks.file_marks(lines, files)))
 
 
-@query(DL + "SELECT patch_id, count(*) AS hits, 0::BIGINT AS in_marked, count(*) AS in_residue FROM fx GROUP BY 1")
+@query(DL + "SELECT fx.patch_id, count(*) AS hits, count(family) AS in_marked, count(*) - count(family) AS in_residue FROM fx JOIN mk ON mk.patch_id = fx.patch_id AND mk.file_no = fx.file_no GROUP BY 1")
 def construct_tally(spark, d):
     _, lines, files = analysed(spark, d)
     flags = rules.construct_flags(diff.code_added_lines(lines, files))
     return marks.construct_tally(flags, marks.file_marks(lines, files)).drop("residue_hits")
 
 
-@query(DL + "SELECT regexp_extract(path, '[^/]*$') AS name, count(*) AS n_files, count(family) AS n_marked, count(*) FILTER (WHERE path = 'configure') AS n_banner, 0::BIGINT AS n_gap FROM mk GROUP BY 1")
+@query(DL + "SELECT base AS name, count(*) AS n_files, count(family) AS n_marked, count(*) FILTER (WHERE banner) AS n_banner, count(*) FILTER (WHERE family IS NULL AND candidate) AS n_gap FROM mk GROUP BY 1")
 def mark_report(spark, d):
     _, lines, files = analysed(spark, d)
     return marks.report(marks.file_marks(lines, files))
 
 
-@query(DL + """, o AS (SELECT dl.patch_id, line_no, line, file_no + CASE WHEN kind IN ('meta', 'from') THEN 1 ELSE 0 END AS owner FROM dl), s AS (SELECT patch_id, owner, string_agg(line, chr(10) ORDER BY line_no) AS x FROM o GROUP BY 1, 2),
+@query(DL + """, lt AS (SELECT patch_id, max(line_no) AS last FROM dl WHERE kind = 'to' GROUP BY 1), o AS (SELECT dl.patch_id, line_no, line, file_no + CASE WHEN kind IN ('meta', 'from') AND line_no < last THEN 1 ELSE 0 END AS owner FROM dl JOIN lt ON lt.patch_id = dl.patch_id), s AS (SELECT patch_id, owner, string_agg(line, chr(10) ORDER BY line_no) AS x FROM o GROUP BY 1, 2),
 n AS (SELECT s.patch_id, owner, CASE WHEN family IS NOT NULL THEN '[generated file ' || path || ' omitted: ' || added || ' added, ' || removed || ' removed]' ELSE x END AS x, family IS NOT NULL AS m FROM s JOIN mk ON mk.patch_id = s.patch_id AND mk.file_no = owner),
 j AS (SELECT patch_id, string_agg(x, chr(10) ORDER BY owner) AS x FROM n GROUP BY 1 HAVING bool_or(m)) SELECT patch.patch_id, sha256(coalesce(j.x, body)) AS projected FROM patch LEFT JOIN j ON j.patch_id = patch.patch_id""")
 def residue_projection(spark, d):
     p, lines, files = analysed(spark, d)
     return marks.projection(lines, marks.file_marks(lines, files), p).select("patch_id", F.sha2("projected", 256).alias("projected"))
+
+
+@query(DL + """, e AS (SELECT patch_id, min(file_no) AS f, count(*) AS n FROM mk WHERE family IS NOT NULL GROUP BY 1)
+SELECT cv.patch_id, dominant || '/' || round_even(100 * generated / total, 0)::INT AS detail, generated AS generated_lines, residue AS residue_lines, generated / total AS coverage, e.n AS n_files, mk.path AS first_path, mk.signals AS first_signals, mk.version AS first_version
+FROM e JOIN cv ON cv.patch_id = e.patch_id JOIN mk ON mk.patch_id = e.patch_id AND mk.file_no = e.f""")
+def mark_evidence(spark, d):
+    """What the evidence of each generated-content mark says."""
+    _, lines, files = analysed(spark, d)
+    found = marks.file_marks(lines, files)
+    rows = marks.evidence(found, marks.coverage(found))
+    e = F.from_json("evidence", "coverage double, files array<struct<path:string,signals:array<string>,version:string>>, generated_lines bigint, residue_lines bigint")
+    rows = rows.select("patch_id", "detail", e.alias("e"))
+    first = F.col("e.files")[0]
+    return rows.select("patch_id", "detail", "e.generated_lines", "e.residue_lines", "e.coverage", F.size("e.files").cast("long").alias("n_files"), first["path"].alias("first_path"), F.array_join(first["signals"], ",").alias("first_signals"), first["version"].alias("first_version"))
+
+
+@query(CLASSIFIED + """SELECT classified.patch_id, source_package, rule_id AS rule_ids, content_category, consistency, review_flag, flag_details, ct.n_files, added_lines, removed_lines,
+ CASE rule_id WHEN 'empty' THEN 'nothing is left of the change once it is normalised' WHEN 'ignore-file-only' THEN 'every file is an ignore file and every line a pattern' WHEN 'whitespace-only' THEN 'added and removed lines are the same but for white space' WHEN 'comment-only' THEN 'every changed line is a comment or blank' WHEN 'doc-only' THEN 'every file is documentation'
+ WHEN 'build-only' THEN 'every file is part of the build, or data beside it' WHEN 'test-only' THEN 'every file is a test' ELSE 'no content rule settles it' END AS signals FROM classified JOIN ct USING (patch_id, rule_id) JOIN patch USING (patch_id)""")
+def classification_table(spark, d):
+    """The classification table as it is written: list columns as text."""
+    p = claimed(patches(spark, d))
+    files = diff.file_table(diff.line_table(p))
+    rows = diff.profile(files, p, keep=("claim_category", "source_package")).withColumn("v", rules.first_rule())
+    claim, content = F.col("claim_category"), F.col("v.category")
+    rows = rows.select(
+        "patch_id", "source_package", F.array("v.rule_id").alias("rule_ids"), F.array("v.signal").alias("signals"), content.alias("content_category"), rules.consistency(claim, content).alias("consistency"),
+        rules.review_flag(claim, content, F.col("touches_code"), F.col("flag_count") > 0).alias("review_flag"), "flag_details", F.size("files").cast("long").alias("n_files"), "added_lines", "removed_lines",
+    )
+    return publish.classification_rows(rows)
