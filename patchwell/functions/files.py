@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from . import text as t
@@ -51,15 +53,24 @@ def knows_comments(ext: Column) -> Column:
     return ext.isin(sorted({*LINE_COMMENTS, *BLOCK_COMMENTS}))
 
 
+def _comment_pattern() -> str:
+    """Of an extension, a colon and a line without white space around it: blank, or a comment in that language. One pattern, as generated code for a condition an extension grows too large."""
+    kinds: dict[tuple, list[str]] = {}
+    for e in sorted({*LINE_COMMENTS, *BLOCK_COMMENTS}):
+        kinds.setdefault((tuple(LINE_COMMENTS.get(e, [])), BLOCK_COMMENTS.get(e)), []).append(e)
+    options = []
+    for (markers, block), extensions in kinds.items():
+        forms = [re.escape(m) for m in markers] + ([re.escape(block[0]) + ".*" + re.escape(block[1]) + "$"] if block else [])
+        options.append(f"{t.either(extensions)}:(?:{'|'.join(forms)})")
+    return "(?s)^(?:[^:]*:$|" + "|".join(options) + ")"
+
+
+COMMENT = _comment_pattern()
+
+
 def comment_or_blank(line: Column, ext: Column) -> Column:
     """A blank line, or one that is a comment as a whole in the language of `ext`."""
-    s = t.strip(line)
-    out = s == ""
-    for markers in {tuple(m) for m in LINE_COMMENTS.values()}:
-        out = out | (ext.isin([e for e, m in LINE_COMMENTS.items() if tuple(m) == markers]) & t.starts_with(s, list(markers)))
-    for a, b in set(BLOCK_COMMENTS.values()):
-        out = out | (ext.isin([e for e, m in BLOCK_COMMENTS.items() if m == (a, b)]) & s.startswith(a) & s.endswith(b) & (F.length(s) >= len(a) + len(b)))
-    return out
+    return F.concat(ext, F.lit(":"), t.strip(line)).rlike(COMMENT)
 
 
 def ignore_pattern(line: Column) -> Column:

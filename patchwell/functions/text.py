@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F
 
 #: Every line boundary that counts, and the lines' right trim.
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
-ODD_BREAK = "[\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+ODD_BREAK = "\\r\\n|[\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 RIGHT = "(?U)\\s++$"
 EDGES = "(?U)^\\s+|\\s+$"
 
@@ -27,7 +27,7 @@ def starts_with(x: Column, prefixes: list[str]) -> Column:
 
 
 def contains_any(x: Column, words: list[str]) -> Column:
-    return any_of([x.contains(w) for w in words])
+    return x.rlike(either(words))
 
 
 def rtrim(x: Column) -> Column:
@@ -47,9 +47,8 @@ def lines(text: Column) -> Column:
 
 def with_feeds(text: Column) -> Column:
     """Text whose lines all end in one line feed, the last one too; null as empty."""
-    x = F.coalesce(text, F.lit(""))
-    x = F.when(x.rlike(ODD_BREAK), F.regexp_replace(x, LINE_BREAK, "\n")).otherwise(x)
-    return F.when((x == "") | x.endswith("\n"), x).otherwise(F.concat(x, F.lit("\n")))
+    x = F.regexp_replace(F.coalesce(text, F.lit("")), ODD_BREAK, "\n")
+    return F.regexp_replace(x, "(?<=[^\\n])\\z", "\n")
 
 
 def either(prefixes: list[str]) -> str:

@@ -10,13 +10,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..operators import classify, ledger
 
 PATCHES = "patch_name string, body string"
+#: Leading characters of a fingerprint that name its folder: a batch reads only the folders it has fingerprints of.
+PREFIX = 2
 KEPT = "id bigint, fingerprint string, category string, confidence string, decided_by string, rule_version int, kind string, evidence string, decided_at string"
 
 
@@ -30,18 +32,27 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def prefix() -> Column:
+    return F.substring("fingerprint", 1, PREFIX).alias("prefix")
+
+
 def record_batch(batch: DataFrame, ledger_dir: str, now: str) -> None:
     """Record one batch of patches: stamp what changed, append what is new."""
     spark = batch.sparkSession
     decided, log = f"{ledger_dir}/decision", f"{ledger_dir}/supersession"
-    decisions, stamped = read_table(spark, decided, KEPT), read_table(spark, log, schemas.SUPERSESSION)
-    live = ledger.live(decisions, stamped, "decision")
-    append, stamps = ledger.record_decisions(classify.decisions(batch), live, now)
-    base = decisions.agg(F.max("id")).first()[0] or 0
-    rows = ledger.with_ids(append, base, ["fingerprint", "decided_by"]).select(*[f.split()[0] for f in KEPT.split(", ")])
-    # Rows first: should a failure come between the two writes, the replay finds them live and stamps the outdated ones then.
-    rows.write.mode("append").parquet(decided)
-    stamps.write.mode("append").parquet(log)
+    decisions, stamped = read_table(spark, decided, f"{KEPT}, prefix string"), read_table(spark, log, schemas.SUPERSESSION)
+    base = decisions.agg(F.max("id")).first()[0] or 0  # reads one column
+    desired = classify.decisions(batch).persist()
+    try:
+        prefixes = [r[0] for r in desired.select(prefix()).distinct().collect()]  # 256 at most
+        live = ledger.live(decisions.filter(F.col("prefix").isin(prefixes)).drop("prefix"), stamped, "decision")
+        append, stamps = ledger.record_decisions(desired, live, now)
+        rows = ledger.with_ids(append, base, ["fingerprint", "decided_by"]).select(*[f.split()[0] for f in KEPT.split(", ")], prefix())
+        # Rows first: should a failure come between the two writes, the replay finds them live and stamps the outdated ones then.
+        rows.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(decided)
+        stamps.write.mode("append").parquet(log)
+    finally:
+        desired.unpersist()
 
 
 def start(spark: SparkSession, patches_dir: str, ledger_dir: str, checkpoint_dir: str, clock: Callable[[int], str]) -> StreamingQuery:

@@ -6,7 +6,8 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from patchwell.operators import publish
+from patchwell import schemas
+from patchwell.operators import fingerprints, publish
 from patchwell.sources import readers
 
 
@@ -44,3 +45,13 @@ def test_snapshot_guard(spark, tmp_path):
         publish.write_snapshot(spark.createDataFrame([(0,)], "a long"), str(tmp_path / "s"), "a")
     publish.write_snapshot(spark.createDataFrame([(1,)], "a long"), str(tmp_path / "s"), "a")
     assert spark.read.parquet(str(tmp_path / "s")).agg(F.max("a")).first()[0] == 1
+
+
+def test_json_lines_keep_the_last_row_of_a_file(spark, tmp_path):
+    """Provenance and outcome lines: of rows with one key the one that was appended last stands, whatever its values."""
+    path = tmp_path / "rows.jsonl"
+    lines = [f'{{"source_package": "p{i % 50}", "version": "1", "state": "s{(i * 7) % 300:03d}", "n_patches": {i}}}' for i in range(300)]
+    path.write_text("\n".join([*lines[:120], "not json", *lines[120:]]) + "\n")
+    rows = readers.json_lines(spark, str(path), schemas.PACKAGE_ROWS)
+    last = fingerprints.last_rows(rows.filter("source_package IS NOT NULL"), ["source_package", "version"], "ord")
+    assert sorted((r["source_package"], r["n_patches"], r["state"]) for r in last.collect()) == sorted((f"p{k}", 250 + k, f"s{((250 + k) * 7) % 300:03d}") for k in range(50))
