@@ -21,10 +21,10 @@ def usable(entries: DataFrame) -> DataFrame:
 
 
 def newest_upstream(entries: DataFrame) -> DataFrame:
-    """(name, newest): the largest version among those with status newest, else among all usable; ties by text."""
-    key = F.struct(versions.key(F.col("version")), F.col("version"))
-    best = lambda when: F.max_by("version", F.when(when, key))
-    return usable(entries).groupBy("name").agg(F.coalesce(best(F.col("status") == "newest"), best(F.lit(True))).alias("newest"))
+    """(name, newest): the largest version among those with status newest, else among all usable; ties by text. Keys are made once for each distinct version of a name."""
+    once = usable(entries).groupBy("name", "version").agg(F.bool_or(F.coalesce(F.col("status") == "newest", F.lit(False))).alias("first"))
+    key = F.struct("first", versions.key(F.col("version")), F.col("version"))
+    return once.groupBy("name").agg(F.max_by("version", key).alias("newest"))
 
 
 def newest_archive(sources: DataFrame) -> DataFrame:

@@ -61,9 +61,12 @@ def shards(rows: DataFrame, at: str) -> DataFrame:
 
 
 def write_export(rows: DataFrame, at: str, path: str) -> DataFrame:
-    """JSON lines in one folder a month, in id order, null columns left out; returns the manifest (month, n)."""
+    """JSON lines in one folder a month, in id order, null columns left out; returns the manifest (month, n).
+
+    Rows are dealt by ranges of (month, id): a large month, or all rows without a date, is many files in order of id.
+    """
     out = shards(rows, at)
-    out.repartition("month").sortWithinPartitions("month", "id").write.mode("overwrite").partitionBy("month").json(path)
+    out.repartitionByRange("month", "id").sortWithinPartitions("month", "id").write.mode("overwrite").partitionBy("month").json(path)
     return out.groupBy("month").agg(F.count(F.lit(1)).alias("n")).withColumn("version", F.lit(schemas.EXPORT_VERSION))
 
 
