@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Ids up to this count may be broadcast (16 MB as longs); more take a shuffled join.
@@ -77,6 +79,17 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
+def portions(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `most` bytes of their text column, or of one row: a worker holds few texts as objects at once."""
+    for batch in batches:
+        ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), "right")))
+            yield batch.slice(at, to - at)
+            at = to
+    pa.default_memory_pool().release_unused()
+
+
 def as_bytes(column: pa.Array) -> list:
     """UTF-8 bytes of a string column, null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

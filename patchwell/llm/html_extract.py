@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BROADCAST_IDS, store
+from .common import BROADCAST_IDS, portions, store
 
 #: Places below this importance go, if at least so many pages of the host have them.
 LOW, PAGES = 0.4, 4
@@ -290,7 +290,7 @@ def merged(pages: DataFrame) -> DataFrame:
     """(site, place, parent, pages, blocks, layout, content) of every place of the merged trees; pages are distinct ones, site is the host's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 2, 8 << 20):
             rows = [(h, page, *p) for h, page, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for p in places(html)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
@@ -336,7 +336,7 @@ def extract(pages: DataFrame, low: float = LOW, least_pages: int = PAGES) -> Dat
     weak = store(unimportant(pages, low, least_pages), "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 2, 8 << 20):
             texts = [main_text(html, frozenset(x % (1 << 64) for x in places or ())) for html, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

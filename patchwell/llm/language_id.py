@@ -14,11 +14,10 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import held_out, store
+from .common import held_out, portions, store
 
 U = np.uint64
 #: N-grams in a profile, of a language and of a document.
@@ -74,7 +73,7 @@ def learn(docs: DataFrame, top: int = TOP) -> DataFrame:
                 g = both
             held[lang] = (g, n)
 
-        for batch in batches:
+        for batch in portions(batches, 0, 8 << 20):
             parts: dict[str, list[np.ndarray]] = {}
             size: dict[str, int] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -138,10 +137,11 @@ def distance(profiles: DataFrame, top: int) -> Callable[[Column], Column]:
     rows = [(r["lang"], r["gram"], r["rank"]) for r in profiles.collect()]
     sent = profiles.sparkSession.sparkContext.broadcast(Model(rows, top))
 
-    @F.pandas_udf("distance double, lang_pred string")
-    def nearest(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("distance double, lang_pred string")
+    def nearest(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield pd.DataFrame([sent.value.nearest(t) for t in batch], columns=["distance", "lang_pred"])
+            found = [sent.value.nearest(t.as_py()) for t in batch]
+            yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.string())], ["distance", "lang_pred"])
 
     return nearest
 

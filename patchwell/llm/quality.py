@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, held_out
+from .common import as_bytes, held_out, portions
 
 #: Labelled documents the model is fitted on at most (those with the smallest hash of their id), and preference pairs.
 SAMPLE, PAIRS = 20_000, 100_000
@@ -54,7 +54,7 @@ def featured(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     schema = ", ".join([f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep] + ["x array<double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, len(keep)):
             x = pa.array([features(t) for t in as_bytes(batch.column(len(keep)))], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], x], [*keep, "x"])
 
@@ -116,7 +116,7 @@ def rate(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
+        for batch in portions(batches, 1):
             x = np.array([features(t) for t in as_bytes(batch.column(1))], float).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(model.score(x), pa.float64())], ["doc_id", "score"])
 

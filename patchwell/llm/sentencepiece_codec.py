@@ -27,13 +27,15 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from .common import portions
+
 MARK = "▁"
 #: Type of an id in memory.
 IDS = np.uint16
 #: As isalnum, without decimal digits: also superscripts and fractions, which isalpha leaves out.
 LETTER = "[^\\W\\d_]"
 #: Bytes that a worker's remembered units may take, twice over; what one takes besides its characters and ids.
-REMEMBER, BESIDE = 40 << 20, 220
+REMEMBER, BESIDE = 16 << 20, 220
 
 
 class Pieces:
@@ -225,20 +227,18 @@ def encode_decode(docs: DataFrame, model_path: str, outputs: bool = True) -> Dat
 
     def encoded(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = str(codec.end).encode()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                ids, ends = codec.encode(["" if t is None else t for t in batch.column(1).to_pylist()])
-                id_sha = [hashlib.sha256(x + end).hexdigest() for x in codec.decimals(ids, ends)]
-                texts = codec.decode(ids, ends)
-                text_sha = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
-                cols = [batch.column(0).cast(pa.int64()), pa.array(np.diff(np.r_[0, ends]) + 1, pa.int64()), pa.array(id_sha), pa.array(text_sha)]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if outputs:
-                    marked = np.insert(ids.astype(np.int32), ends, codec.end)  # the end id after each text
-                    cols += [pa.ListArray.from_arrays(pa.array(np.r_[0, ends + np.arange(1, len(ends) + 1)], pa.int32()), pa.array(marked)), pa.array(texts)]
-                    names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(cols, names)
+        for batch in portions(batches, 1):
+            ids, ends = codec.encode(["" if t is None else t for t in batch.column(1).to_pylist()])
+            id_sha = [hashlib.sha256(x + end).hexdigest() for x in codec.decimals(ids, ends)]
+            texts = codec.decode(ids, ends)
+            text_sha = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+            cols = [batch.column(0).cast(pa.int64()), pa.array(np.diff(np.r_[0, ends]) + 1, pa.int64()), pa.array(id_sha), pa.array(text_sha)]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if outputs:
+                marked = np.insert(ids.astype(np.int32), ends, codec.end)  # the end id after each text
+                cols += [pa.ListArray.from_arrays(pa.array(np.r_[0, ends + np.arange(1, len(ends) + 1)], pa.int32()), pa.array(marked)), pa.array(texts)]
+                names += ["ids", "decoded"]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if outputs else "")
     return docs.select("doc_id", "text").mapInArrow(run, schema)

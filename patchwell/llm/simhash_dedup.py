@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, shuffle_parts, store
+from .common import as_bytes, portions, shuffle_parts, store
 from .components import components
 from .forest import Forest
 
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id and fingerprint (its 64 bits as a signed long) of each row; a text without words has 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1):
             prints = np.array([fingerprint(t, width) for t in as_bytes(batch.column(1))], U)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
