@@ -53,10 +53,6 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def sized(df: DataFrame) -> DataFrame:
     """`df`, a table of ids and numbers, for a join: broadcast while it has at most BROADCAST_IDS rows, else left to a shuffle."""
     return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, portions, shuffle_parts, store
+from .common import as_bytes, portions, store
 from .components import components
 from .forest import Forest
 
@@ -27,6 +27,8 @@ BLOCKS, EQUAL = 6, 2
 SMALL, MANY = 32, 1 << 20
 #: Fingerprints of a subtrie that one task joins.
 MOST = 20_000
+#: Shares of a turn at least, so that small data use several tasks as well.
+LEAST_SHARES = 8
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
@@ -110,11 +112,12 @@ def self_join(keys: np.ndarray, pivot: int, budget: int, forest: Forest, place:
 def linked(distinct: DataFrame, budget: int, most: int = MOST) -> DataFrame:
     """(u, v): links between distinct fingerprints that span the components of the budget graph.
 
-    A subtrie of more than `most` fingerprints is cut into slots, and each pair of slots is a task.
+    Subtries are dealt to shares of about `most` fingerprints, so a share is as large at any size of the
+    data; a subtrie of more is cut into slots, and each pair of slots is a task.
     """
     order = turns()
     pivot = [sum(n for _, n in o[:EQUAL]) for o in order]
-    share = 2 * shuffle_parts(distinct.sparkSession)
+    share = max(LEAST_SHARES, -(-distinct.count() // most))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
