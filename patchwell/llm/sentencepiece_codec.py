@@ -35,7 +35,7 @@ IDS = np.uint16
 #: As isalnum, without decimal digits: also superscripts and fractions, which isalpha leaves out.
 LETTER = "[^\\W\\d_]"
 #: Bytes that a worker's remembered units may take, twice over; what one takes besides its characters and ids.
-REMEMBER, BESIDE = 16 << 20, 220
+REMEMBER, BESIDE = 40 << 20, 220
 
 
 class Pieces:
@@ -85,7 +85,7 @@ class Codec:
             raise ValueError(f"units end inside the pieces {cut[:9]}")
         self.young: dict[str, bytes | None] = {}  # ids of units, or None where the library's differ
         self.old: dict[str, bytes | None] = {}
-        self.held = 0
+        self.held, self.most = 0, REMEMBER
         self.line = self.encoded(MARK) + self.encoded("\n")
 
     def merged(self, unit: str) -> list[str]:
@@ -160,7 +160,7 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts end to end, without an end id, and where each text's end."""
         split = [self.units(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if self.held > REMEMBER:
+        if self.held > self.most:
             self.young, self.old, self.held = {}, self.young, 0
         young, old = self.young, self.old
         missing = set()
@@ -202,13 +202,14 @@ class Codec:
 CODECS: dict[int, Codec] = {}
 
 
-def encode_decode(docs: DataFrame, model_path: str, outputs: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, outputs: bool = True, remember: int = REMEMBER) -> DataFrame:
     """Encode each text with an end id only, decode the ids again.
 
     Returns doc_id, n_tokens, ids_sha256 (decimal ids joined by one space), decoded_sha256, and with
     `outputs` also ids (array of int) and decoded. Null counts as the empty text, whose only id is
     the end id; rows are independent, so repeated rows give equal results; an empty table gives none.
-    The model file is read on the driver (under 16 MB) and sent to the executors.
+    The model file is read on the driver (under 16 MB) and sent to the executors. `remember` bounds the bytes
+    of a worker's remembered units (kept twice over); it changes times, not results.
     """
     with open(model_path, "rb") as f:
         model = f.read()
@@ -219,6 +220,7 @@ def encode_decode(docs: DataFrame, model_path: str, outputs: bool = True) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = CODECS.get(key) or CODECS.setdefault(key, Codec(sent.value))
+        codec.most = remember
         gc.disable()  # remembered units hold no cycles; looking for some takes a tenth of the time
         try:
             yield from encoded(codec, batches)

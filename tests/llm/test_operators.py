@@ -238,7 +238,7 @@ def test_sentencepiece_falls_back_and_forgets(monkeypatch):
     texts = [t or "" for t in TEXTS[:16]] + ["hello world", "", "world hello 🙂"]
     own = codec.encoded
     monkeypatch.setattr(codec, "encoded", lambda unit: own("x") if "hello" in unit else own(unit))
-    monkeypatch.setattr(sentencepiece_codec, "REMEMBER", 1000)
+    codec.most = 1000
     for _ in range(2):
         ids, ends = codec.encode(texts)
         assert [x.tolist() for x in np.split(ids, ends[:-1])] == codec.lib.encode(texts)
