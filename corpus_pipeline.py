@@ -71,8 +71,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and their digests."""
-    return sentencepiece_codec.encode_decode(docs, tokenizer_path()).drop("decoded")
+    """doc_id, n_tokens, ids and their digests for each row; null counts as the empty text, an empty table gives no rows.
+
+    Workers remember few units here, as they also hold what the stages before have loaded.
+    """
+    return sentencepiece_codec.encode_decode(docs, tokenizer_path(), remember=16 << 20).drop("decoded")
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("simhash_dedup", near), ("mixing", mixed), ("sentencepiece", tokens)]
