@@ -49,33 +49,31 @@ def file_type(path: Column) -> Column:
     )
 
 
-def knows_comments(ext: Column) -> Column:
-    return ext.isin(sorted({*LINE_COMMENTS, *BLOCK_COMMENTS}))
-
-
-def _comment_pattern() -> str:
-    """Of an extension, a colon and a line without white space around it: blank, or a comment in that language. One pattern, as generated code for a condition an extension grows too large."""
+def _comment_kinds() -> dict[tuple, list[str]]:
+    """Extensions by their (line markers, block marks)."""
     kinds: dict[tuple, list[str]] = {}
     for e in sorted({*LINE_COMMENTS, *BLOCK_COMMENTS}):
         kinds.setdefault((tuple(LINE_COMMENTS.get(e, [])), BLOCK_COMMENTS.get(e)), []).append(e)
-    options = []
-    for (markers, block), extensions in kinds.items():
-        forms = [re.escape(m) for m in markers] + ([re.escape(block[0]) + ".*" + re.escape(block[1]) + "$"] if block else [])
-        options.append(f"{t.either(extensions)}:(?:{'|'.join(forms)})")
-    return "(?s)^(?:[^:]*:$|" + "|".join(options) + ")"
+    return kinds
 
 
-COMMENT = _comment_pattern()
+#: Begin of a changed line of a trimmed section, and white space inside a line.
+CHANGED, SPACE = r"(?dmU)^(?:\+(?!\+\+ )|-(?!-- ))", r"[\s&&[^\n]]*+"
 
 
-def comment_or_blank(line: Column, ext: Column) -> Column:
-    """A blank line, or one that is a comment as a whole in the language of `ext`."""
-    return F.concat(ext, F.lit(":"), t.strip(line)).rlike(COMMENT)
+def only_comments(section: Column, ext: Column) -> Column:
+    """Every changed line of a trimmed section is blank or a comment as a whole in the language of `ext`; false where its comments aren't known. The first line that is neither ends the search."""
+    out = F.when(F.lit(False), F.lit(False))
+    for (markers, block), extensions in _comment_kinds().items():
+        forms = [re.escape(m) for m in markers] + ([re.escape(block[0]) + "[^\\n]*" + re.escape(block[1]) + "$"] if block else [])
+        out = out.when(ext.isin(extensions), ~section.rlike(CHANGED + SPACE + f"(?!$|{'|'.join(forms)})"))
+    return out.otherwise(F.lit(False))
 
 
-def ignore_pattern(line: Column) -> Column:
-    s = t.strip(line)
-    return (s == "") | s.startswith("#") | ~s.rlike(r"(?U)\s")
+def only_patterns(section: Column, path: Column) -> Column:
+    """The file is an ignore file, and every changed line of its trimmed section is blank, a comment or one word."""
+    other = CHANGED + SPACE + r"(?!#)[^\s]++[\s&&[^\n]]"
+    return F.when(F.lower(t.basename(path)).isin(IGNORE_NAMES), ~section.rlike(other)).otherwise(F.lit(False))
 
 
 def name_family(path: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, functions as F
 #: Every line boundary that counts, and the lines' right trim.
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 ODD_BREAK = "\\r\\n|[\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+#: Any break but a line feed.
+ODD = "[\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 RIGHT = "(?U)\\s++$"
 EDGES = "(?U)^\\s+|\\s+$"
 
@@ -47,8 +49,15 @@ def lines(text: Column) -> Column:
 
 def with_feeds(text: Column) -> Column:
     """Text whose lines all end in one line feed, the last one too; null as empty."""
-    x = F.regexp_replace(F.coalesce(text, F.lit("")), ODD_BREAK, "\n")
-    return F.regexp_replace(x, "(?<=[^\\n])\\z", "\n")
+    x = F.coalesce(text, F.lit(""))
+    x = F.when(x.rlike(ODD), F.regexp_replace(x, ODD_BREAK, "\n")).otherwise(x)
+    return F.when((x == "") | x.endswith("\n"), x).otherwise(F.concat(x, F.lit("\n")))
+
+
+def fed_lines(text: Column) -> Column:
+    """Lines of such a text."""
+    parts = F.split(text, "\n")
+    return F.slice(parts, F.lit(1), F.size(parts) - 1)
 
 
 def either(prefixes: list[str]) -> str:

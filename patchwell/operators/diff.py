@@ -1,4 +1,4 @@
-"""Diff analysis: normalisation without a shuffle, and line tables with one shuffle on the patch."""
+"""Diff analysis: normalisation and file sections without a shuffle, and line tables in blocks of lines."""
 
 from __future__ import annotations
 
@@ -6,20 +6,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import files, text as t
 from ..schemas import FILE_TYPES
-from .rules import construct_details
+from .rules import construct_details, may_hold
 
 #: Normalisation variants: (strip_path, drop_context).
 VARIANTS = {"default": (True, False), "keep_path": (False, False), "drop_context": (True, True), "keep_path_drop_context": (False, True)}
 
 
-def with_lines(patches: DataFrame) -> DataFrame:
-    """Adds `ls`, the lines of `body`."""
-    return patches.withColumn("ls", t.lines(F.coalesce(F.col("body"), F.lit(""))))
+def _from_start(feeds: Column) -> Column:
+    return F.regexp_extract(feeds, r"(?dms)^(?:diff --git |@@ |--- [^\n]*\n\+\+\+ ).*\z", 0)
 
 
 def diff_text(body: Column) -> Column:
     """Text from the first line of the diff on, each line with a line feed; empty if there is none."""
-    return F.regexp_extract(t.with_feeds(body), r"(?dms)^(?:diff --git |@@ |--- [^\n]*\n\+\+\+ ).*\z", 0)
+    return _from_start(t.with_feeds(body))
 
 
 #: Patterns over whole texts, whose lines end in line feeds (?d), one for each step of the normalisation.
@@ -75,75 +74,175 @@ def diff_body(body: Column, most: int | None = None) -> Column:
     return F.when(F.length(out) > most, F.concat(F.substring(out, 1, most), F.lit("\n[diff truncated: "), F.length(out).cast("string"), F.lit(" characters in all]"))).otherwise(out)
 
 
-def line_table(patches: DataFrame, key: str = "patch_id") -> DataFrame:
-    """A row for each line of each diff: key, line_no, line, raw, kind, file_no, hunk_no, source, run_start.
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is worked out once: it stands behind a generator, through which nothing is inlined again."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+#: Lines of a block. Longer diffs are cut, so that no window or sort covers a whole diff.
+BLOCK = 4096
+
+
+def _from(raw: Column) -> Column:
+    return raw.startswith("--- ")
+
+
+def _to(raw: Column) -> Column:
+    return raw.startswith("+++ ")
+
+
+def kind_of(raw: Column) -> Column:
+    """meta, from, to, hunk, add, del or ctx, of a line without white space at the right."""
+    return (
+        F.when(t.starts_with(raw, t.DECORATION), "meta").when(_from(raw), "from").when(_to(raw), "to")
+        .when(raw.startswith("@@"), "hunk").when(raw.startswith("+"), "add").when(raw.startswith("-"), "del").otherwise("ctx")
+    )
+
+
+def diff_lines(patches: DataFrame, key: str = "patch_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, offset, ls, keep: the lines of each diff, and how many lines of the body are before it."""
+    rows = once(once(patches.select(key, "body", *keep), "_feeds", t.with_feeds(F.col("body"))), "_diff", _from_start(F.col("_feeds")))
+    head = F.left("_feeds", F.length("_feeds") - F.length("_diff"))
+    return once(rows, "ls", t.fed_lines(F.col("_diff"))).select(key, (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))).alias("offset"), "ls", *keep)
+
+
+def blocks(patches: DataFrame, key: str = "patch_id", size: int | None = None) -> DataFrame:
+    """A row for each block of lines: key, first (line number), block, chunk (its lines), before, after, carry.
+
+    before and after are the lines next to the block. carry is what the blocks before add up to: file_no,
+    hunk_no and open_no so far, the last header line, and whether the first line behind the block that isn't part of a
+    lead-in opens a file. Blocks are summed up in their row, then the sums of the blocks before each are added: there is one row
+    of sums a block, and none for a diff of one block.
+    """
+    size = size or BLOCK
+    rows = diff_lines(patches, key)
+    ls, n = F.col("ls"), F.size("ls")
+    raw = t.rtrim
+    part = lambda b: F.slice(ls, b * size + 1, F.lit(size))
+    count = lambda xs, f: F.size(F.filter(xs, f))
+    lead_in = lambda x: kind_of(raw(x)).isin("meta", "from")
+
+    def summed(b: Column) -> Column:
+        chunk = part(b)
+        opens = count(chunk, lambda x, i: x.startswith("--- ") & F.coalesce(F.get(ls, b * size + i + 1).startswith("+++ "), F.lit(False)))
+        header = F.try_element_at(F.filter(chunk, lambda x: _from(raw(x)) | _to(raw(x))), F.lit(-1))
+        follow = _to(raw(F.try_element_at(F.filter(chunk, lambda x: ~lead_in(x)), F.lit(1))))
+        return F.struct(count(chunk, lambda x: _to(raw(x))).alias("files"), count(chunk, lambda x: raw(x).startswith("@@")).alias("hunks"), opens.alias("opens"), raw(header).alias("header"), follow.alias("follow"))
+
+    several = F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))
+    rows = once(rows, "sums", F.when(n > size, F.transform(several, summed)))
+    sums = F.col("sums")
+    total = lambda xs, f: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x[f])
+    known = lambda xs, f: F.filter(F.transform(xs, lambda x: x[f]), lambda v: v.isNotNull())
+
+    def carry(b: Column) -> Column:
+        upto, rest = F.slice(sums, F.lit(1), b), F.slice(sums, b + 2, F.size(sums))
+        return F.struct(total(upto, "files").alias("file_no"), total(upto, "hunks").alias("hunk_no"), total(upto, "opens").alias("open_no"), F.try_element_at(known(upto, "header"), F.lit(-1)).alias("header"), F.try_element_at(known(rest, "follow"), F.lit(1)).alias("follow"))
+
+    def block(b: Column, chunk: Column, before: Column, after: Column, carried: Column) -> Column:
+        return F.struct(b.alias("block"), chunk.alias("chunk"), before.alias("before"), after.alias("after"), carried.alias("carry"))
+
+    text, flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    nothing = F.struct(F.lit(0).alias("file_no"), F.lit(0).alias("hunk_no"), F.lit(0).alias("open_no"), text.alias("header"), flag.alias("follow"))
+    whole = F.array(block(F.lit(0), ls, text, text, nothing))
+    cut = F.transform(several, lambda b: block(b, part(b), F.get(ls, b * size - 1), F.get(ls, (b + 1) * size), carry(b)))
+    return rows.filter(n > 0).select(key, "offset", F.inline(F.when(n > size, cut).otherwise(whole))).select(key, (F.col("offset") + F.col("block") * size).alias("first"), "block", "chunk", "before", "after", "carry")
+
+
+def in_block(key: str = "patch_id"):
+    """Window over a block's lines in order."""
+    return Window.partitionBy(key, "block").orderBy("line_no")
+
+
+def line_table(patches: DataFrame, key: str = "patch_id", size: int | None = None) -> DataFrame:
+    """A row for each line of each diff: key, line_no, line, raw, kind, file_no, hunk_no, source, run_start; block, before, after, carry of its block.
 
     kind: meta, from, to, hunk, add, del, ctx. file_no counts the `+++ ` lines so far (0: before
-    the first); source is the path of a `--- ` line before a `+++ ` line. All windows share one
-    partitioning and order, so there is one shuffle.
+    the first); source is the path of the `--- ` line that a `+++ ` line follows, with no other `+++ ` line between. All windows
+    are within a block of lines, share one order, and go on from what the blocks before carry: one shuffle, on (key, block).
     """
-    w = Window.partitionBy(key).orderBy("line_no")
+    w = in_block(key)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = with_lines(patches).select(key, F.posexplode("ls").alias("line_no", "line"))
-    follows = F.coalesce(F.lead("line").over(w).startswith("+++ "), F.lit(False))
-    line = F.col("line")
-    begins = line.startswith("diff --git ") | line.startswith("@@ ") | (line.startswith("--- ") & follows)
-    rows = rows.withColumn("begun", F.max(begins.cast("int")).over(so_far)).filter("begun = 1")
-    raw = F.col("raw")
-    kind = (
-        F.when(t.starts_with(raw, t.DECORATION), "meta").when(raw.startswith("--- "), "from").when(raw.startswith("+++ "), "to")
-        .when(raw.startswith("@@"), "hunk").when(raw.startswith("+"), "add").when(raw.startswith("-"), "del").otherwise("ctx")
-    )
-    rows = rows.withColumn("raw", t.rtrim(line)).withColumn("kind", kind)
-    rows = rows.withColumn("file_no", F.sum((F.col("kind") == "to").cast("int")).over(so_far))
-    pending = F.last(F.when(F.col("kind") == "from", F.struct("file_no", t.header_path(raw).alias("path"))), ignorenulls=True).over(so_far)
-    changed = F.col("kind").isin("add", "del")
+    lines = blocks(patches, key, size).select(key, "block", "first", "before", "after", "carry", F.posexplode("chunk").alias("at", "line"))
+    raw, kind = F.col("raw"), F.col("kind")
+    rows = lines.withColumn("line_no", F.col("first") + F.col("at")).withColumn("raw", t.rtrim(F.col("line"))).withColumn("kind", kind_of(raw))
+    header = F.coalesce(F.last(F.when(kind.isin("from", "to"), raw), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("carry.header"))
+    number = lambda k, carried: (F.sum((kind == k).cast("int")).over(so_far) + F.col(f"carry.{carried}")).alias(carried)
+    previous = F.coalesce(F.lag("kind").over(w), kind_of(t.rtrim(F.col("before"))))
+    rows = rows.select(key, "block", "line_no", "line", "raw", "kind", "before", "after", "carry", number("to", "file_no"), number("hunk", "hunk_no"), header.alias("header"), previous.alias("previous"))
+    changed = kind.isin("add", "del")
     return rows.select(
-        key, "line_no", "line", "raw", "kind", "file_no",
-        F.sum((F.col("kind") == "hunk").cast("int")).over(so_far).alias("hunk_no"),
-        F.when((F.col("kind") == "to") & (pending["file_no"] == F.col("file_no") - 1), pending["path"]).alias("source"),
-        (changed & ~F.coalesce(F.lag("kind").over(w).isin("add", "del"), F.lit(False))).alias("run_start"),
+        key, "line_no", "line", "raw", "kind", "file_no", "hunk_no", F.when((kind == "to") & _from(F.col("header")), t.header_path(F.col("header"))).alias("source"),
+        (changed & ~F.coalesce(F.col("previous").isin("add", "del"), F.lit(False))).alias("run_start"), "block", "before", "after", "carry",
     )
 
 
-def file_table(lines: DataFrame, key: str = "patch_id") -> DataFrame:
-    """A row for each file section: key, file_no, path, type, ext, hunks, added, removed, and its changed lines' traits.
+def sections(patches: DataFrame, key: str = "patch_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each file of a diff: key, file_no, start (line number of its `+++ ` line), source, target, section (its text, from that line on), keep.
+
+    Cut in the row of the diff: nothing is shuffled.
+    """
+    rows = diff_lines(patches, key, keep)
+    ls = F.col("ls")
+    opens = lambda x: x.startswith("+++ ") & _to(t.rtrim(x))
+    rows = once(rows, "ats", F.filter(F.transform(ls, lambda x, i: F.when(opens(x), i)), lambda i: i.isNotNull()))
+    ats = F.col("ats")
+    header = lambda x: F.when(x.startswith("--- ") & _from(t.rtrim(x)), x)
+
+    def cut(at: Column, j: Column) -> Column:
+        previous = F.coalesce(F.get(ats, j - 1), F.lit(-1))
+        between = F.slice(ls, previous + 2, at - previous - 1)
+        source = F.coalesce(header(F.get(ls, at - 1)), F.try_element_at(F.filter(between, lambda x: header(x).isNotNull()), F.lit(-1)))
+        body = F.slice(ls, at + 1, F.coalesce(F.get(ats, j + 1), F.size(ls)) - at)
+        return F.struct((j + 1).alias("file_no"), at.alias("at"), source.alias("from"), F.get(ls, at).alias("to"), F.array_join(body, "\n").alias("section"))
+
+    rows = rows.select(key, "offset", *keep, F.inline(F.transform(ats, cut)))
+    return rows.select(key, "file_no", (F.col("offset") + F.col("at")).alias("start"), t.header_path(F.col("from")).alias("source"), t.header_path(t.rtrim(F.col("to"))).alias("target"), "section", *keep)
+
+
+ADDED, REMOVED = r"^\+(?!\+\+ )", r"^-(?!-- )"
+
+
+def changed_lines(text: Column, mark: str) -> Column:
+    """Texts of the added or removed lines of a trimmed section, in order."""
+    return F.regexp_extract_all(text, F.lit(f"(?dm){mark}([^\\n]*)$"), F.lit(1))
 
-    Path, extension and type are worked out on a file's `+++ ` line and carried down. The rows are
-    grouped within the partitioning that the lines have.
+
+def file_table(patches: DataFrame, key: str = "patch_id") -> DataFrame:
+    """A row for each file of a diff: key, file_no, start, path, type, ext, hunks, added, removed, the traits of its changed lines, section, trimmed.
+
+    Patterns over the section's text tell all of it; only added lines of code that hold a word of some construct are taken apart.
     """
-    target = t.header_path(F.col("raw"))
-    path = F.when((target == "/dev/null") & F.col("source").isNotNull() & (F.col("source") != "/dev/null"), F.col("source")).otherwise(target)
-    own = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("path", F.when(F.col("kind") == "to", path))
-    opened = F.when(F.col("path").isNotNull(), F.struct("path", t.extension(F.col("path")).alias("ext"), files.file_type(F.col("path")).alias("type")))
-    rows = rows.withColumn("file", F.last(opened, ignorenulls=True).over(own)).filter("file_no > 0")
-    rows = rows.select(key, "file_no", "kind", "file.*", F.substring("raw", 2, 1 << 30).alias("text"), F.col("kind").isin("add", "del").alias("changed"))
-    count = lambda kind: F.count_if(F.col("kind") == kind)
-    ws = F.regexp_replace(t.strip(F.col("text")), r"(?U)\s+", " ")
-    sign = F.when(F.col("kind") == "add", 1).when(F.col("kind") == "del", -1)
-    # Sums of hashes, added lines less removed ones: 0 where both are the same lines in some order.
-    part = lambda x, at: F.sum(F.when(F.col("changed"), sign * F.shiftright(F.xxhash64(x), at).bitwiseAND(F.lit((1 << 31) - 1))))
-    differs = lambda x: F.array(part(x, 0), part(x, 31))
-    code = (F.col("kind") == "add") & (F.col("type") == "code")
-    return rows.groupBy(key, "file_no", "path", "ext", "type").agg(
-        count("hunk").alias("hunks"), count("add").alias("added"), count("del").alias("removed"),
-        F.bool_and(~F.col("changed") | files.comment_or_blank(F.col("text"), F.col("ext"))).alias("comments"),
-        F.bool_and(~F.col("changed") | files.ignore_pattern(F.col("text"))).alias("patterns"),
-        differs(F.col("text")).alias("differs"), differs(ws).alias("differs_ws"),
-        F.flatten(F.collect_list(F.when(code, construct_details(F.col("text"), F.col("ext"))))).alias("constructs"),
+    path = F.when((F.col("target") == "/dev/null") & F.col("source").isNotNull() & (F.col("source") != "/dev/null"), F.col("source")).otherwise(F.col("target"))
+    rows = once(sections(patches, key).withColumn("path", path), "trimmed", F.regexp_replace("section", TRAILING, ""))
+    rows = once(rows, "about", F.struct(t.extension(F.col("path")).alias("ext"), files.file_type(F.col("path")).alias("type")))
+    text, ext = F.col("trimmed"), F.col("about.ext")
+    count = lambda pattern: F.regexp_count(text, F.lit("(?dm)" + pattern)).cast("long")
+    code = (F.col("about.type") == "code") & may_hold(text, ext)
+    details = F.flatten(F.transform(changed_lines(text, ADDED), lambda x: construct_details(x, ext)))
+    return rows.select(
+        key, "file_no", "start", "path", "about.ext", "about.type", count("^@@").alias("hunks"), count(ADDED).alias("added"), count(REMOVED).alias("removed"),
+        files.only_comments(text, ext).alias("comments"), files.only_patterns(text, F.col("path")).alias("patterns"),
+        F.when(code, details).otherwise(F.array().cast("array<string>")).alias("constructs"), "section", "trimmed",
     )
 
 
+def spaced(body: Column) -> Column:
+    """The files' added lines are their removed ones but for white space, in some order, and not the same as they are."""
+    text = F.regexp_replace(F.regexp_extract(diff_text(body), r"(?dmsU)^\+\+\+ [^\n]*[^\s].*\z", 0), TRAILING, "")
+    count = lambda mark: F.regexp_count(text, F.lit("(?dm)" + mark))
+    plain_space = lambda xs: F.array_sort(F.transform(xs, lambda x: F.regexp_replace(t.strip(x), r"(?U)\s+", " ")))
+    added, removed = changed_lines(text, ADDED), changed_lines(text, REMOVED)
+    return F.when((count(ADDED) == count(REMOVED)) & (count(ADDED) > 0), (plain_space(added) == plain_space(removed)) & (F.array_sort(added) != F.array_sort(removed))).otherwise(F.lit(False))
+
+
 def profile(file_rows: DataFrame, patches: DataFrame, key: str = "patch_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each patch: files, counts in all and by type, touches_code, the four trivial flags, construct hits, and the columns `keep` of `patches`.
 
-    `patches`: key and `body`. Patches without a diff get zero counts and is_empty. The files are
-    grouped within their partitioning; only (key, is_empty, keep) is shuffled besides. Lines are the
-    same but for white space, or altogether, where sums of 62 bits of their hashes agree.
+    `patches`: key and `body`. Patches without a diff get zero counts and is_empty. Only file rows without
+    their texts, and (key, is_empty, keep), are shuffled.
     """
     changes = F.col("added") + F.col("removed") > 0
-    zeros = lambda c: (F.sum(F.coalesce(F.col(c)[0], F.lit(0))) == 0) & (F.sum(F.coalesce(F.col(c)[1], F.lit(0))) == 0)
     of = lambda kind: F.col("type") == kind
     per = {"file_types": lambda k: F.count_if(of(k)), "added_by_type": lambda k: F.sum(F.when(of(k), F.col("added"))), "removed_by_type": lambda k: F.sum(F.when(of(k), F.col("removed")))}
     # One struct a type that the patch has: null counts of the other types drop out.
@@ -151,39 +250,40 @@ def profile(file_rows: DataFrame, patches: DataFrame, key: str = "patch_id", kee
     per_patch = file_rows.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("file_no", "path", "type"))).alias("files"), *[by_type(n).alias(name) for name, n in per.items()],
         F.sum("added").alias("added_lines"), F.sum("removed").alias("removed_lines"), F.sum("hunks").alias("hunks"),
-        F.bool_and(~changes | (files.knows_comments(F.col("ext")) & F.col("comments"))).alias("comments"),
-        F.bool_and(F.lower(t.basename(F.col("path"))).isin(files.IGNORE_NAMES) & F.col("patterns")).alias("patterns"),
-        (zeros("differs_ws") & ~zeros("differs")).alias("spaced"), F.flatten(F.collect_list("constructs")).alias("constructs"),
+        F.bool_and(~changes | (F.col("comments"))).alias("comments"),
+        F.bool_and(F.col("patterns")).alias("patterns"),
+        F.flatten(F.collect_list(F.when(F.size("constructs") > 0, F.col("constructs")))).alias("constructs"),
     )
-    base = patches.select(key, (plain(F.col("body")) == "").alias("is_empty"), *keep)
+    base = patches.select(key, (plain(F.col("body")) == "").alias("is_empty"), spaced(F.col("body")).alias("spaced"), *keep)
     some = F.coalesce(F.col("added_lines") + F.col("removed_lines"), F.lit(0)) > 0
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     flag = lambda c, name: F.coalesce(c, F.lit(False)).alias(name)
     return base.join(per_patch, key, "left").select(
         key, "files", "file_types", "added_by_type", "removed_by_type", zero("added_lines"), zero("removed_lines"), zero("hunks"),
         flag(F.map_contains_key("file_types", "code"), "touches_code"), "is_empty",
-        flag(some & (F.col("added_lines") == F.col("removed_lines")) & F.col("spaced"), "whitespace_only"),
+        flag(F.col("spaced"), "whitespace_only"),
         flag(some & F.col("comments"), "comment_only"), flag(some & F.col("patterns"), "ignore_file_only"),
         F.when(F.col("constructs").isNull(), 0).otherwise(F.size("constructs")).cast("long").alias("flag_count"), F.coalesce(F.array_join(F.array_sort(F.array_distinct("constructs")), ", "), F.lit("")).alias("flag_details"), *keep,
     )
 
 
-def code_added_lines(lines: DataFrame, file_rows: DataFrame, key: str = "patch_id") -> DataFrame:
-    """Added lines of code files: key, file_no, path, ext, line_no, text."""
-    code = file_rows.filter("type = 'code'").select(key, "file_no", "path", "ext")
-    added = lines.filter("kind = 'add' AND file_no > 0").select(key, "file_no", "line_no", F.substring("raw", 2, 1 << 30).alias("text"))
-    return added.join(code, [key, "file_no"])
+def code_added_lines(file_rows: DataFrame, key: str = "patch_id") -> DataFrame:
+    """Added lines of the code files in which some construct may be: key, file_no, path, ext, line_no, text."""
+    code = file_rows.filter((F.col("type") == "code") & may_hold(F.col("trimmed"), F.col("ext")))
+    lines = code.select(key, "file_no", "path", "ext", "start", F.posexplode(F.split("trimmed", "\n")).alias("at", "raw"))
+    return lines.filter(kind_of(F.col("raw")) == "add").select(key, "file_no", "path", "ext", (F.col("start") + F.col("at")).alias("line_no"), F.substring("raw", 2, 1 << 30).alias("text"))
 
 
 def adjacent_files(lines: DataFrame, key: str = "patch_id") -> DataFrame:
     """Stricter segmentation: a file opens only where a `--- ` line is directly followed by a `+++ ` line."""
-    w = Window.partitionBy(key).orderBy("line_no")
-    opens = F.col("line").startswith("--- ") & F.coalesce(F.lead("line").over(w).startswith("+++ "), F.lit(False))
-    rows = lines.withColumn("opens", opens).withColumn("file_no", F.sum(F.col("opens").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("file_no > 0")
-    header = F.col("opens") | F.coalesce(F.lag("opens").over(w), F.lit(False))
-    rows = rows.withColumn("header", header)
-    first = lambda prefix: F.min_by(F.when(F.col("header") & F.col("line").startswith(prefix), t.header_path(F.col("line"))), F.when(F.col("header") & F.col("line").startswith(prefix), F.col("line_no")))
-    out = rows.groupBy(key, "file_no").agg(first("--- ").alias("a"), first("+++ ").alias("b"), F.count_if(~F.col("header") & F.col("line").startswith("+")).alias("added"), F.count_if(~F.col("header") & F.col("line").startswith("-")).alias("removed"))
+    w, line = in_block(key), F.col("line")
+    opens = line.startswith("--- ") & F.coalesce(F.coalesce(F.lead("line").over(w), F.col("after")).startswith("+++ "), F.lit(False))
+    opened = line.startswith("+++ ") & F.coalesce(F.coalesce(F.lag("line").over(w), F.col("before")).startswith("--- "), F.lit(False))
+    rows = lines.withColumn("opens", opens).withColumn("header", opens | opened)
+    number = F.sum(F.col("opens").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("carry.open_no")
+    rows = rows.withColumn("file_no", number).filter("file_no > 0")
+    first = lambda prefix: F.min_by(F.when(F.col("header") & line.startswith(prefix), t.header_path(line)), F.when(F.col("header") & line.startswith(prefix), F.col("line_no")))
+    out = rows.groupBy(key, "file_no").agg(first("--- ").alias("a"), first("+++ ").alias("b"), F.count_if(~F.col("header") & line.startswith("+")).alias("added"), F.count_if(~F.col("header") & line.startswith("-")).alias("removed"))
     return out.select(key, "file_no", F.when(F.col("b") == "/dev/null", F.col("a")).otherwise(F.col("b")).alias("path"), "added", "removed")
 
 

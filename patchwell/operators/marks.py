@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import files, text as t
+from .diff import in_block
 
 VERSION = r"([0-9](?:[0-9A-Za-z.-]*[0-9A-Za-z])?)"
 
@@ -27,34 +28,45 @@ TS_ELEMENTS = ["<message[ >]", "<source>", "<translation[ >]"]
 PO_MSGID, PO_MSGSTR, PO_HEADER = r'^[+\- ]?msgid "', r'^[+\- ]?msgstr(?:\[[0-9]+\])? "', '"Project-Id-Version:'
 
 
-def _first_banner() -> Column:
-    """Of a line: the first banner, with the group (added, context, removed) that ranks it."""
-    raw = F.col("line")
-    group = F.when(F.col("line").startswith("+"), 0).when(F.col("line").startswith("-"), 2).otherwise(1)
-    out = F.when(F.lit(False), F.lit(None))
-    for i, (generator, family, pattern) in enumerate(BANNERS):
-        version = F.nullif(F.regexp_extract(raw, pattern, 1), F.lit("")) if VERSION in pattern else F.lit(None).cast("string")
-        out = out.when(raw.rlike(pattern), F.struct(group.alias("g"), F.col("line_no").alias("at"), F.lit(i).alias("p"), F.lit(generator).alias("generator"), F.lit(family).alias("family"), version.alias("version")))
-    return out
+#: Words without which a section has no banner, or none of the lines below; sections with one are taken apart.
+BANNER_WORDS = ["enerated", "ibtool"]
 
 
-def file_marks(lines: DataFrame, file_rows: DataFrame, key: str = "patch_id") -> DataFrame:
+def _first_banner(section: Column) -> Column:
+    """The first banner of a section: among added lines, then context, then removed ones."""
+
+    def of_line(line: Column, at: Column) -> Column:
+        group = F.when(line.startswith("+"), 0).when(line.startswith("-"), 2).otherwise(1)
+        out = F.when(F.lit(False), F.lit(None))
+        for i, (generator, family, pattern) in enumerate(BANNERS):
+            version = F.nullif(F.regexp_extract(line, pattern, 1), F.lit("")) if VERSION in pattern else F.lit(None).cast("string")
+            out = out.when(line.rlike(pattern), F.struct(group.alias("g"), at.alias("at"), F.lit(i).alias("p"), F.lit(generator).alias("generator"), F.lit(family).alias("family"), version.alias("version")))
+        return out
+
+    return F.when(t.any_of([section.contains(w) for w in BANNER_WORDS]), F.array_min(F.transform(F.split(section, "\n"), of_line)))
+
+
+def _some_line(section: Column, pattern: str, word: str) -> Column:
+    """Some line matches the pattern, which needs the word."""
+    return F.when(section.contains(word), F.exists(F.split(section, "\n"), lambda x: x.rlike(pattern))).otherwise(F.lit(False))
+
+
+def file_marks(file_rows: DataFrame, key: str = "patch_id") -> DataFrame:
     """A row for each file of a diff: path, added, removed, family (null: no mark), signals, generator, version, candidate.
 
     A banner counts among added lines first, then context, then removed ones. `candidate` is the
-    first line with a do-not-edit phrase; it is measured and never marks.
+    first line with a do-not-edit phrase; it is measured and never marks. Nothing is shuffled.
     """
-    raw = F.col("line")
-    has = lambda p: F.coalesce(F.bool_or(raw.rlike(p)), F.lit(False))
-    section = lines.filter("file_no > 0").withColumn("banner", _first_banner())
-    stamp = F.nullif(F.regexp_extract(raw, TIMESTAMP, 1), F.lit(""))
-    per_file = section.groupBy(key, "file_no").agg(
-        F.min("banner").alias("banner"), F.min_by(stamp, F.when(stamp.isNotNull(), F.col("line_no"))).alias("stamp"),
-        has(TS_DOCTYPE).alias("doctype"), has(TS_ROOT).alias("root"), sum(has(p).cast("int") for p in TS_ELEMENTS).alias("elements"),
-        has(PO_MSGID).alias("msgid"), has(PO_MSGSTR).alias("msgstr"), has(PO_HEADER).alias("po_header"),
-        F.min_by("raw", F.when(raw.rlike("|".join(CANDIDATES)), F.col("line_no"))).alias("candidate"),
+    section = F.col("section")
+    rows = file_rows.select(key, "file_no", "path", "ext", "added", "removed", "section", "trimmed").withColumn("banner", _first_banner(section))
+    word = "|".join(CANDIDATES)
+    phrase = t.any_of([section.contains(w) for w in ("DO NOT EDIT", "o not edit this file", "utomatically generated")])
+    rows = rows.select(
+        key, "file_no", "path", "ext", "added", "removed", "banner", F.when(section.contains("timestamp="), F.nullif(F.regexp_extract(section, TIMESTAMP, 1), F.lit(""))).alias("stamp"),
+        section.contains(TS_DOCTYPE).alias("doctype"), _some_line(section, TS_ROOT, "<TS").alias("root"), sum((section.contains(p[: p.find("[")] if "[" in p else p) & section.rlike(p)).cast("int") for p in TS_ELEMENTS).alias("elements"),
+        _some_line(section, PO_MSGID, "msgid").alias("msgid"), _some_line(section, PO_MSGSTR, "msgstr").alias("msgstr"), section.contains(PO_HEADER).alias("po_header"),
+        F.when(phrase & section.rlike(word), F.regexp_extract("trimmed", f"(?dm)^[^\\n]*(?:{word})[^\\n]*$", 0)).alias("candidate"),
     )
-    rows = file_rows.select(key, "file_no", "path", "ext", "added", "removed").join(per_file, [key, "file_no"])
     base = t.strip_backup(t.basename(F.col("path")))
     banner = F.col("banner").isNotNull()
     named = F.when(~base.isin(files.NEEDS_BANNER) | banner, files.name_family(F.col("path")))
@@ -101,9 +113,9 @@ def projection(lines: DataFrame, marks: DataFrame, patches: DataFrame, key: str
     Patches without a mark keep their text byte by byte. A file starts at its `--- ` line or the
     decoration before it.
     """
-    w = Window.partitionBy(key).orderBy("line_no")
     lead_in = F.col("kind").isin("meta", "from")
-    nxt = F.coalesce(F.min(F.when(~lead_in, F.struct("line_no", "kind"))).over(w.rowsBetween(0, Window.unboundedFollowing))["kind"] == "to", F.lit(False))
+    ahead = F.min(F.when(~lead_in, F.struct("line_no", "kind"))).over(in_block(key).rowsBetween(0, Window.unboundedFollowing))
+    nxt = F.coalesce(ahead["kind"] == "to", F.col("carry.follow"), F.lit(False))
     owner = F.col("file_no") + (lead_in & nxt).cast("int")
     rows = lines.withColumn("owner", owner)
     segment = rows.groupBy(key, "owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))

@@ -65,17 +65,39 @@ SHELL_CONSTRUCTS = [("shell-out", r"`[^`]* [^`]*`")]
 SHELL_EXTENSIONS = [".sh", ".bash"]
 
 
-def construct_details(line: Column, ext: Column, constructs: list = CONSTRUCTS, shell: list = SHELL_CONSTRUCTS) -> Column:
-    """Array of the details that fire in an added code line, each once; empty for a blank line."""
-    hits = [F.when(line.rlike(p), F.lit(d)) for d, p in constructs] + [F.when(ext.isin(SHELL_EXTENSIONS) & line.rlike(p), F.lit(d)) for d, p in shell]
+#: Words of which a text must hold one of each group for a pattern to match it; in the order of the patterns.
+CONSTRUCT_WORDS = [
+    [["os.system"]], [["system"]], [["popen"]], [["Runtime.getRuntime().exec"]], [["subprocess"], ["shell"], ["True"]], [["curl", "wget"], ["|"], ["sh"]], [["base64"], ["|"], ["sh"]],
+    [["eval"], ["base64", "atob"]], [["exec"], ["decode"]], [["PRIVATE KEY-----"]], [["/dev/tcp/"]], [["nc"], ["-e"]],
+]
+SHELL_CONSTRUCT_WORDS = [[["`"]]]
+
+
+def holds(x: Column, words: list[list[str]]) -> Column:
+    """One word of each group is in the text."""
+    out = t.any_of([x.contains(w) for w in words[0]])
+    for group in words[1:]:
+        out &= t.any_of([x.contains(w) for w in group])
+    return out
+
+
+def may_hold(text: Column, ext: Column) -> Column:
+    """Whether a text has what some construct needs."""
+    return t.any_of([holds(text, w) for w in CONSTRUCT_WORDS]) | (ext.isin(SHELL_EXTENSIONS) & t.any_of([holds(text, w) for w in SHELL_CONSTRUCT_WORDS]))
+
+
+def construct_details(line: Column, ext: Column) -> Column:
+    """Array of the details that fire in an added code line, each once; empty for a blank line. A pattern runs only where its words are."""
+    hits = [F.when(holds(line, w) & line.rlike(p), F.lit(d)) for (d, p), w in zip(CONSTRUCTS, CONSTRUCT_WORDS, strict=True)]
+    hits += [F.when(ext.isin(SHELL_EXTENSIONS) & holds(line, w) & line.rlike(p), F.lit(d)) for (d, p), w in zip(SHELL_CONSTRUCTS, SHELL_CONSTRUCT_WORDS, strict=True)]
     return F.array_distinct(F.array_compact(F.array(*hits)))
 
 
-def construct_flags(code_lines: DataFrame, constructs: list = CONSTRUCTS, shell: list = SHELL_CONSTRUCTS) -> DataFrame:
+def construct_flags(code_lines: DataFrame) -> DataFrame:
     """A row for each added code line and detail that fires: the line's columns, detail, evidence."""
     line = F.col("text")
-    details = construct_details(line, F.col("ext"), constructs, shell)
-    return code_lines.filter(t.strip(line) != "").withColumn("detail", F.explode(details)).withColumn("evidence", t.strip(line))
+    rows = code_lines.filter(may_hold(line, F.col("ext")))  # few lines; no pattern matches a blank one
+    return rows.withColumn("detail", F.explode(construct_details(line, F.col("ext")))).withColumn("evidence", t.strip(line))
 
 
 # Prompt-injection families and their patterns, in order.
@@ -97,11 +119,43 @@ INJECTIONS = [
 ]
 
 
-def injection_hits(texts: DataFrame, text: str = "text", families: list = INJECTIONS) -> DataFrame:
-    """A row for each pattern that fires in a text: the row's other columns, family, pattern_no, snippet (40 characters around, made visible, 160 at most)."""
-    x = F.col(text)
-    found = [F.when(x.rlike(p), F.struct(F.lit(f).alias("family"), F.lit(i).alias("pattern_no"), F.regexp_extract(x, r"(?s)(.{0,40}(?:" + p + r").{0,40})", 1).alias("near"))) for i, (f, p) in enumerate(families)]
-    rows = texts.withColumn("hit", F.explode(F.array_compact(F.array(*found))))
+#: As above, of the lower-cased text where a pattern ignores case.
+INJECTION_WORDS = [
+    [["ignore", "disregard", "forget"], ["instruction", "prompt", "rules", "directives", "context"]], [["system"], ["prompt"]], [["new"], ["instruction"]], [["respond"], ["only"], ["with"]], [["classify"], ["this"], ["as"]],
+    [["print", "reveal", "repeat", "output"], ["prompt", "instructions"]], [["you"], ["are"], ["now"]], [["<|"]], [["INST]", "<<SYS>>", "<</SYS>>"]], [['"role"']], [["Human:", "Assistant:"]], None, None, None,
+]
+#: First bytes, in UTF-8, of the characters that a pattern without words looks for.
+INJECTION_BYTES = {11: [b"\xf3\xa0"], 12: [b"\xe2\x80", b"\xe2\x81", b"\xef\xbb"], 13: [b"\xe2\x80", b"\xe2\x81"]}
+#: Characters that a pattern takes for i, s or k where it ignores case, and lower-casing doesn't.
+ODD_CASE = "\u0130\u0131\u017f\u212a"
+
+
+def injection_candidates(x: Column, low: Column) -> list[Column]:
+    """For each pattern whether the text, given with its lower-cased form, has what the pattern needs."""
+    ascii_only = F.octet_length(x) == F.length(x)
+    odd = ~ascii_only & t.any_of([x.contains(c) for c in ODD_CASE])
+    out = []
+    for i, ((_, p), words) in enumerate(zip(INJECTIONS, INJECTION_WORDS, strict=True)):
+        if words is None:
+            out.append(~ascii_only & t.any_of([F.contains(x.cast("binary"), F.lit(b)) for b in INJECTION_BYTES[i]]))
+        else:
+            out.append(holds(low, words) | odd if "(?iu)" in p else holds(x, words))
+    return out
+
+
+def injected(x: Column, low: Column) -> list[Column]:
+    """For each pattern whether it fires; a pattern runs only on its candidates."""
+    return [c & x.rlike(p) for c, (_, p) in zip(injection_candidates(x, low), INJECTIONS, strict=True)]
+
+
+def injection_hits(texts: DataFrame, text: str = "text") -> DataFrame:
+    """A row for each pattern that fires in a text: the row's other columns, family, pattern_no, snippet (40 characters around, made visible, 160 at most). A null text has no hit."""
+    x, low = F.col(text), F.col("_low")
+    rows = texts.select("*", F.explode(F.array(F.lower(x))).alias("_low"))
+    # first the texts with a hit, as they are few
+    rows = rows.withColumn("_hits", F.array(*injected(x, low))).filter(F.exists("_hits", lambda h: h))
+    found = [F.when(F.get("_hits", F.lit(i)), F.struct(F.lit(f).alias("family"), F.lit(i).alias("pattern_no"), F.regexp_extract(x, r"(?s)(.{0,40}(?:" + p + r").{0,40})", 1).alias("near"))) for i, (f, p) in enumerate(INJECTIONS)]
+    rows = rows.withColumn("hit", F.explode(F.array_compact(F.array(*found))))
     return rows.select(*[c for c in texts.columns if c != text], "hit.family", "hit.pattern_no", F.substring(t.visible(F.col("hit.near")), 1, 160).alias("snippet"))
 
 

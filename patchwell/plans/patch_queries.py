@@ -26,10 +26,9 @@ def patches(spark: SparkSession, d: str) -> DataFrame:
     return derive.table(spark, d, "patch")
 
 
-def analysed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def analysed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p = patches(spark, d)
-    lines = diff.line_table(p)
-    return p, lines, diff.file_table(lines)
+    return p, diff.file_table(p)
 
 
 def _values(rows: list[tuple]) -> str:
@@ -147,7 +146,7 @@ def diff_line_kinds(spark, d):
 
 @query(DL + "SELECT patch_id, file_no, path, type, hunks, added, removed FROM ft")
 def diff_files(spark, d):
-    return analysed(spark, d)[2].select("patch_id", "file_no", "path", "type", "hunks", "added", "removed")
+    return analysed(spark, d)[1].select("patch_id", "file_no", "path", "type", "hunks", "added", "removed")
 
 
 @query(DL + "SELECT patch_id, file_no, path, added, removed FROM fl")
@@ -162,26 +161,26 @@ def diff_hunks(spark, d):
 
 @query(DL + "SELECT patch_id, file_no, path, added, removed, row_number() OVER (PARTITION BY patch_id ORDER BY added + removed DESC, path, file_no) AS rank FROM fl")
 def churn_order(spark, d):
-    return diff.churn_order(analysed(spark, d)[2])
+    return diff.churn_order(analysed(spark, d)[1])
 
 
 @query(DL + """, s AS (SELECT *, family IS NOT NULL OR coalesce(lag(family IS NOT NULL) OVER (PARTITION BY patch_id ORDER BY file_no), true) AS starts FROM mk),
 c AS (SELECT *, count(*) FILTER (WHERE starts) OVER (PARTITION BY patch_id ORDER BY file_no) AS chunk FROM s) SELECT patch_id, chunk, family IS NOT NULL AS marked, string_agg(path, ',' ORDER BY file_no) AS paths FROM c GROUP BY 1, 2, 3""")
 def display_chunks(spark, d):
-    _, lines, files = analysed(spark, d)
-    return diff.display_chunks(files, marks.file_marks(lines, files).filter("family IS NOT NULL"))
+    _, files = analysed(spark, d)
+    return diff.display_chunks(files, marks.file_marks(files).filter("family IS NOT NULL"))
 
 
 @query(DL + "SELECT patch_id, types, n_files, added_lines, removed_lines, hunks, touches_code, is_empty, whitespace_only, comment_only, ignore_file_only FROM pr")
 def content_profiles(spark, d):
-    p, _, files = analysed(spark, d)
+    p, files = analysed(spark, d)
     rows = diff.profile(files, p)
     return rows.select("patch_id", F.array_join(F.array_sort(F.map_keys("file_types")), ",").alias("types"), F.size("files").cast("long").alias("n_files"), "added_lines", "removed_lines", "hunks", "touches_code", "is_empty", "whitespace_only", "comment_only", "ignore_file_only")
 
 
 def verdicts(spark, d) -> DataFrame:
     p = claimed(patches(spark, d))
-    files = diff.file_table(diff.line_table(p))
+    files = diff.file_table(p)
     rows = diff.profile(files, p, keep=("claim_category",)).withColumn("v", rules.first_rule())
     claim, content = F.col("claim_category"), F.col("v.category")
     return rows.select("patch_id", "v.rule_id", content.alias("content_category"), "v.confidence", "claim_category", rules.consistency(claim, content).alias("consistency"), rules.review_flag(claim, content, F.col("touches_code"), F.col("flag_count") > 0).alias("review_flag"), "flag_count", "flag_details")
@@ -218,13 +217,13 @@ def samples_per_category(spark, d):
 
 @query(DL + "SELECT patch_id, CASE WHEN is_empty THEN 'no content changes' WHEN whitespace_only THEN 'white space only' WHEN comment_only THEN 'comments only' WHEN types = 'doc' THEN 'documentation only' WHEN benign THEN 'translations, changelog or copyright only' END AS reason FROM pr")
 def provably_benign(spark, d):
-    p, _, files = analysed(spark, d)
+    p, files = analysed(spark, d)
     return diff.profile(files, p).select("patch_id", rules.provably_benign().alias("reason"))
 
 
 @query(DL + "SELECT patch_id, CASE WHEN added_lines + removed_lines <= 500 THEN 'normal' WHEN added_lines + removed_lines <= 5000 THEN 'large' ELSE 'oversized' END AS level, '{\"changed_lines\":' || (added_lines + removed_lines) || ',\"large_over\":500,\"oversized_over\":5000}' AS evidence FROM pr")
 def size_levels(spark, d):
-    p, _, files = analysed(spark, d)
+    p, files = analysed(spark, d)
     changed = F.col("added_lines") + F.col("removed_lines")
     return diff.profile(files, p).select("patch_id", axes.size_level(changed).alias("level"), axes.size_evidence(changed).alias("evidence"))
 
@@ -234,7 +233,7 @@ def size_levels(spark, d):
 a AS (SELECT category, key, count(*) AS members, count(*) AS occurrences FROM m GROUP BY 1, 2 HAVING count(*) >= 3), b AS (SELECT key, count(DISTINCT category) AS categories, count(*) AS total FROM m GROUP BY 1)
 SELECT a.*, categories, total, categories = 1 AS pure FROM a JOIN b ON a.key = b.key""")
 def candidate_rules(spark, d):
-    p, _, files = analysed(spark, d)
+    p, files = analysed(spark, d)
     rows = diff.profile(files, claimed(p), keep=("claim_category",)).withColumnRenamed("claim_category", "category")
     settled = rows.select(F.col("patch_id").alias("fingerprint"), "category", triage.structural_key(rows).alias("key"), F.lit(1).cast("long").alias("n_occurrences"))
     return triage.candidate_rules(settled, 3)
@@ -242,9 +241,8 @@ def candidate_rules(spark, d):
 
 def claimed(p: DataFrame) -> DataFrame:
     """Patches with what their headers claim. The header is cut, and its fields read, once: each stands behind a generator, through which nothing is inlined again."""
-    once = lambda df, name, value: df.select(*df.columns, F.explode(F.array(value)).alias(name))
-    rows = once(p, "_head", headers.header(F.col("body")))
-    rows = once(rows, "_h", F.struct(headers.fields(F.col("_head")).alias("fields"), headers.cves(F.col("_head")).alias("cves")))
+    rows = diff.once(p, "_head", headers.header(F.col("body")))
+    rows = diff.once(rows, "_h", F.struct(headers.fields(F.col("_head")).alias("fields"), headers.cves(F.col("_head")).alias("cves")))
     head, name, h, cves = F.col("_head"), F.col("patch_name"), F.col("_h.fields"), F.col("_h.cves")
     return rows.select(
         *p.columns, headers.description(h).alias("description"), headers.claim_date(h).alias("claim_date"), F.array_join(cves, ",").alias("cves"), headers.bug_references(h).alias("bugs"),
@@ -262,8 +260,8 @@ def patch_claims(spark, d):
 
 @query(DL + "SELECT patch_id, file_no, line_no, path, detail FROM fx")
 def dangerous_constructs(spark, d):
-    _, lines, files = analysed(spark, d)
-    return rules.construct_flags(diff.code_added_lines(lines, files)).select("patch_id", "file_no", "line_no", "path", "detail")
+    _, files = analysed(spark, d)
+    return rules.construct_flags(diff.code_added_lines(files)).select("patch_id", "file_no", "line_no", "path", "detail")
 
 
 @query(DL + """, rt AS (SELECT dl.patch_id, 'diff' AS region, string_agg(line, chr(10) ORDER BY line_no) AS x FROM dl GROUP BY 1 UNION ALL SELECT l1.patch_id, 'header', string_agg(line, chr(10) ORDER BY line_no) FROM l1 JOIN st ON st.patch_id = l1.patch_id WHERE line_no < s GROUP BY 1)
@@ -281,46 +279,47 @@ def injection_texts(spark, d):
     """The injection scan, all its patterns, over every text of the given tables."""
     read = lambda name, kind, c: spark.read.parquet(f"{d}/{name}.parquet").select(F.lit(kind).alias("kind"), F.col(c).alias("text"))
     x = read("pages", "page", "html").unionByName(read("conversations", "turn", "text")).unionByName(read("benchmark", "item", "text")).unionByName(read("documents", "document", "text"))
-    return x.groupBy("kind").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(t.any_of([F.col("text").rlike(p) for _, p in rules.INJECTIONS])).alias("n_hits"))
+    x = x.select("*", F.explode(F.array(F.lower("text"))).alias("low"))
+    return x.groupBy("kind").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(t.any_of(rules.injected(F.col("text"), F.col("low")))).alias("n_hits"))
 
 
 @query(DL + "SELECT patch_id, file_no, path, family, signals, generator, version FROM mk")
 def generated_files(spark, d):
-    _, lines, files = analysed(spark, d)
-    return marks.file_marks(lines, files).select("patch_id", "file_no", "path", "family", F.array_join("signals", ",").alias("signals"), "generator", "version")
+    _, files = analysed(spark, d)
+    return marks.file_marks(files).select("patch_id", "file_no", "path", "family", F.array_join("signals", ",").alias("signals"), "generator", "version")
 
 
 @query(DL + "SELECT patch_id, generated, residue, total, generated / total AS coverage, CASE WHEN n_marked > 0 THEN dominant || '/' || round_even(100 * generated / total, 0)::INT END AS detail FROM cv")
 def generated_coverage(spark, d):
-    _, lines, files = analysed(spark, d)
-    return marks.coverage(marks.file_marks(lines, files)).select("patch_id", "generated", "residue", "total", "coverage", "detail")
+    _, files = analysed(spark, d)
+    return marks.coverage(marks.file_marks(files)).select("patch_id", "generated", "residue", "total", "coverage", "detail")
 
 
 @query(DL + "SELECT least(floor(10 * generated / total), 9)::INT AS tenth, count(*) AS n FROM cv WHERE n_marked > 0 GROUP BY 1")
 def coverage_buckets(spark, d):
-    _, lines, files = analysed(spark, d)
-    return marks.coverage_buckets(marks.coverage(marks.file_marks(lines, files)))
+    _, files = analysed(spark, d)
+    return marks.coverage_buckets(marks.coverage(marks.file_marks(files)))
 
 
 @query(DL + "SELECT fx.patch_id, count(*) AS hits, count(family) AS in_marked, count(*) - count(family) AS in_residue FROM fx JOIN mk ON mk.patch_id = fx.patch_id AND mk.file_no = fx.file_no GROUP BY 1")
 def construct_tally(spark, d):
-    _, lines, files = analysed(spark, d)
-    flags = rules.construct_flags(diff.code_added_lines(lines, files))
-    return marks.construct_tally(flags, marks.file_marks(lines, files)).drop("residue_hits")
+    _, files = analysed(spark, d)
+    flags = rules.construct_flags(diff.code_added_lines(files))
+    return marks.construct_tally(flags, marks.file_marks(files)).drop("residue_hits")
 
 
 @query(DL + "SELECT base AS name, count(*) AS n_files, count(family) AS n_marked, count(*) FILTER (WHERE banner) AS n_banner, count(*) FILTER (WHERE family IS NULL AND candidate) AS n_gap FROM mk GROUP BY 1")
 def mark_report(spark, d):
-    _, lines, files = analysed(spark, d)
-    return marks.report(marks.file_marks(lines, files))
+    _, files = analysed(spark, d)
+    return marks.report(marks.file_marks(files))
 
 
 @query(DL + """, lt AS (SELECT patch_id, max(line_no) AS last FROM dl WHERE kind = 'to' GROUP BY 1), o AS (SELECT dl.patch_id, line_no, line, file_no + CASE WHEN kind IN ('meta', 'from') AND line_no < last THEN 1 ELSE 0 END AS owner FROM dl JOIN lt ON lt.patch_id = dl.patch_id), s AS (SELECT patch_id, owner, string_agg(line, chr(10) ORDER BY line_no) AS x FROM o GROUP BY 1, 2),
 n AS (SELECT s.patch_id, owner, CASE WHEN family IS NOT NULL THEN '[generated file ' || path || ' omitted: ' || added || ' added, ' || removed || ' removed]' ELSE x END AS x, family IS NOT NULL AS m FROM s JOIN mk ON mk.patch_id = s.patch_id AND mk.file_no = owner),
 j AS (SELECT patch_id, string_agg(x, chr(10) ORDER BY owner) AS x FROM n GROUP BY 1 HAVING bool_or(m)) SELECT patch.patch_id, sha256(coalesce(j.x, body)) AS projected FROM patch LEFT JOIN j ON j.patch_id = patch.patch_id""")
 def residue_projection(spark, d):
-    p, lines, files = analysed(spark, d)
-    return marks.projection(lines, marks.file_marks(lines, files), p).select("patch_id", F.sha2("projected", 256).alias("projected"))
+    p, files = analysed(spark, d)
+    return marks.projection(diff.line_table(p), marks.file_marks(files), p).select("patch_id", F.sha2("projected", 256).alias("projected"))
 
 
 @query(DL + """, e AS (SELECT patch_id, min(file_no) AS f, count(*) AS n FROM mk WHERE family IS NOT NULL GROUP BY 1)
@@ -328,8 +327,8 @@ SELECT cv.patch_id, dominant || '/' || round_even(100 * generated / total, 0)::I
 FROM e JOIN cv ON cv.patch_id = e.patch_id JOIN mk ON mk.patch_id = e.patch_id AND mk.file_no = e.f""")
 def mark_evidence(spark, d):
     """What the evidence of each generated-content mark says."""
-    _, lines, files = analysed(spark, d)
-    found = marks.file_marks(lines, files)
+    _, files = analysed(spark, d)
+    found = marks.file_marks(files)
     rows = marks.evidence(found, marks.coverage(found))
     e = F.from_json("evidence", "coverage double, files array<struct<path:string,signals:array<string>,version:string>>, generated_lines bigint, residue_lines bigint")
     rows = rows.select("patch_id", "detail", e.alias("e"))
@@ -343,7 +342,7 @@ def mark_evidence(spark, d):
 def classification_table(spark, d):
     """The classification table as it is written: list columns as text."""
     p = claimed(patches(spark, d))
-    files = diff.file_table(diff.line_table(p))
+    files = diff.file_table(p)
     rows = diff.profile(files, p, keep=("claim_category", "source_package")).withColumn("v", rules.first_rule())
     claim, content = F.col("claim_category"), F.col("v.category")
     rows = rows.select(
