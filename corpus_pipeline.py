@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents. Rows without a doc_id
-go with exact dedup, which names what stays by doc_id.
+go with SimHash dedup, which names what stays by doc_id.
 """
 
 from __future__ import annotations
@@ -17,32 +17,37 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted language isn't told with a score of 0.4 or more go: null, empty, not one letter, or like no learned language.
 
     Ties go to the first language by name, so they don't matter here; repeated rows stay or go
-    together; where no row has a language, all texts with a letter stay.
+    together; where no row has a language, all texts with a letter stay. Of very long texts all is counted. An empty table gives no rows.
     """
     return language_id.reject(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z lower-cased, null as empty) the row with the largest doc_id stays.
+    """Of equal texts (A-Z lower-cased, null as empty) one row stays: of those with the largest doc_id, or where none has an id.
 
-    Rows with that doc_id and other texts of their own stay as well; of rows that repeat both doc_id
-    and text one stays. Rows without a doc_id go. An empty table gives no rows.
+    A row is selected by id and text: rows that share an id stay or go each with its text, and of rows that
+    repeat both, or the text without an id, one stays. Long texts count whole. An empty table gives no rows.
     """
-    found = store(exact_dedup.deduplicate(docs).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")), "kept")
-    rows = having_ids(docs, found.select("doc_id").distinct(), "doc_id")
-    again = found.filter("n > 1").select("doc_id").distinct()
-    if again.isEmpty():
+    found = store(exact_dedup.deduplicate(docs).select("doc_id", "keep_id", "kept", "text_sha256"), "found")
+    ids = store(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or("kept").alias("kept")).filter("kept"), "kept")
+    rows = having_ids(docs, ids.filter("n = 1").select("doc_id"), "doc_id")
+    again = ids.filter("n > 1").select("doc_id")
+    pairs = store(having_ids(found.filter("kept"), again, "doc_id").unionByName(found.filter("keep_id IS NULL")).select("doc_id", "text_sha256").distinct(), "pairs")
+    if pairs.isEmpty():
         return rows
-    whole, text = F.struct("*"), F.sha2(exact_dedup.normalised(F.col("text")), 256)
-    one = having_ids(rows, again, "doc_id").select(whole.alias("row"), text.alias("text")).groupBy("row.doc_id", "text").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
-    return rows.join(sized(again), "doc_id", "left_anti").unionByName(one.select("row.*"))
+    whole, text = F.struct("*").alias("row"), F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("text")
+    some = having_ids(docs, again, "doc_id").unionByName(docs.filter("doc_id IS NULL")).select(whole, text)
+    one = some.groupBy("row.doc_id", "text").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    wanted = pairs.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("text"))
+    return rows.unionByName(one.join(wanted, (one["text"] == wanted["text"]) & one["doc_id"].eqNullSafe(wanted["id"]), "left_semi").select("row.*"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the one with the smallest doc_id stays, with all rows that have this doc_id.
 
     Near is what op10 links: 4 or fewer differing bits of 64 over 4-word shingles. Texts without a
-    word have one fingerprint, so one of them stays.
+    word have one fingerprint, so one of them stays. Rows without a doc_id go; long texts count whole, and an
+    empty table gives no rows.
     """
     found = simhash_dedup.near_duplicates(docs)
     return having_ids(docs, store(found.filter("doc_id = component_id").select("doc_id").distinct(), "firsts"), "doc_id")
@@ -52,8 +57,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it, at most three times, whatever names other columns have.
 
     Ties in size are in order of the id's md5. Rows that repeat doc_id, source and size share what the
-    mix takes of them, so it stays at its targets. Null texts and texts without a word have size 0. An empty table gives
-    no rows.
+    mix takes of them, so it stays at its targets. Null texts and texts without a word have size 0, very long ones their
+    whole size. An empty table gives no rows.
     """
     mix, whole = mixing.mix(docs), F.struct("*").alias("row")
     taken = store(mix.groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")), "copies")
@@ -72,6 +77,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and their digests for each row; null counts as the empty text, an empty table gives no rows.
+    A very long text is encoded unit by unit.
 
     Workers remember few units here, as they also hold what the stages before have loaded.
     """
