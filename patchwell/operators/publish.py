@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schemas
+from ..sources import commits, readers
 
 
 def _map(df: DataFrame, key: str, value: Column) -> DataFrame:
@@ -46,6 +49,22 @@ def verdict_lines(rows: DataFrame) -> DataFrame:
     return rows.select("fingerprint", F.to_json(F.struct("category", "confidence", "kind", "reach", "reason", "reviewability", "risk")).alias("value"))
 
 
+def verdict_document(rows: DataFrame, release: str, generated_at: str) -> DataFrame:
+    """The verdict bundle of `verdict_rows` as one row of compact JSON; one document by its format, as `bundle`."""
+    entry = F.struct("category", "kind", "confidence", "reason", "risk", "reach", "reviewability")
+    whole = _map(rows, "fingerprint", entry).withColumnRenamed("m", "verdicts")
+    return whole.select(F.to_json(F.struct(F.lit(schemas.BUNDLE_VERSION).alias("schema"), F.lit(release).alias("release"), F.lit(generated_at).alias("generated_at"), "verdicts")).alias("value"))
+
+
+def write_index(known: DataFrame, path: str) -> None:
+    """Known fingerprints in folders by their first two characters, sorted in each: a prefix reads one folder of it."""
+    spark, folder = known.sparkSession, commits.new_folder()
+    rows = known.select("fingerprint").distinct().withColumn("prefix", F.substring("fingerprint", 1, 2))
+    rows.repartitionByRange("fingerprint").sortWithinPartitions("fingerprint").write.partitionBy("prefix").parquet(f"{path}/{folder}")
+    commits.commit(spark, path, {"folder": folder})
+    commits.keep_last(spark, path)
+
+
 def patch_verdicts(patches: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Patches with their verdict, where there is one."""
     return patches.join(verdicts, "fingerprint", "left")
@@ -61,13 +80,18 @@ def shards(rows: DataFrame, at: str) -> DataFrame:
 
 
 def write_export(rows: DataFrame, at: str, path: str) -> DataFrame:
-    """JSON lines in one folder a month, in id order, null columns left out; returns the manifest (month, n).
+    """JSON lines in one folder a month, in id order, null columns left out; returns the manifest (month, n, version) that is committed with them.
 
     Rows are dealt by ranges of (month, id): a large month, or all rows without a date, is many files in order of id.
+    The manifest counts what the files hold, and is written last: until then, and after a failure, readers see the export before.
     """
-    out = shards(rows, at)
-    out.repartitionByRange("month", "id").sortWithinPartitions("month", "id").write.mode("overwrite").partitionBy("month").json(path)
-    return out.groupBy("month").agg(F.count(F.lit(1)).alias("n")).withColumn("version", F.lit(schemas.EXPORT_VERSION))
+    spark, folder = rows.sparkSession, commits.new_folder()
+    shards(rows, at).repartitionByRange("month", "id").sortWithinPartitions("month", "id").write.partitionBy("month").json(f"{path}/{folder}")
+    written = spark.read.schema("id bigint, month string").json(f"{path}/{folder}").groupBy("month").agg(F.count(F.lit(1)).alias("n"))
+    months = {r["month"]: r["n"] for r in written.collect()}  # a row a month
+    commits.commit(spark, path, {"folder": folder, "version": schemas.EXPORT_VERSION, "rows": sum(months.values()), "months": months})
+    commits.keep_last(spark, path)
+    return readers.export_manifest(spark, path)
 
 
 def work_list_rows(bundle_rows: DataFrame) -> DataFrame:
@@ -87,10 +111,47 @@ def new_bodies(fetched: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def write_snapshot(rows: DataFrame, path: str, anchor: str | None = None) -> None:
-    """Replace a snapshot; an empty one, or one whose anchor column has no positive value, is refused."""
-    if rows.isEmpty() or (anchor is not None and not (rows.agg(F.max(anchor)).first()[0] or 0) > 0):
+    """Replace a snapshot; an empty one, or one whose anchor column has no positive value, is refused.
+
+    The rows are worked out once, into a folder of their own, and judged there; readers see the snapshot before until the new one is
+    committed.
+    """
+    spark, folder = rows.sparkSession, commits.new_folder()
+    rows.write.parquet(f"{path}/{folder}")
+    written = spark.read.schema(rows.schema).parquet(f"{path}/{folder}")
+    n, most = written.agg(F.count(F.lit(1)), F.max(anchor) if anchor else F.lit(1)).first()
+    if not n or not (most or 0) > 0:
+        commits.drop(spark, f"{path}/{folder}")
         raise ValueError("refusing to replace a snapshot by an empty one")
-    rows.write.mode("overwrite").parquet(path)
+    commits.commit(spark, path, {"folder": folder, "rows": n})
+    commits.keep_last(spark, path)
+
+
+def build_corpus(work: DataFrame, fetch: Callable[[DataFrame], DataFrame], path: str, steps: int = 16) -> None:
+    """Acquire the work (source, version) that has no terminal outcome yet, in steps that are each committed; failed fetches are tried again.
+
+    `fetch` gives (source, version, format, texts: patch name to body, or null) for each row of work. A step fetches its share
+    once, adds the bodies that aren't stored, by their digest and in folders by its first characters, and commits its outcome and
+    patch rows last. A build that is stopped goes on where it was: bodies without a commit are found again, and no outcome is without its bodies.
+    """
+    spark = work.sparkSession
+    share = F.pmod(F.xxhash64("source", "version"), F.lit(steps))
+    for step in range(steps):
+        todo = acquisition(work.filter(share == step).select("source", "version").distinct(), readers.corpus_outcomes(spark, path))
+        if todo.isEmpty():
+            continue
+        folder = commits.new_folder()
+        fetch(todo).select("source", "version", "format", "texts").write.parquet(f"{path}/{folder}/fetched")
+        fetched = spark.read.parquet(f"{path}/{folder}/fetched")
+        patches = fetched.select("source", "version", F.explode("texts").alias("patch_name", "body"))
+        prefix = F.substring("sha", 1, 2)
+        new = new_bodies(patches, readers.corpus_bodies(spark, path)).withColumn("prefix", prefix)
+        new.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(f"{path}/bodies")
+        patches.select(F.col("source").alias("source_package"), "version", "patch_name", F.sha2("body", 256).alias("raw_sha256")).write.parquet(f"{path}/{folder}/patches")
+        outcome = readers.source_outcome(fetched).join(fetched.select("source", "version", F.col("format").alias("source_format"), F.coalesce(F.size("texts"), F.lit(0)).alias("n")), ["source", "version"])
+        outcome.select(F.col("source").alias("source_package"), "version", "state", "source_format", F.greatest("n", F.lit(0)).alias("n_patches"), "error").write.parquet(f"{path}/{folder}/packages")
+        commits.commit(spark, path, {"folder": folder})
+        commits.drop(spark, f"{path}/{folder}/fetched")
 
 
 def classification_rows(classified: DataFrame) -> DataFrame:

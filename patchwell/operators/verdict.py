@@ -20,13 +20,40 @@ def confidence_rank(confidence: Column) -> Column:
     return F.when(confidence == "high", 2).when(confidence == "medium", 1).when(confidence == "low", 0).otherwise(-1)
 
 
+def _winner() -> tuple[Column, Column]:
+    """What a verdict keeps of a decision, and what decisions are compared by."""
+    key = F.struct(decision_rank().alias("rank"), F.coalesce("decided_at", F.lit("")).alias("at"), confidence_rank(F.col("confidence")).alias("c"), F.col("id").alias("i"))
+    return F.struct("category", "decided_by", "rule_version", "kind", "confidence", "evidence", "decided_at", F.col("id").alias("decision_id")), key
+
+
 def current(live_decisions: DataFrame) -> DataFrame:
     """One winner a fingerprint: rank, then decided_at (null lowest), confidence, id. Partial aggregation, no sort."""
-    key = F.struct(decision_rank().alias("rank"), F.coalesce("decided_at", F.lit("")).alias("at"), confidence_rank(F.col("confidence")).alias("c"), F.col("id").alias("i"))
-    row = F.struct("category", "decided_by", "rule_version", "kind", "confidence", "evidence", "decided_at", F.col("id").alias("decision_id"))
+    row, key = _winner()
     return live_decisions.groupBy("fingerprint").agg(F.max_by(row, key).alias("v")).select("fingerprint", "v.*")
 
 
+def maintained(before: DataFrame | None, appended: DataFrame, stamps: DataFrame, live_decisions: DataFrame) -> DataFrame:
+    """The table of verdicts with the keys they won by (fingerprint, v, key), after a batch of appended decisions and new stamps.
+
+    `before` is the table before the batch (None: nothing yet), `live_decisions` all that are live after it. A verdict is
+    worked out anew only where a stamp names the decision that had won; elsewhere the winner meets the appended rows alone, so
+    the old decisions of fingerprints without such a stamp are not compared. Equal to `current`, with `verdicts`.
+    """
+    row, key = _winner()
+    stamped = stamps.filter(F.col("table") == "decision").select("id").distinct()
+    added = appended.join(stamped, "id", "left_anti").select("fingerprint", row.alias("v"), key.alias("key"))
+    if before is not None:
+        lost = before.join(stamped.select(F.col("id").alias("lost")), F.col("key.i") == F.col("lost"), "left_semi").select("fingerprint")
+        anew = live_decisions.join(lost, "fingerprint", "left_semi").select("fingerprint", row.alias("v"), key.alias("key"))
+        added = before.join(lost, "fingerprint", "left_anti").unionByName(anew).unionByName(added)
+    return added.groupBy("fingerprint").agg(F.max_by("v", "key").alias("v"), F.max("key").alias("key"))
+
+
+def verdicts(table: DataFrame) -> DataFrame:
+    """The verdicts of a maintained table, as `current` gives them."""
+    return table.select("fingerprint", "v.*")
+
+
 def residue(decisions: DataFrame, live_decisions: DataFrame) -> DataFrame:
     """Fingerprints whose verdict is unknown, or whose decisions are all superseded; in order."""
     unknown = current(live_decisions).filter("category = 'unknown'").select("fingerprint")

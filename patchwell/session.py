@@ -10,6 +10,17 @@ from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
 _shipped: set[str] = set()
+_own: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder of this application that every executor sees, under spark.checkpoint.dir; a local one only where the session names none and there is one machine, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not named and not _own:
+        _own.append(tempfile.mkdtemp(prefix="patchwell-"))
+    return f"{named or _own[0]}/patchwell-tables/{spark.sparkContext.applicationId}"
 
 
 def ship(spark: SparkSession) -> None:

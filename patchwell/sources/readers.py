@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..functions import text as t
+from . import commits
 
 # Statuses of a tracker, best first.
 STATUS_ORDER = ["resolved", "open", "undetermined"]
@@ -120,6 +122,67 @@ def bundle(spark: SparkSession, path: str, release: str) -> tuple[DataFrame, Dat
     return doc.select(F.explode("staleness").alias("source", "newest")), d
 
 
+def _committed(spark: SparkSession, path: str) -> tuple[str, dict]:
+    entry = commits.latest(spark, path)
+    if entry is None:
+        raise FileNotFoundError(f"nothing is committed in {path}")
+    return f"{path}/{entry['folder']}", entry
+
+
+def verdict_bundle(spark: SparkSession, path: str, release: str) -> DataFrame:
+    """(fingerprint, category, kind, ...) of a verdict bundle; another schema version or release is an error."""
+    doc = schemas.expect_version(spark.read.schema(schemas.VERDICT_BUNDLE).json(path), "schema", schemas.BUNDLE_VERSION)
+    doc = doc.filter(F.when(F.col("release") == release, F.lit(True)).otherwise(F.raise_error(F.lit("bundle of another release")).cast("boolean")))
+    return doc.select(F.explode("verdicts").alias("fingerprint", "e")).select("fingerprint", "e.*")
+
+
 def export(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of an export written by publish.write_export; columns that were null are null again."""
-    return spark.read.schema(schema + ", month string").json(path).drop("month")
+    """Rows of the last export that publish.write_export has committed; columns that were null are null again."""
+    folder, entry = _committed(spark, path)
+    if entry["version"] != schemas.EXPORT_VERSION:
+        raise ValueError(f"unknown export version: {entry['version']}")
+    return spark.read.schema(schema + ", month string").json(folder).drop("month")
+
+
+def export_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(month, n, version) of the last committed export."""
+    _, entry = _committed(spark, path)
+    return spark.createDataFrame([(m, n, entry["version"]) for m, n in sorted(entry["months"].items())], "month string, n bigint, version int")
+
+
+def snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The last committed snapshot."""
+    return spark.read.parquet(_committed(spark, path)[0])
+
+
+def known_index(spark: SparkSession, path: str, prefix: str) -> DataFrame:
+    """Fingerprints of an index of publish.write_index that may start with a prefix: of one folder, if it has two characters or more."""
+    rows = spark.read.schema("fingerprint string, prefix string").parquet(_committed(spark, path)[0])
+    return (rows.filter(F.col("prefix") == prefix[:2]) if len(prefix) >= 2 else rows).select("fingerprint")
+
+
+def _steps(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """One table of all committed steps of a corpus build; empty before the first."""
+    folders = [f"{path}/{commits.read(spark, path, n)['folder']}/{name}" for n in commits.numbers(spark, path)]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def corpus_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """Outcome rows of a corpus build; a package that was tried again has several, of which the last without a failed fetch counts."""
+    return _steps(spark, path, "packages", "source_package string, version string, state string, source_format string, n_patches int, error string")
+
+
+def corpus_patches(spark: SparkSession, path: str) -> DataFrame:
+    """Patch rows of a corpus build."""
+    return _steps(spark, path, "patches", schemas.PROVENANCE_ROWS)
+
+
+def corpus_bodies(spark: SparkSession, path: str) -> DataFrame:
+    """(sha, body, prefix) of all bodies stored, those of a step that was stopped included."""
+    schema = "sha string, body string, prefix string"
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/bodies")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
