@@ -35,20 +35,25 @@ SALTS = 32
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 DROPPED = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "label", "fieldset", "dialog", "menu", "svg", "canvas", "audio", "video", "object", "map", "datalist"} | RAW
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "button", "label"}
 MAIN = {"article", "main"}
 TITLED = {"section", "h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu", "menubar", "status"}
-UNWANTED = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "discussion", "disqus", "footer", "footnotes", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pager", "pagination", "paywall", "popup", "promo", "promoted", "promotion", "related", "replies", "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets"}
+UNWANTED = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pager", "pagination", "paywall", "popup", "promo", "promoted", "promotion", "related", "replies", "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets"}
+COMMENTS = {"comment", "comments", "commentlist", "replies", "respond", "disqus"}
+# Unwanted outside an article; inside it they may name a part of it.
+OUTSIDE = {"related", "social"}
 # What may stand beside an unwanted word in a class or id that still says nothing else.
-AROUND = {"area", "bar", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "desktop", "form", "global", "group", "header", "holder", "id", "inner", "item", "items", "left", "links", "list", "main", "mobile", "outer", "page", "panel", "policy", "primary", "rail", "right", "row", "secondary", "section", "site", "slot", "sticky", "top", "unit", "wrap", "wrapper", "zone"}
+AROUND = {"area", "bar", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "desktop", "form", "global", "group", "header", "holder", "id", "inner", "item", "items", "left", "links", "list", "main", "mobile", "outer", "page", "panel", "policy", "primary", "rail", "right", "row", "secondary", "section", "site", "slot", "sticky", "top", "unit", "wrap", "wrapper", "zone", "post", "posts", "story", "stories", "card", "cards", "frame", "placeholder", "leaderboard", "rectangle", "native", "google", "reader", "readers", "user", "users", "visitor", "visitors", "guest", "thread", "threads", "count", "author", "body", "text", "meta", "x"}
 # Classes that tell what an element has beside it, not what it is.
 STATE = re.compile(r"(?:has|no|with|without)[-_]", re.I)
 # An open element of the first kind ends where one of its set begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
-TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(\bhidden\b)", re.S)
+TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)|[^<]+|<", re.S)
+# The rest of a tag, by the quotes that count: both, one kind, none.
+RESTS = {quotes: re.compile("(?:[^>" + quotes + "]++" + "".join(f"|{q}[^{q}]*+{q}" for q in quotes) + ")*+") for quotes in ("\"'", '"', "'", "")}
+ATTRIBUTE = re.compile(r"([^\s=\"'/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
 RAW_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
 HOST = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
@@ -65,43 +70,65 @@ class Element:
 BY_NAME, BY_CLASS = 2, 1
 
 
-def unwanted(token: str) -> bool:
+def unwanted(token: str, names: set[str]) -> bool:
     """A class name or id of unwanted words and those that may stand around them: cookie-bar, but not related-work."""
     words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if w]
-    return not UNWANTED.isdisjoint(words) and all(w in UNWANTED or w in AROUND for w in words)
+    return not names.isdisjoint(words) and all(w in UNWANTED or w in COMMENTS or w in AROUND for w in words)
+
+
+def in_sentence(parent: Element) -> bool:
+    """What comes next follows words of the same block."""
+    while True:
+        if any(isinstance(c, str) and c.strip() for c in parent.children):
+            return True
+        if parent.name not in INLINE or parent.parent is None:
+            return False
+        parent = parent.parent
 
 
 def opened(name: str, attributes: str, parent: Element, in_main: bool) -> Element:
     said, mark, hidden = False, "", False
     if attributes:
-        for key, a, b, c, bare in ATTRIBUTE.findall(attributes):
+        names = set() if name in INLINE or name in ("body", "html") else COMMENTS if name in MAIN else UNWANTED | COMMENTS if not in_main else (UNWANTED - OUTSIDE) | COMMENTS
+        for key, a, b, c in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), a or b or c
             if key in ("class", "id"):
-                if key == "class" or name not in TITLED:  # an id of a heading or section is its title
-                    said |= any(unwanted(v) for v in value.split() if not STATE.match(v))
+                mine = names & COMMENTS if key == "id" and name in TITLED else names  # an id of a heading or section is its title
+                said |= any(unwanted(v, mine) for v in value.split() if not STATE.match(v))
                 if key == "class":
                     mark = "." + " ".join(sorted(value.split()))
             elif key == "role" and value.lower() in ROLES:
                 hidden = True
-            hidden |= bare == "hidden" or key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value, re.I) is not None) or (key == "aria-hidden" and value == "true")
-    drop = BY_NAME if name in DROPPED or hidden or (name == "header" and not in_main) else BY_CLASS if said and name not in MAIN and name not in ("body", "html") else 0
+            hidden |= key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value, re.I) is not None) or (key == "aria-hidden" and value == "true")
+    by_name = name in DROPPED and not (name in ("button", "label") and in_sentence(parent))
+    drop = BY_NAME if by_name or hidden or (name == "header" and not in_main) else BY_CLASS if said else 0
     return Element(name, parent, xxhash.xxh64_intdigest(name + mark, parent.place), drop)
 
 
 def parsed(html: str) -> Element:
-    """The page's tree. Unclosed elements end with their parent; stray end tags are ignored."""
+    """The page's tree. Unclosed elements end with their parent; stray end tags are ignored.
+
+    A tag without its > is text. Where a quote in a tag isn't closed, or a > is only in quotes, that kind of quote means
+    nothing from there on, so each kind is looked for in vain once, and the time is in proportion to the page.
+    """
     top = here = Element("", None, 0, 0)
     mains, at = 0, 0
     inside: dict[str, int] = {}  # open elements by name, so that a stray end tag costs nothing
-    find = TOKENS.match
+    find, closing, quotes = TOKENS.match, html.rfind(">"), "\"'"
     while (m := find(html, at)) is not None:
         at = m.end()
         name = m[2]
-        if name is None:
+        if name is None or at > closing:
             t = m[0]
-            if t[:2] not in ("<!", "<?"):
+            if name is not None or t[:2] not in ("<!", "<?"):
                 here.children.append(t)
             continue
+        end = RESTS[quotes].match(html, at).end()
+        while html[end : end + 1] != ">":
+            stuck = html[end : end + 1]
+            quotes = quotes.replace(stuck, "") if stuck else ""
+            end = RESTS[quotes].match(html, at).end()
+        attributes, at = html[at:end], end + 1
         name = name.lower()
         if m[1]:
             if inside.get(name):
@@ -126,12 +153,12 @@ def parsed(html: str) -> Element:
             while last is not None and here is not last.parent:
                 inside[here.name] -= 1
                 here = here.parent
-        new = opened(name, m[3], here, mains > 0)
+        new = opened(name, attributes, here, mains > 0)
         here.children.append(new)
         if name in RAW:
             end = RAW_END[name].search(html, at)
             at = end.end() if end else len(html)
-        elif name not in VOID and not m[3].endswith("/"):
+        elif name not in VOID and not attributes.endswith("/"):
             here = new
             inside[name] = inside.get(name, 0) + 1
             mains += name in MAIN
@@ -190,18 +217,13 @@ def bodies(top: Element) -> list[Element]:
 def main_text(html: str | None, low: frozenset[int] = frozenset()) -> str:
     """Main text of one page; `low`: places of low importance on its host.
 
-    The tree takes at most half of an article: where all pages of a host are copies of one, what
-    repeats is the text itself. Where nothing would be left the tree, then the class words don't count.
+    Where nothing would be left the tree, then the class words don't count.
     """
     if not html:
         return ""
     top = parsed(html)
     found = bodies(top)
-    whole = joined(found or [top])
-    text = joined(found or [top], low) if low else whole
-    if not text or (found and 2 * len(text) < len(whole)):
-        text = whole
-    return text or joined(found or [top], drop=BY_NAME)
+    return joined(found or [top], low) or joined(found or [top]) or joined(found or [top], drop=BY_NAME)
 
 
 def own_text(e: Element) -> str:
@@ -287,7 +309,7 @@ def site(url: Column) -> Column:
 
 
 def merged(pages: DataFrame) -> DataFrame:
-    """(site, place, parent, pages, blocks, layout, content) of every place of the merged trees; pages are distinct ones, site is the host's hash."""
+    """(site, place, parent, pages, blocks, layout, content) of every place of the merged trees; pages of one html count once, as what repeats in copies of a page is the page itself. site is the host's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, 2, 8 << 20):
@@ -296,7 +318,7 @@ def merged(pages: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["site", "page", "place", "parent", "is_text", "value", "blocks"])
 
-    seen = pages.select(site(F.col("url")).alias("site"), F.xxhash64("page_id", "url").alias("page"), "html").mapInArrow(run, "site bigint, page bigint, place bigint, parent bigint, is_text boolean, value bigint, blocks bigint").distinct()
+    seen = pages.select(site(F.col("url")).alias("site"), F.xxhash64("html").alias("page"), "html").mapInArrow(run, "site bigint, page bigint, place bigint, parent bigint, is_text boolean, value bigint, blocks bigint").distinct()
     # one row a place and page, to count pages, beside those of layouts and texts
     kinds = F.array(F.struct(F.when(F.col("is_text"), 1).otherwise(0).alias("kind"), "value"), F.struct(F.lit(2).alias("kind"), F.col("page").alias("value")))
     counts = seen.withColumn("f", F.explode(kinds)).groupBy("site", "place", "parent", "f").agg(F.count(F.lit(1)).alias("n"), F.sum("blocks").alias("blocks"))
@@ -330,7 +352,7 @@ def extract(pages: DataFrame, low: float = LOW, least_pages: int = PAGES) -> Dat
     """page_id, url, text, n_chars for each row of (page_id, url, html).
 
     Null or empty html gives the empty text; a null url belongs to the host ''. Rows that repeat a
-    page_id each get a row and count once in the tree; other columns are ignored; an empty table gives none. Nothing of a kept
+    page_id each get a row; pages of the same html count once in the tree; other columns are ignored; an empty table gives none. Nothing of a kept
     branch is shortened. `least_pages` beyond all pages switches the tree off.
     """
     weak = store(unimportant(pages, low, least_pages), "low")

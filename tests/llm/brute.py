@@ -198,7 +198,8 @@ def _counted(e, path, around, found):
 
 
 def weak_places(pages, low=0.4, least=4):
-    """Of one site's pages {page: html}: paths to drop."""
+    """Of one site's pages {page: html}: paths to drop. Copies of a page count once."""
+    pages = {html: html for html in pages.values()}
     at = defaultdict(lambda: defaultdict(set))
     for page, html in pages.items():
         found = []
@@ -249,7 +250,7 @@ def main_text(html, low=frozenset()):
     find(top, ())
     text = lambda low: " ".join(t for e, p in found or [(top, ())] for t in _text(e, low, p))
     got, whole = text(low), text(frozenset())
-    return whole if not got or (found and 2 * len(got) < len(whole)) else got
+    return got or whole
 
 
 def _grams(text):

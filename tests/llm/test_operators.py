@@ -358,6 +358,35 @@ def test_html():
     assert html_extract.main_text('<div class="menu"><p>all there is</p></div>') == "all there is"
 
 
+@pytest.mark.parametrize(
+    ("inside", "text"),
+    [
+        ('<section id="comments"><article class="comment"><p>reader says</p></article></section>', ""), ('<div><div><article class="comment">reader says</article></div></div>', ""), ('<div class="reader-comments"><p>reader says</div>', ""),
+        ('<div id="user_comments">c</div>', ""), ('<ol class="commentlist"><li>c</ol>', ""), ('<div class="ad-slot-300x250">buy</div>', ""), ('<div class="sponsored-post">buy</div>', ""),
+        ('<pre><span class="token comment"># code</span> x = 1</pre>', "# code x = 1"), ('<div class="discussion">We find y.</div>', "We find y."), ('<div class="footnotes">1. See z.</div>', "1. See z."), ('<div class="related content">Others did w.</div>', "Others did w."),
+        ('<div class="social">Society matters.</div>', "Society matters."), ('<p>Open <span class="menu">File</span> now.', "Open File now."), ("<p>Press <button>OK</button> twice, then the <label>Name</label> box.", "Press OK twice, then the Name box."),
+        ("<div><button>Share</button></div><ul><li><button>Like</button></ul>", ""), ("<form><p>Your <label>name</label></p></form>", ""), ('<p hidden>x</p><p data-hidden="1">y</p>', "y"),
+    ],
+)
+def test_html_of_articles(inside, text):
+    """What is no article goes at any depth, and what only sounds like it stays."""
+    assert html_extract.main_text(f"<html><body><article><h1>T</h1><p>Body.</p>{inside}</article></body></html>") == f"T Body. {text}".strip()
+
+
+@pytest.mark.parametrize("page", ["<" + "a" * 1_000_000, "<b c " * 200_000, '<b c="x' * 150_000, "<b c='x\">" * 120_000, "<a " + "b" * 1_000_000 + ">", "<a " + "b " * 500_000 + ">", "<!-- " * 200_000, '<i "><i \'>' * 110_000, "<script>" * 125_000, "<a b=" * 200_000 + ">"])
+def test_html_time_is_linear(page):
+    """A MB of broken markup takes seconds, whatever the kind."""
+    start = time.time()
+    html_extract.main_text(page)
+    assert time.time() - start < 4
+
+
+def test_html_broken_quotes():
+    assert html_extract.main_text('<p>a<b title="x>y</b> z') == "ay z"
+    assert html_extract.main_text('<p>a <i title="1 > 0">b</i> c < d <e') == "a b c < d <e"
+    assert html_extract.main_text("<p>it<b don't>s</b> x") == "its x"
+
+
 def test_html_keeps_titled_parts():
     """Ids of headings and sections, classes that name a neighbour, and formulas are no adverts."""
     text = '<h2 id="related-work">Related work</h2><section id="discussion">We discuss <math><mi>x</mi></math></section><h3 id=social-impact>Impact</h3>'
