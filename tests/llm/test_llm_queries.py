@@ -72,6 +72,15 @@ def test_quality(spark):
     assert rows and sum(r["predicted"] == known[r["doc_id"]] for r in rows) >= 0.95 * len(rows)
 
 
+def test_quality_plain(spark, texts):
+    """Scores of every document against a plain fit on the same pairs."""
+    labels = [tuple(r) for r in spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality").collect()]
+    want = {i: rest for i, *rest in brute.qualities(texts, labels)}
+    got = {r["doc_id"]: (r["held_out"], r["score"], r["predicted"]) for r in queries.QUERIES["op5_quality"](spark, DATA).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i][0] == h and abs(got[i][1] - s) < 1e-4 and (got[i][2] == p or abs(s - 0.7) < 1e-4) for i, (h, s, p) in want.items())
+
+
 def test_pipeline(spark, texts):
     import sentencepiece
 
