@@ -100,7 +100,7 @@ UNION ALL SELECT 'decision', event_id, concat('2024-03-1', event_id % 9) FROM ev
 UNION ALL SELECT 'observation', event_id, '2024-03-05' FROM events WHERE event_id % 8 = 0""",
     "queue_item": """
 SELECT event_id AS id, concat('f', user_id * 100 + event_id % 40) AS fingerprint, 'reason' AS reason, CASE event_id % 3 WHEN 0 THEN 'bugfix' WHEN 1 THEN 'security' ELSE 'unknown' END AS draft_category,
- CAST(floor(value * 1000000) AS BIGINT) AS priority, @ISO(ts) AS enqueued_at FROM events WHERE event_type = 'view'""",
+ CAST(floor(value * 1000000) AS BIGINT) AS priority, @ISO(ts) AS enqueued_at FROM events""",
     "queue_event": """
 SELECT event_id AS item_id, CASE event_id % 3 WHEN 1 THEN 'reviewed' ELSE 'reprioritised' END AS event, CASE event_id % 3 WHEN 1 THEN NULL ELSE event_id * 7 END AS priority, '2024-04-01' AS at FROM events
 UNION ALL SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'reopened' ELSE 'seen' END, NULL, '2024-04-02' FROM events""",

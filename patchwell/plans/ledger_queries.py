@@ -176,13 +176,41 @@ def next_batch(spark, d):
 SELECT 'stamp' AS what, count(*) AS n FROM ld WHERE kind = 'heuristic' AND id NOT IN (SELECT id FROM same) UNION ALL SELECT 'append', count(*) FROM a WHERE fingerprint NOT IN (SELECT fingerprint FROM same)""")
 def record_pass(spark, d):
     """What a record pass would append and stamp if a rule now gave every fingerprint its last category by name, and security where that is unknown."""
+    append, stamps = _record_pass(spark, d)
+    n = lambda df, what: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
+    return n(stamps, "stamp").unionByName(n(append, "append"))
+
+
+def _record_pass(spark, d):
+    """(rows to append, stamps) of the pass that `record_pass` counts."""
     decision, live, _, _ = tables(spark, d)
     last = F.max("category")
     desired = decision.groupBy("fingerprint").agg(F.when(last == "unknown", "security").otherwise(last).alias("category"))
     desired = desired.select("fingerprint", "category", F.lit("high").alias("confidence"), F.lit("doc-only").alias("decided_by"), F.lit(1).alias("rule_version"), F.lit(None).cast("string").alias("evidence"))
-    append, stamps = ledger.record_decisions(desired, live, "2024-05-01")
-    n = lambda df, what: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
-    return n(stamps, "stamp").unionByName(n(append, "append"))
+    return ledger.record_decisions(desired, live, "2024-05-01")
+
+
+@query(BASE + """, a AS (SELECT fingerprint, CASE max(category) WHEN 'unknown' THEN 'security' ELSE max(category) END AS category FROM decision GROUP BY 1), same AS (SELECT ld.id, ld.fingerprint FROM ld JOIN a ON a.fingerprint = ld.fingerprint AND a.category = ld.category WHERE kind = 'heuristic' AND decided_by = 'doc-only' AND rule_version = 1)
+SELECT 'stamp' AS what, id, NULL AS fingerprint, NULL AS category FROM ld WHERE kind = 'heuristic' AND id NOT IN (SELECT id FROM same) UNION ALL SELECT 'append', NULL, fingerprint, category FROM a WHERE fingerprint NOT IN (SELECT fingerprint FROM same)""")
+def record_pass_rows(spark, d):
+    """Which rows a record pass appends, and which it stamps."""
+    append, stamps = _record_pass(spark, d)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    return stamps.select(F.lit("stamp").alias("what"), "id", none("string", "fingerprint"), none("string", "category")).unionByName(append.select(F.lit("append").alias("what"), none("bigint", "id"), "fingerprint", "category"))
+
+
+@query(BASE + """, o AS (SELECT fingerprint, kind, CASE WHEN id % 16 = 3 THEN detail || '/again' ELSE detail END AS detail, coalesce(evidence, '~') AS e FROM observation), w AS (SELECT fingerprint, list_sort(list(DISTINCT row(kind, detail, e))) AS x FROM o GROUP BY 1),
+h AS (SELECT fingerprint, list_sort(list(DISTINCT row(kind, detail, coalesce(evidence, '~')))) AS x FROM lo GROUP BY 1), c AS (SELECT coalesce(w.fingerprint, h.fingerprint) AS fingerprint FROM w FULL JOIN h ON w.fingerprint = h.fingerprint WHERE w.x IS DISTINCT FROM h.x)
+SELECT DISTINCT 'append' AS what, NULL::BIGINT AS id, o.fingerprint, kind, detail, md5(e) AS evidence FROM o JOIN c ON c.fingerprint = o.fingerprint UNION ALL SELECT 'stamp', lo.id, NULL, NULL, NULL, NULL FROM lo JOIN c ON c.fingerprint = lo.fingerprint""")
+def observation_pass_rows(spark, d):
+    """Which observations a record pass appends, and which it stamps."""
+    _, _, obs, _ = tables(spark, d)
+    detail = F.when(F.col("id") % 16 == 3, F.concat("detail", F.lit("/again"))).otherwise(F.col("detail"))
+    desired = derive.table(spark, d, "observation").withColumn("detail", detail).select("fingerprint", "kind", "detail", "evidence", "rule_version")
+    append, stamps = ledger.record_observations(desired, obs.filter("superseded_at IS NULL"), "scan", "2024-05-01")
+    none = [F.lit(None).cast("string").alias(c) for c in ("fingerprint", "kind", "detail", "evidence")]
+    rows = append.select(F.lit("append").alias("what"), F.lit(None).cast("bigint").alias("id"), "fingerprint", "kind", "detail", F.md5(F.coalesce("evidence", F.lit("~"))).alias("evidence"))
+    return rows.unionByName(stamps.select(F.lit("stamp").alias("what"), "id", *none))
 
 
 @query(BASE + ", w AS (SELECT fingerprint, list_sort(list(DISTINCT row(kind, CASE WHEN id % 16 = 3 THEN detail || '/again' ELSE detail END, coalesce(evidence, '~')))) AS x FROM observation GROUP BY 1), h AS (SELECT fingerprint, list_sort(list(DISTINCT row(kind, detail, coalesce(evidence, '~')))) AS x, count(*) AS n FROM lo GROUP BY 1) SELECT count(*) AS changed, sum(coalesce(len(w.x), 0))::BIGINT AS appended, sum(coalesce(h.n, 0))::BIGINT AS stamped FROM w FULL JOIN h ON w.fingerprint = h.fingerprint WHERE w.x IS DISTINCT FROM h.x")
