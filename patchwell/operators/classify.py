@@ -14,7 +14,6 @@ def decisions(bodies: DataFrame) -> DataFrame:
     """
     rows = bodies.select(diff.fingerprint(F.col("body")).alias("fingerprint"), "body")
     one = rows.groupBy("fingerprint").agg(F.min("body").alias("body"))
-    files = diff.file_table(one, "fingerprint")
-    v = diff.profile(files, one, "fingerprint").withColumn("v", rules.first_rule())
+    v = diff.profile(one, "fingerprint").withColumn("v", rules.first_rule())
     evidence = F.to_json(F.struct("added_lines", "hunks", "removed_lines", F.col("v.signal").alias("signal")))
     return v.select("fingerprint", "v.category", "v.confidence", F.col("v.rule_id").alias("decided_by"), "v.rule_version", evidence.alias("evidence"))

@@ -177,10 +177,10 @@ def line_table(patches: DataFrame, key: str = "patch_id", size: int | None = Non
     )
 
 
-def sections(patches: DataFrame, key: str = "patch_id", keep: tuple[str, ...] = ()) -> DataFrame:
+def sections(patches: DataFrame, key: str = "patch_id", keep: tuple[str, ...] = (), all_patches: bool = False) -> DataFrame:
     """A row for each file of a diff: key, file_no, start (line number of its `+++ ` line), source, target, section (its text, from that line on), keep.
 
-    Cut in the row of the diff: nothing is shuffled.
+    Cut in the row of the diff: nothing is shuffled. With `all_patches` a patch without a file has one row, whose file_no is null.
     """
     rows = diff_lines(patches, key, keep)
     ls = F.col("ls")
@@ -196,7 +196,7 @@ def sections(patches: DataFrame, key: str = "patch_id", keep: tuple[str, ...] =
         body = F.slice(ls, at + 1, F.coalesce(F.get(ats, j + 1), F.size(ls)) - at)
         return F.struct((j + 1).alias("file_no"), at.alias("at"), source.alias("from"), F.get(ls, at).alias("to"), F.array_join(body, "\n").alias("section"))
 
-    rows = rows.select(key, "offset", *keep, F.inline(F.transform(ats, cut)))
+    rows = rows.select(key, "offset", *keep, (F.inline_outer if all_patches else F.inline)(F.transform(ats, cut)))
     return rows.select(key, "file_no", (F.col("offset") + F.col("at")).alias("start"), t.header_path(F.col("from")).alias("source"), t.header_path(t.rtrim(F.col("to"))).alias("target"), "section", *keep)
 
 
@@ -208,13 +208,14 @@ def changed_lines(text: Column, mark: str) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?dm){mark}([^\\n]*)$"), F.lit(1))
 
 
-def file_table(patches: DataFrame, key: str = "patch_id") -> DataFrame:
+def file_table(patches: DataFrame, key: str = "patch_id", keep: tuple[str, ...] = (), all_patches: bool = False) -> DataFrame:
     """A row for each file of a diff: key, file_no, start, path, type, ext, hunks, added, removed, the traits of its changed lines, section, trimmed.
 
     Patterns over the section's text tell all of it; only added lines of code that hold a word of some construct are taken apart.
+    `keep` and `all_patches` as of `sections`.
     """
     path = F.when((F.col("target") == "/dev/null") & F.col("source").isNotNull() & (F.col("source") != "/dev/null"), F.col("source")).otherwise(F.col("target"))
-    rows = once(sections(patches, key).withColumn("path", path), "trimmed", F.regexp_replace("section", TRAILING, ""))
+    rows = once(sections(patches, key, keep, all_patches).withColumn("path", path), "trimmed", F.regexp_replace("section", TRAILING, ""))
     rows = once(rows, "about", F.struct(t.extension(F.col("path")).alias("ext"), files.file_type(F.col("path")).alias("type")))
     text, ext = F.col("trimmed"), F.col("about.ext")
     count = lambda pattern: F.regexp_count(text, F.lit("(?dm)" + pattern)).cast("long")
@@ -223,7 +224,7 @@ def file_table(patches: DataFrame, key: str = "patch_id") -> DataFrame:
     return rows.select(
         key, "file_no", "start", "path", "about.ext", "about.type", count("^@@").alias("hunks"), count(ADDED).alias("added"), count(REMOVED).alias("removed"),
         files.only_comments(text, ext).alias("comments"), files.only_patterns(text, F.col("path")).alias("patterns"),
-        F.when(code, details).otherwise(F.array().cast("array<string>")).alias("constructs"), "section", "trimmed",
+        F.when(code, details).otherwise(F.array().cast("array<string>")).alias("constructs"), "section", "trimmed", *keep,
     )
 
 
@@ -236,34 +237,34 @@ def spaced(body: Column) -> Column:
     return F.when((count(ADDED) == count(REMOVED)) & (count(ADDED) > 0), (plain_space(added) == plain_space(removed)) & (F.array_sort(added) != F.array_sort(removed))).otherwise(F.lit(False))
 
 
-def profile(file_rows: DataFrame, patches: DataFrame, key: str = "patch_id", keep: tuple[str, ...] = ()) -> DataFrame:
+def profile(patches: DataFrame, key: str = "patch_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each patch: files, counts in all and by type, touches_code, the four trivial flags, construct hits, and the columns `keep` of `patches`.
 
-    `patches`: key and `body`. Patches without a diff get zero counts and is_empty. Only file rows without
-    their texts, and (key, is_empty, keep), are shuffled.
+    `patches`: key, one row each, and `body`. Patches without a diff get zero counts and is_empty. The table is read
+    once; what is shuffled is a row for each file without its text.
     """
+    rows = patches.select(key, "body", *keep).withColumn("_empty", plain(F.col("body")) == "").withColumn("_spaced", spaced(F.col("body")))
+    every = ("_empty", "_spaced", *keep)
+    file_rows = file_table(rows, key, every, all_patches=True).drop("section", "trimmed")
+    has = F.col("file_no").isNotNull()
     changes = F.col("added") + F.col("removed") > 0
-    of = lambda kind: F.col("type") == kind
+    of = lambda kind: has & (F.col("type") == kind)
     per = {"file_types": lambda k: F.count_if(of(k)), "added_by_type": lambda k: F.sum(F.when(of(k), F.col("added"))), "removed_by_type": lambda k: F.sum(F.when(of(k), F.col("removed")))}
     # One struct a type that the patch has: null counts of the other types drop out.
     by_type = lambda n: F.map_from_entries(F.array_compact(F.array(*[F.when(F.count_if(of(k)) > 0, F.struct(F.lit(k).alias("key"), n(k).alias("value"))) for k in sorted(FILE_TYPES)])))
     per_patch = file_rows.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("file_no", "path", "type"))).alias("files"), *[by_type(n).alias(name) for name, n in per.items()],
-        F.sum("added").alias("added_lines"), F.sum("removed").alias("removed_lines"), F.sum("hunks").alias("hunks"),
-        F.bool_and(~changes | (F.col("comments"))).alias("comments"),
-        F.bool_and(F.col("patterns")).alias("patterns"),
-        F.flatten(F.collect_list(F.when(F.size("constructs") > 0, F.col("constructs")))).alias("constructs"),
+        F.array_sort(F.collect_list(F.when(has, F.struct("file_no", "path", "type")))).alias("files"), *[F.when(F.count_if(has) > 0, by_type(n)).alias(name) for name, n in per.items()],
+        F.sum("added").alias("added_lines"), F.sum("removed").alias("removed_lines"), F.sum("hunks").alias("hunks"), F.bool_and(~changes | F.col("comments")).alias("comments"), F.bool_and("patterns").alias("patterns"),
+        F.flatten(F.collect_list(F.when(F.size("constructs") > 0, F.col("constructs")))).alias("constructs"), *[F.first(c).alias(c) for c in every],
     )
-    base = patches.select(key, (plain(F.col("body")) == "").alias("is_empty"), spaced(F.col("body")).alias("spaced"), *keep)
     some = F.coalesce(F.col("added_lines") + F.col("removed_lines"), F.lit(0)) > 0
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     flag = lambda c, name: F.coalesce(c, F.lit(False)).alias(name)
-    return base.join(per_patch, key, "left").select(
-        key, "files", "file_types", "added_by_type", "removed_by_type", zero("added_lines"), zero("removed_lines"), zero("hunks"),
-        flag(F.map_contains_key("file_types", "code"), "touches_code"), "is_empty",
-        flag(F.col("spaced"), "whitespace_only"),
+    return per_patch.select(
+        key, F.when(F.size("files") > 0, F.col("files")).alias("files"), "file_types", "added_by_type", "removed_by_type", zero("added_lines"), zero("removed_lines"), zero("hunks"),
+        flag(F.map_contains_key("file_types", "code"), "touches_code"), F.col("_empty").alias("is_empty"), flag(F.col("_spaced"), "whitespace_only"),
         flag(some & F.col("comments"), "comment_only"), flag(some & F.col("patterns"), "ignore_file_only"),
-        F.when(F.col("constructs").isNull(), 0).otherwise(F.size("constructs")).cast("long").alias("flag_count"), F.coalesce(F.array_join(F.array_sort(F.array_distinct("constructs")), ", "), F.lit("")).alias("flag_details"), *keep,
+        F.size("constructs").cast("long").alias("flag_count"), F.array_join(F.array_sort(F.array_distinct("constructs")), ", ").alias("flag_details"), *keep,
     )
 
 

@@ -89,12 +89,14 @@ def file_marks(file_rows: DataFrame, key: str = "patch_id") -> DataFrame:
 
 def coverage(marks: DataFrame, key: str = "patch_id") -> DataFrame:
     """generated, residue, total changed lines, coverage, dominant family, detail (family/percent, half to even)."""
-    changed = F.col("added") + F.col("removed")
-    marked = F.col("family").isNotNull()
-    by_family = marks.filter(marked).groupBy(key, "family").agg(F.sum(changed).alias("n"))
-    top = by_family.groupBy(key).agg(F.min_by("family", F.struct(-F.col("n"), F.col("family"))).alias("dominant"))
-    sums = marks.groupBy(key).agg(F.sum(F.when(marked, changed).otherwise(0)).alias("generated"), F.sum(F.when(marked, F.lit(0)).otherwise(changed)).alias("residue"), F.sum(changed).alias("total"), F.count_if(marked).alias("n_marked"))
-    rows = sums.join(top, key, "left").withColumn("coverage", F.when(F.col("total") > 0, F.col("generated") / F.col("total")).otherwise(0.0))
+    changed, marked = F.col("added") + F.col("removed"), F.col("family").isNotNull()
+    by_family = marks.groupBy(key, "family").agg(F.sum(changed).alias("n"), F.count(F.lit(1)).alias("files"))
+    own = lambda c, other: F.sum(F.when(marked, F.col(c)).otherwise(other))
+    rows = by_family.groupBy(key).agg(
+        own("n", 0).alias("generated"), F.sum(F.when(marked, F.lit(0)).otherwise(F.col("n"))).alias("residue"), F.sum("n").alias("total"), own("files", 0).alias("n_marked"),
+        F.min_by("family", F.when(marked, F.struct(-F.col("n"), F.col("family")))).alias("dominant"),
+    )
+    rows = rows.withColumn("coverage", F.when(F.col("total") > 0, F.col("generated") / F.col("total")).otherwise(0.0))
     return rows.withColumn("detail", F.when(F.col("n_marked") > 0, F.concat("dominant", F.lit("/"), F.bround(F.col("coverage") * 100).cast("int").cast("string"))))
 
 

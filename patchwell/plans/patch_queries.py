@@ -173,15 +173,14 @@ def display_chunks(spark, d):
 
 @query(DL + "SELECT patch_id, types, n_files, added_lines, removed_lines, hunks, touches_code, is_empty, whitespace_only, comment_only, ignore_file_only FROM pr")
 def content_profiles(spark, d):
-    p, files = analysed(spark, d)
-    rows = diff.profile(files, p)
+    p = patches(spark, d)
+    rows = diff.profile(p)
     return rows.select("patch_id", F.array_join(F.array_sort(F.map_keys("file_types")), ",").alias("types"), F.size("files").cast("long").alias("n_files"), "added_lines", "removed_lines", "hunks", "touches_code", "is_empty", "whitespace_only", "comment_only", "ignore_file_only")
 
 
 def verdicts(spark, d) -> DataFrame:
     p = claimed(patches(spark, d))
-    files = diff.file_table(p)
-    rows = diff.profile(files, p, keep=("claim_category",)).withColumn("v", rules.first_rule())
+    rows = diff.profile(p, keep=("claim_category",)).withColumn("v", rules.first_rule())
     claim, content = F.col("claim_category"), F.col("v.category")
     return rows.select("patch_id", "v.rule_id", content.alias("content_category"), "v.confidence", "claim_category", rules.consistency(claim, content).alias("consistency"), rules.review_flag(claim, content, F.col("touches_code"), F.col("flag_count") > 0).alias("review_flag"), "flag_count", "flag_details")
 
@@ -217,15 +216,15 @@ def samples_per_category(spark, d):
 
 @query(DL + "SELECT patch_id, CASE WHEN is_empty THEN 'no content changes' WHEN whitespace_only THEN 'white space only' WHEN comment_only THEN 'comments only' WHEN types = 'doc' THEN 'documentation only' WHEN benign THEN 'translations, changelog or copyright only' END AS reason FROM pr")
 def provably_benign(spark, d):
-    p, files = analysed(spark, d)
-    return diff.profile(files, p).select("patch_id", rules.provably_benign().alias("reason"))
+    p = patches(spark, d)
+    return diff.profile(p).select("patch_id", rules.provably_benign().alias("reason"))
 
 
 @query(DL + "SELECT patch_id, CASE WHEN added_lines + removed_lines <= 500 THEN 'normal' WHEN added_lines + removed_lines <= 5000 THEN 'large' ELSE 'oversized' END AS level, '{\"changed_lines\":' || (added_lines + removed_lines) || ',\"large_over\":500,\"oversized_over\":5000}' AS evidence FROM pr")
 def size_levels(spark, d):
-    p, files = analysed(spark, d)
+    p = patches(spark, d)
     changed = F.col("added_lines") + F.col("removed_lines")
-    return diff.profile(files, p).select("patch_id", axes.size_level(changed).alias("level"), axes.size_evidence(changed).alias("evidence"))
+    return diff.profile(p).select("patch_id", axes.size_level(changed).alias("level"), axes.size_evidence(changed).alias("evidence"))
 
 
 @query(DL + """, m AS (SELECT coalesce(types || '|', '') || CASE WHEN added_lines = 0 THEN '0' WHEN added_lines <= 5 THEN '1-5' WHEN added_lines <= 50 THEN '6-50' ELSE '51+' END || '|' || CASE WHEN removed_lines = 0 THEN '0' WHEN removed_lines <= 5 THEN '1-5' WHEN removed_lines <= 50 THEN '6-50' ELSE '51+' END || '|' ||
@@ -233,8 +232,8 @@ def size_levels(spark, d):
 a AS (SELECT category, key, count(*) AS members, count(*) AS occurrences FROM m GROUP BY 1, 2 HAVING count(*) >= 3), b AS (SELECT key, count(DISTINCT category) AS categories, count(*) AS total FROM m GROUP BY 1)
 SELECT a.*, categories, total, categories = 1 AS pure FROM a JOIN b ON a.key = b.key""")
 def candidate_rules(spark, d):
-    p, files = analysed(spark, d)
-    rows = diff.profile(files, claimed(p), keep=("claim_category",)).withColumnRenamed("claim_category", "category")
+    p = patches(spark, d)
+    rows = diff.profile(claimed(p), keep=("claim_category",)).withColumnRenamed("claim_category", "category")
     settled = rows.select(F.col("patch_id").alias("fingerprint"), "category", triage.structural_key(rows).alias("key"), F.lit(1).cast("long").alias("n_occurrences"))
     return triage.candidate_rules(settled, 3)
 
@@ -342,8 +341,7 @@ def mark_evidence(spark, d):
 def classification_table(spark, d):
     """The classification table as it is written: list columns as text."""
     p = claimed(patches(spark, d))
-    files = diff.file_table(p)
-    rows = diff.profile(files, p, keep=("claim_category", "source_package")).withColumn("v", rules.first_rule())
+    rows = diff.profile(p, keep=("claim_category", "source_package")).withColumn("v", rules.first_rule())
     claim, content = F.col("claim_category"), F.col("v.category")
     rows = rows.select(
         "patch_id", "source_package", F.array("v.rule_id").alias("rule_ids"), F.array("v.signal").alias("signals"), content.alias("content_category"), rules.consistency(claim, content).alias("consistency"),

@@ -69,7 +69,7 @@ def patch(*files_, header=""):
 
 def category(spark, body):
     p = spark.createDataFrame([("k", body)], "patch_id string, body string")
-    return diff.profile(diff.file_table(p), p).select(rules.first_rule()["rule_id"]).first()[0]
+    return diff.profile(p).select(rules.first_rule()["rule_id"]).first()[0]
 
 
 @pytest.mark.parametrize(
@@ -293,5 +293,5 @@ def test_freshness(spark):
 def test_empty_tables(spark):
     p = spark.createDataFrame([], "patch_id long, body string")
     files_ = diff.file_table(p)
-    assert diff.line_table(p).count() == 0 and diff.profile(files_, p).count() == 0 and marks.coverage(marks.file_marks(files_)).count() == 0
+    assert diff.line_table(p).count() == 0 and diff.profile(p).count() == 0 and marks.coverage(marks.file_marks(files_)).count() == 0
     assert [r["n"] for r in fingerprints.histogram(spark.createDataFrame([], "n_packages long")).collect()] == [0] * 6
