@@ -43,14 +43,23 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the one with the smallest doc_id stays, with all rows that have this doc_id.
+    """Of each group of near-duplicates one row with the smallest doc_id stays.
 
     Near is what op10 links: 4 or fewer differing bits of 64 over 4-word shingles. Texts without a
-    word have one fingerprint, so one of them stays. Rows without a doc_id go; long texts count whole, and an
-    empty table gives no rows.
+    word have one fingerprint, so one of them stays. Of rows that share an id those of other groups are judged with their group. Rows
+    without a doc_id go; long texts count whole, and an empty table gives no rows.
     """
-    found = simhash_dedup.near_duplicates(docs)
-    return having_ids(docs, store(found.filter("doc_id = component_id").select("doc_id").distinct(), "firsts"), "doc_id")
+    found = store(simhash_dedup.near_duplicates(docs), "found")
+    mine = F.col("doc_id") == F.col("component_id")
+    ids = store(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(mine, F.col("fingerprint"))).alias("first")).filter("first IS NOT NULL"), "firsts")
+    rows = having_ids(docs, ids.filter("n = 1").select("doc_id"), "doc_id")
+    again = ids.filter("n > 1").select("doc_id", "first")
+    if again.isEmpty():
+        return rows
+    some = having_ids(docs, again.select("doc_id"), "doc_id").select(F.struct("*").alias("row"), F.xxhash64(F.to_json(F.struct("*"))).alias("nth"))
+    prints = simhash_dedup.fingerprints(some.select(F.col("nth").alias("doc_id"), "row.text")).distinct().select(F.col("doc_id").alias("nth"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("first"))
+    one = some.join(prints, "nth").groupBy("row.doc_id", "first").agg(F.min_by("row", "nth").alias("row"))
+    return rows.unionByName(one.join(again, ["doc_id", "first"], "left_semi").select("row.*"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
