@@ -156,3 +156,14 @@ def test_exact_selects_rows_not_ids(spark):
     assert sorted(got, key=repr) == sorted([(4, "x"), (9, "y"), (None, "z"), (None, ""), (5, "w")], key=repr)
     pair = docs.filter("doc_id IN (3, 9) AND text <> 'y'")
     assert sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.exact(spark, pair, DATA).collect()) == [(3, "X"), (9, "Y")]
+
+
+def test_near_selects_rows_not_ids(spark):
+    """Of rows that share an id, one with the smallest id of its group stays, and those of other groups go with them."""
+    import corpus_pipeline
+
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    data = [(3, a), (3, b), (1, b), (5, a), (3, a), (3, a.upper()), (7, None), (9, ""), (None, "x y z w v")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"], (r["text"] or "").lower()) for r in corpus_pipeline.near(spark, docs, DATA).collect())
+    assert got == [(1, b), (3, a), (7, "")]
