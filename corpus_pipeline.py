@@ -90,7 +90,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Workers remember few units here, as they also hold what the stages before have loaded.
     """
-    return sentencepiece_codec.encode_decode(docs, tokenizer_path(), remember=16 << 20).drop("decoded")
+    return sentencepiece_codec.encode_decode(docs, tokenizer_path(), remember=6 << 20).drop("decoded")
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("simhash_dedup", near), ("mixing", mixed), ("sentencepiece", tokens)]
