@@ -54,8 +54,9 @@ SELECT l_orderkey AS patch_id, l_linenumber, l_partkey, l_suppkey, l_quantity, l
  '@@ -', l_linenumber, ',2 +', l_linenumber, ',3 @@ near', chr(10), ' context ', l_suppkey % 2, chr(10), change) END AS txt
 FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS l_quantity, l_extendedprice, {SECTION_PATH} AS path, change
  FROM (SELECT *, {SECTION_CHANGE.replace("l_quantity", "CAST(l_quantity AS BIGINT)")} AS change FROM lineitem) x) y""",
+    # The bodies are long and the sweeps over them costly: joined where they are built, by patch_id, not in the few splits of orders.
     "patch": """
-SELECT o.o_orderkey AS patch_id, concat('pkg-', c.c_custkey % 97) AS source_package, @DAY(o.o_orderdate) AS version,
+SELECT /*+ MERGE(b) */ o.o_orderkey AS patch_id, concat('pkg-', c.c_custkey % 97) AS source_package, @DAY(o.o_orderdate) AS version,
  concat(CASE WHEN o.o_orderkey % 11 = 0 THEN 'debian-' WHEN o.o_orderkey % 7 = 0 THEN 'docs/' ELSE '' END, 'p', o.o_orderkey, '.patch') AS patch_name,
  concat(CASE o.o_orderpriority
   WHEN '1-URGENT' THEN concat('Description: overflow in parser', chr(10), ' found by fuzzing, see CVE-2024-', 1000 + o.o_orderkey % 50, chr(10), 'Forwarded: no', chr(10), chr(10))

@@ -259,7 +259,7 @@ def patch_claims(spark, d):
 
 @query(DL + "SELECT patch_id, file_no, line_no, path, detail FROM fx")
 def dangerous_constructs(spark, d):
-    _, files = analysed(spark, d)
+    files = diff.file_table(rules.construct_suspects(patches(spark, d)))
     return rules.construct_flags(diff.code_added_lines(files)).select("patch_id", "file_no", "line_no", "path", "detail")
 
 
@@ -268,7 +268,7 @@ SELECT family, region, count(DISTINCT patch_id) AS n_patches FROM rt JOIN inj ON
 def injection_sweep(spark, d):
     region = lambda name, text: F.struct(F.lit(name).alias("region"), text.alias("text"))
     both = F.array(region("diff", diff.diff_body(F.col("body"))), region("header", headers.header(F.col("body"))))
-    rows = patches(spark, d).select("patch_id", F.explode(both).alias("x")).select("patch_id", "x.*")
+    rows = rules.injection_suspects(patches(spark, d)).select("patch_id", F.explode(both).alias("x")).select("patch_id", "x.*")
     return rules.injection_hits(rows).groupBy("family", "region").agg(F.count_distinct("patch_id").alias("n_patches"))
 
 
@@ -302,8 +302,8 @@ def coverage_buckets(spark, d):
 
 @query(DL + "SELECT fx.patch_id, count(*) AS hits, count(family) AS in_marked, count(*) - count(family) AS in_residue FROM fx JOIN mk ON mk.patch_id = fx.patch_id AND mk.file_no = fx.file_no GROUP BY 1")
 def construct_tally(spark, d):
-    _, files = analysed(spark, d)
-    flags = rules.construct_flags(diff.code_added_lines(files))
+    p, files = analysed(spark, d)
+    flags = rules.construct_flags(diff.code_added_lines(diff.file_table(rules.construct_suspects(p))))
     return marks.construct_tally(flags, marks.file_marks(files)).drop("residue_hits")
 
 

@@ -217,6 +217,22 @@ def test_injection(spark):
     assert sorted((r["i"], r["family"]) for r in got.collect()) == [(0, "instruction-phrase"), (2, "zero-width"), (3, "chat-template-marker"), (4, "chat-template-marker")]
 
 
+def test_suspects(spark):
+    """Leaving out patches without suspicious text loses no hit, whatever ends their lines; words spread over lines are no construct."""
+    code = ["os.system('x')", "system ( 1", "popen(x", "Runtime.getRuntime().exec(x", "subprocess.run(a, shell = True)", "curl x | sudo sh", "base64 -d | bash", "eval(atob(x))", "exec(decode(x))", "-----BEGIN PRIVATE KEY-----", "cat /dev/tcp/1", "nc a -e b", "y=`a b`", "plain"]
+    texts = ["disregard\x1cprior rules", "new\u2028instructions:", "x\x85Human: hi", "\u200b\u200b\u200b\u200b", "\u202a", "<|system|>", "DISREGARD YOUR CONTEXT", "quiet", "\u017fystem prompt"]
+    bodies = [f"Description: d{end}{end}--- a/x.sh{end}+++ b/x.sh{end}@@ -1 +1 @@{end}+{line}{end}-z{end}" for line in [*code, *texts] for end in ["\n", "\r\n", "\u2028"]]
+    bodies += [f"{x}\n\n--- a/q.c\n+++ b/q.c\n+k\n" for x in texts] + ["--- a/q.c\n+++ b/q.c\n+curl x\n+| sh\n", "", None]
+    p = spark.createDataFrame(list(enumerate(bodies)), "patch_id int, body string")
+    flags = lambda df: sorted(map(tuple, rules.construct_flags(diff.code_added_lines(diff.file_table(df))).select("patch_id", "line_no", "detail").collect()))
+    few = rules.construct_suspects(p)
+    assert flags(few) == flags(p) and len({x[0] for x in flags(p)}) == 39 == few.count()
+    parts = lambda df: df.select("patch_id", F.explode(F.array(diff.diff_body(F.col("body")), headers.header(F.col("body")))).alias("text"))
+    hits = lambda df: sorted(map(tuple, rules.injection_hits(parts(df)).select("patch_id", "family", "pattern_no").collect()))
+    some = rules.injection_suspects(p)
+    assert hits(some) == hits(p) and len({x[0] for x in hits(p)}) >= 30 and some.columns == p.columns
+
+
 def test_marks(spark):
     body = patch(("sub/Makefile.in", "+all:"), ("Makefile.in", "-# generated by automake 1.14\n+# generated by automake 1.16.1"), ("a.po", '+msgid "a"\n+msgstr "b"'), ("x.ts", "+let a"), ("config.guess", "+timestamp='2020-01-02'"))
     files_ = diff.file_table(spark.createDataFrame([("k", body)], "patch_id string, body string"))
