@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, mix64, store
+from .common import as_bytes, mix64, portions, store
 
 U = np.uint64
 BASE, BASE2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
-#: Bytes of text in a chunk (a longer document is a chunk of its own), window starts handled at once.
+#: Bytes of text in a chunk (a longer document is a chunk of its own, or one for each segment), window starts handled at once.
 CHUNK, STEP = 4 << 20, 1 << 18
 #: Stands for a missing doc_id inside: after all others.
 NO_ID = (1 << 63) - 1
@@ -30,7 +30,9 @@ NO_ID = (1 << 63) - 1
 KEY = 7
 KEY_MASK = U((1 << 64) - (1 << 8 * (8 - KEY)))
 
-CHUNKS = "chunk bigint, doc_ids binary, ends binary, body binary, n_bytes bigint"
+#: text_no, nth and own are null but in a segment: the chunk of its text's first one, its place, and its bytes without those it shares with the next.
+CHUNKS = "chunk bigint, doc_ids binary, ends binary, body binary, n_bytes bigint, text_no bigint, nth int, own bigint"
+CHUNK_TYPES = [pa.int64(), *[pa.binary()] * 3, pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
 
 @dataclass(frozen=True)
@@ -48,28 +50,43 @@ def id_shift(docs: DataFrame) -> int:
     return int(most == NO_ID and least > -NO_ID - 1)
 
 
-def pack(docs: DataFrame, shift: int = 0) -> DataFrame:
-    """Rows (doc_id, text) as packed, compressed chunks, stored."""
+def pack(docs: DataFrame, shift: int = 0, overlap: int | None = None) -> DataFrame:
+    """Rows (doc_id, text) as packed, compressed chunks, stored.
+
+    With `overlap`, a text longer than a chunk is cut into segments of a chunk's size, each a chunk
+    of its own that also holds the next `overlap` bytes: windows of one byte more each start in exactly one segment.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
+        part, seq, ids, texts, held = TaskContext.get().partitionId() << 32, 0, [], [], 0
+        size = CHUNK if overlap is None else max(CHUNK, 2 * overlap + 2)
 
-        def flush() -> pa.RecordBatch:
+        def row(ids: list[int], texts: list[bytes], *segment: int | None) -> pa.RecordBatch:
             body = b"".join(texts)
             ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-            row = ((part << 32) + seq, np.array(ids, np.int64).tobytes(), ends.tobytes(), pa.compress(body, "zstd", asbytes=True), len(body))
-            return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:4]), pa.array([row[4]], pa.int64())], ["chunk", "doc_ids", "ends", "body", "n_bytes"])
+            values = (part + seq, np.array(ids, np.int64).tobytes(), ends.tobytes(), pa.compress(body, "zstd", asbytes=True), len(body), *(segment or [None] * 3))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, CHUNK_TYPES, strict=True)], [c.split()[0] for c in CHUNKS.split(", ")])
 
-        for batch in batches:
+        for batch in portions(batches, 1):
             for i, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 if ids and held + len(text) > CHUNK:
-                    yield flush()
+                    yield row(ids, texts)
                     seq, ids, texts, held = seq + 1, [], [], 0
-                ids.append(NO_ID if i is None else i - shift)
+                i = NO_ID if i is None else i - shift  # noqa: PLW2901
+                if overlap is not None and len(text) > size:
+                    if ids:
+                        yield row(ids, texts)
+                        seq, ids, texts, held = seq + 1, [], [], 0
+                    text_no = part + seq
+                    for nth, at in enumerate(range(0, len(text), size)):
+                        yield row([i], [text[at : at + size + overlap]], text_no, nth, min(size, len(text) - at))
+                        seq += 1
+                    continue
+                ids.append(i)
                 texts.append(text)
                 held += len(text)
         if ids:
-            yield flush()
+            yield row(ids, texts)
 
     return store(docs.select("doc_id", "text").mapInArrow(run, CHUNKS), "chunks")
 

@@ -25,12 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix64, store
+from .common import mix64, portions, store
 from .repeats import KEY, Chunk, Plan, Runs, among, id_column, id_shift, pack, places
 
 U = np.uint64
 BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+SEGMENTS = "text_no bigint, nth int, doc_id bigint, own binary, n_bytes bigint, gone binary, carry int"
 ENTRIES = "share bigint, chunk bigint, kind int, entries binary"
 MESSAGES = "chunk bigint, kind int, entries binary"
 #: Kinds of messages to chunks: runs that an earlier document has; first holders that send texts, or windows; then windows, and bits of runs, that an earlier document has.
@@ -196,6 +197,31 @@ def settled(parts: list[tuple[int, bytes]], window: int) -> list[tuple[int, int,
     return [(c, BITS, packed(key[keep[s]], name[keep[s]], bits[keep[s]])) for c, s in pieces(chunk[keep])]
 
 
+class Joined:
+    """One text, from its segments in order."""
+
+    def __init__(self, text_no: int, doc_id: int, with_text: bool) -> None:
+        self.text_no, self.doc_id, self.kept = text_no, doc_id, [] if with_text else None
+        self.digest, self.n_bytes, self.n_removed, self.n_spans = hashlib.sha256(), 0, 0, 0
+        self.carry, self.last = 0, False
+
+    def add(self, row: dict) -> None:
+        body = np.frombuffer(pa.decompress(row["own"], row["n_bytes"], "zstd", asbytes=True), np.uint8)
+        gone = np.unpackbits(np.frombuffer(row["gone"], np.uint8), count=len(body)).astype(bool)
+        gone[: self.carry] = True
+        kept = body[~gone].tobytes()
+        self.digest.update(kept)
+        if self.kept is not None:
+            self.kept.append(kept)
+        self.n_bytes += len(body)
+        self.n_removed += len(body) - len(kept)
+        self.n_spans += int(np.count_nonzero(gone & ~np.r_[self.last, gone[:-1]]))
+        self.carry, self.last = row["carry"], gone[-1]
+
+    def result(self) -> tuple:
+        return self.doc_id, self.n_bytes, self.n_removed, self.n_spans, self.digest.hexdigest(), None if self.kept is None else b"".join(self.kept)
+
+
 def told(table: pa.Table, kind: int, columns: int = 1) -> tuple[np.ndarray, ...]:
     return joined([unpacked(e, columns) for k, e in zip(table.column("kind").to_pylist(), table.column("entries").to_pylist(), strict=True) if k == kind], columns + 1)
 
@@ -218,12 +244,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, q: int = 20, with_text: bo
     and, with `with_text`, kept (the remaining bytes). `length` is 16 to 64. Null texts count as empty;
     texts shorter than `length` keep everything; rows that repeat a doc_id count as one document and
     each gets a row; rows without a doc_id count as one document after all others; other columns are
-    ignored; an empty table gives no rows. Matches never cross documents.
+    ignored; an empty table gives no rows. Matches never cross documents. Texts longer than a chunk are handled
+    in segments that share `length` - 1 bytes; what a segment's windows cover of the next one is handed on.
     """
     if not 2 * FIRST <= length <= 64:
         raise ValueError("length is 16 to 64")
     plan, shift = Plan(length, min(q, length), byte_tokens), id_shift(docs)
-    chunks = pack(docs, shift)
+    chunks = pack(docs, shift, length - 1)
     shares = 1 + (chunks.agg(F.sum("n_bytes")).first()[0] or 0) // SHARE
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,8 +285,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, q: int = 20, with_text: bo
             out.append((share, row["chunk"], TEXTS, len(size).to_bytes(8, "little") + packed(key[s], name[s], doc[s], n[s]) + body[at].tobytes()))
         return pa.Table.from_batches([batch(out)])
 
-    def finished(left: pa.Table, right: pa.Table) -> pa.Table:
-        c = Chunk(plan, left.to_pylist()[0])
+    def removed(c: Chunk, right: pa.Table) -> np.ndarray:
+        """For each byte of a chunk, whether it goes."""
         runs = c.runs(keep_windows=True)
         later = c.later(runs)
         w = c.windows(runs, to_split(runs, right) & ~later)
@@ -271,9 +298,40 @@ def remove_repeats(docs: DataFrame, length: int = 50, q: int = 20, with_text: bo
         nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         hit = (np.repeat(bits[at[had]], n) >> nth.astype(U)) & U(1) == 1
         windows = np.r_[one, (np.repeat(runs.start[had], n) + nth)[hit]]
-        return pa.Table.from_batches([cleaned(c, c.covered(runs, later | among(runs, *told(right, MARK)), windows))])
+        return c.covered(runs, later | among(runs, *told(right, MARK)), windows)
 
-    def cleaned(c: Chunk, covered: np.ndarray) -> pa.RecordBatch:
+    def finished(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:  # messages to a segment
+            return cleaned_table([])
+        c = Chunk(plan, left.to_pylist()[0])
+        return cleaned(c, removed(c, right))
+
+    def segment(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:  # messages to a chunk of whole texts
+            values = [[]] * 7
+        else:
+            row = left.to_pylist()[0]
+            c, own = Chunk(plan, row), row["own"]
+            gone = removed(c, right)
+            values = [[v] for v in (row["text_no"], row["nth"], int(c.doc_ids[0]), pa.compress(c.body[:own], "zstd", asbytes=True), own, np.packbits(gone[:own]).tobytes(), int(np.count_nonzero(gone[own:])))]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32()]
+        return pa.table({name.split()[0]: pa.array(v, t) for name, v, t in zip(SEGMENTS.split(", "), values, types, strict=True)})
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts from their segments, which come in order: one segment is held at a time."""
+        text = None
+        for rows in portions(batches, 3):
+            for row in rows.to_pylist():
+                if text is None or text.text_no != row["text_no"]:
+                    if text is not None:
+                        yield from cleaned_table([text.result()]).to_batches()
+                    text = Joined(row["text_no"], row["doc_id"], with_text)
+                text.add(row)
+        if text is not None:
+            yield from cleaned_table([text.result()]).to_batches()
+
+
+    def cleaned(c: Chunk, covered: np.ndarray) -> pa.Table:
         body, rows, a = np.frombuffer(c.body, np.uint8), [], 0
         for doc, b in zip(c.doc_ids.tolist(), c.byte_ends.tolist(), strict=True):
             gone = covered[a:b]
@@ -282,12 +340,20 @@ def remove_repeats(docs: DataFrame, length: int = 50, q: int = 20, with_text: bo
             spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0]) if n else 0
             rows.append((doc, b - a, n, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
             a = b
-        cols = list(zip(*rows, strict=True))
+        return cleaned_table(rows)
+
+    def cleaned_table(rows: list[tuple]) -> pa.Table:
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 6
         types = [pa.int64()] * 3 + [pa.string(), pa.binary()]
-        return pa.RecordBatch.from_arrays([id_column(cols[0], shift), *(pa.array(x, t) for x, t in zip(cols[1:], types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        return pa.table([id_column(cols[0], shift), *(pa.array(x, t) for x, t in zip(cols[1:], types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     heads = store(chunks.mapInArrow(emit, ENTRIES).groupBy("share").applyInArrow(lambda t: grouped(t, True), MESSAGES), "messages")
     asks = heads.filter(F.col("kind").isin(REFINE, SPLIT))
     tails = store(chunks.groupBy("chunk").cogroup(asks.groupBy("chunk")).applyInArrow(asked, ENTRIES).groupBy("share").applyInArrow(lambda t: grouped(t, False), MESSAGES), "windows")
-    out = chunks.groupBy("chunk").cogroup(heads.filter(F.col("kind") != REFINE).unionByName(tails).groupBy("chunk")).applyInArrow(finished, SCHEMA)
+    said = heads.filter(F.col("kind") != REFINE).unionByName(tails)
+    out = chunks.filter("text_no IS NULL").groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(finished, SCHEMA)
+    segments = chunks.filter("text_no IS NOT NULL")
+    if not segments.isEmpty():
+        parts = segments.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(segment, SEGMENTS)
+        out = out.unionByName(parts.repartition("text_no").sortWithinPartitions("text_no", "nth").mapInArrow(whole, SCHEMA))
     return out if with_text else out.drop("kept")

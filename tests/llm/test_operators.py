@@ -1,5 +1,6 @@
 """Operators against plain versions, on awkward rows: null, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
+import hashlib
 import random
 import sys
 import time
@@ -81,6 +82,25 @@ def test_suffix(docs, none, chunk, monkeypatch):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1, 140])
+def test_suffix_of_long_texts(docs, spark, chunk, monkeypatch):
+    """Texts of many segments: passages across their borders, last segments of any length, repeated ids, kept bytes in order."""
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    out = suffix_dedup.remove_repeats(docs)
+    assert rows(out, *out.columns) == brute.suffix(ROWS)
+    r = random.Random(5)
+    passage = "".join(r.choices("abcdefghij ", k=400))
+    cut = lambda: passage[(a := r.randrange(400)) : a + r.randrange(30, 200)]
+    data = [(i, "".join(cut() if r.random() < 0.5 else "".join(r.choices("klmnop\u00e9", k=r.randrange(1, 120))) for _ in range(r.randrange(0, 9)))) for i in range(60)]
+    data += [(100 + k, "ab" * k) for k in range(40, 80, 3)] + [(62, passage[:100]), (63, passage[:149]), (64, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.remove_repeats(df, with_text=True)
+    assert rows(got.drop("kept"), *out.columns) == brute.suffix(data)
+    assert all(hashlib.sha256(x["kept"]).hexdigest() == x["kept_sha256"] and len(x["kept"]) == x["n_bytes"] - x["n_removed"] for x in got.collect())
+    same = spark.createDataFrame([(1, passage), (1, passage), (2, passage)], "doc_id long, text string")
+    assert rows(suffix_dedup.remove_repeats(same), "doc_id", "n_removed", "n_spans") == [(1, 0, 0), (1, 0, 0), (2, 400, 1)]
+
+
 def test_suffix_texts(docs):
     kept = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(docs, with_text=True).collect()}
     assert kept[25] == b"" and kept[24] == LONG.encode()
