@@ -94,13 +94,14 @@ def corpus_build(spark, d):
     patches.write.parquet(f"{path}-given")
     given = spark.read.parquet(f"{path}-given")
     texts = F.map_from_entries(F.collect_list(F.struct("patch_name", "body")))
-    have = given.groupBy(F.col("source_package").alias("source"), "version").agg(texts.alias("texts")).withColumn("format", F.lit("3.0 (quilt)"))
+    held = given.withColumnRenamed("source_package", "source")
 
     def fetch(work):
         calls.append(1)
         if len(calls) == 2:
             raise ConnectionError("the second step's fetch fails")
-        return work.join(have, ["source", "version"])
+        # only what a step asks for is grouped: all bodies are shuffled once in all steps, not once in each
+        return held.join(work, ["source", "version"], "left_semi").groupBy("source", "version").agg(texts.alias("texts")).withColumn("format", F.lit("3.0 (quilt)"))
 
     work = given.select(F.col("source_package").alias("source"), "version").distinct()
     with contextlib.suppress(ConnectionError):
