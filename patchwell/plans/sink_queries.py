@@ -91,7 +91,8 @@ def corpus_build(spark, d):
     """All patches acquired in steps: a build that stops in its second step, then one that goes on."""
     patches = patch_queries.patches(spark, d).select("source_package", "version", "patch_name", "body")
     path, calls = place(spark, "corpus"), []
-    patches.write.parquet(f"{path}-given")
+    deal = lambda source: F.pmod(F.xxhash64(source, "version"), F.lit(3))
+    patches.withColumn("folder", deal("source_package")).write.partitionBy("folder").parquet(f"{path}-given")
     given = spark.read.parquet(f"{path}-given")
     texts = F.map_from_entries(F.collect_list(F.struct("patch_name", "body")))
     held = given.withColumnRenamed("source_package", "source")
@@ -100,8 +101,9 @@ def corpus_build(spark, d):
         calls.append(1)
         if len(calls) == 2:
             raise ConnectionError("the second step's fetch fails")
-        # only what a step asks for is grouped: all bodies are shuffled once in all steps, not once in each
-        return held.join(work, ["source", "version"], "left_semi").groupBy("source", "version").agg(texts.alias("texts")).withColumn("format", F.lit("3.0 (quilt)"))
+        # only folders with what a step asks for are read: all bodies are shuffled once in all steps, not once in each
+        wanted = [r[0] for r in work.select(deal("source")).distinct().collect()]
+        return held.filter(F.col("folder").isin(wanted)).join(work, ["source", "version"], "left_semi").groupBy("source", "version").agg(texts.alias("texts")).withColumn("format", F.lit("3.0 (quilt)"))
 
     work = given.select(F.col("source_package").alias("source"), "version").distinct()
     with contextlib.suppress(ConnectionError):
